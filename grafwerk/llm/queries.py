@@ -58,7 +58,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
         ), line AS (
-            SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM split
+            SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split
         ), keyed AS (
             SELECT *, translate(trim(line, {_BLANKS}), '{_UPPER}', '{_LOWER}') AS key FROM line
         ), repeated AS (
@@ -68,7 +68,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT k.*, coalesce(k.doc_id <> r.keeper, false) AS dropped FROM keyed k LEFT JOIN repeated r USING (key)
         )
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
     "op8_quality": r"""
         WITH base AS (
@@ -77,16 +77,16 @@ ORACLE_SQL: dict[str, str] = {
                    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
             FROM documents
         ), word AS (
-            SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS at FROM base
+            SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS pos FROM base
         ), three AS (
-            SELECT doc_id, at, w AS a, lead(w, 1) OVER d AS b, lead(w, 2) OVER d AS c FROM word
-            WINDOW d AS (PARTITION BY doc_id ORDER BY at)
+            SELECT doc_id, pos, w AS a, lead(w, 1) OVER d AS b, lead(w, 2) OVER d AS c FROM word
+            WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
         ), again AS (
-            SELECT doc_id, at FROM (
-                SELECT doc_id, at, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM three WHERE c IS NOT NULL
+            SELECT doc_id, pos FROM (
+                SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM three WHERE c IS NOT NULL
             ) WHERE n >= 2
         ), covered AS (
-            SELECT doc_id, count(DISTINCT at + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+            SELECT doc_id, count(DISTINCT pos + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
         ), stats AS (
             SELECT b.doc_id, len(words) AS n_words,
                    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
