@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafwerk.llm import decontam, langid, linededup, packing, pii, quality, toxicity
-from grafwerk.llm.common import held_out, load
+from grafwerk.llm import decontam, jaccard, langid, linededup, packing, pii, quality, tokenpack, tokens, toxicity
+from grafwerk.llm.common import held_out, load, scratch_dir, store
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(load(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -45,15 +50,46 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat token files of all documents, counted by a separator scan."""
+    uri = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    where = store(tokens.write_token_files(load(spark, sf_dir, "documents"), uri), "token-index")
+    counted = tokens.count_tokens(spark, uri, tokens.encoder().separator)
+    return counted.join(where, ["file", "ordinal"]).select("doc_id", "n_tokens", "finished")
+
+
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed id matrices of all documents; a row for each segment."""
+    uri = f"{scratch_dir(spark)}/packed-{uuid.uuid4().hex}"
+    return tokenpack.write_packed(load(spark, sf_dir, "documents"), uri)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_pii, op3_packing, op4_decontamination, op5_language, op7_line_dedup, op8_quality)
+    for f in (op1_toxicity, op2_pii, op3_packing, op4_decontamination, op5_language, op6_jaccard_join, op7_line_dedup, op8_quality, op9_token_counts, op10_token_packing)
 }
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_jaccard_join": rf"""
+        WITH RECURSIVE base AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingle AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM base
+        ), size AS (
+            SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+        ), pair AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), link AS (
+            SELECT p.a, p.b FROM pair p JOIN size x ON x.doc_id = p.a JOIN size y ON y.doc_id = p.b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+        ), reached AS (
+            SELECT doc_id, doc_id AS other FROM base UNION SELECT r.doc_id, l.b FROM reached r JOIN link l ON l.a = r.other
+        )
+        SELECT b.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(other) FROM reached r WHERE r.doc_id = b.doc_id) AS component_id
+        FROM base b LEFT JOIN size USING (doc_id)""",
     "op7_line_dedup": f"""
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -74,7 +110,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH base AS (
             SELECT doc_id, coalesce(text, '') AS text,
                    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-                   list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
             FROM documents
         ), word AS (
             SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS pos FROM base
