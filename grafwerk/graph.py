@@ -75,7 +75,7 @@ class Graph:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Graph:
-        return cls(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges"))
+        return cls(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges").select("src", "label", "dst"))
 
     def save(self, path: str, max_files_per_label: int = 64) -> None:
         """Parquet below ``path``; within a label, rows are dealt by a hash of the source, so a hot

@@ -1,10 +1,379 @@
-"""Registered queries of the graph engine."""
+"""Registered queries of the graph engine over the graph built from the driver's tables.
+
+Each query is one operator; its SQL states the same thing over the same tables, with closures as
+recursive common table expressions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grafwerk.graph import Graph, difference
+from grafwerk.operators import caps, metrics, neighbourhood, subset, superset, validate
+from grafwerk.plans.compile import Compiler
+from grafwerk.plans.parser import parse_node
+from grafwerk.plans.sql import SqlPlan, node_query, quoted
+from grafwerk.rules import BOUNDARY, CORE, REPORT, SUBSET, SUPERSET, Constraint, ConstraintSet, rule_set
+from grafwerk.sources.relational import SUBCLASS, TABLE_SQL, TYPE, graph_from_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def tau(value: str) -> str:
+    return f'< down({TYPE}) . down({SUBCLASS})* . [val("{value}")] >'
+
+
+def _rule(cid: str, phi: str, psi: str, direction: str, kind: str) -> Constraint:
+    return Constraint(cid, phi, psi, "tables", "tables", kind, BOUNDARY if direction == REPORT else CORE, "given", direction)
+
+
+RULES: ConstraintSet = rule_set("tables", (
+    _rule("dom.customer", "< down(kg:customer) >", tau("cls:Order"), SUBSET, "existential_domain"),
+    _rule("rng.customer", "< up(kg:customer) >", tau("cls:Customer"), SUBSET, "existential_range"),
+    _rule("dom.nation", "< down(kg:nation) >", tau("cls:Party"), SUBSET, "existential_domain"),
+    _rule("rng.part", "< up(kg:part) >", tau("cls:Part"), SUBSET, "existential_range"),
+    _rule("rng.supplier", "< up(kg:supplier) >", tau("cls:Supplier"), SUBSET, "existential_range"),
+    _rule("req.order_part", tau("cls:Order"), "< down(kg:part) >", SUPERSET, "requires_statement"),
+    _rule("req.doc_label", tau("cls:Document"), "< down(kg:label) >", SUPERSET, "requires_statement"),
+    _rule("typ.order", "< down(kg:customer) > & < down(kg:part) >", tau("cls:Order"), SUPERSET, "typing_existence"),
+    _rule("inh.party", tau("cls:Party"), f'< down({TYPE}) . [val("cls:Party")] >', SUPERSET, "typing_inheritance"),
+    _rule("sym.region", "< down(kg:region) >", "< up(kg:region) >", REPORT, "symmetric"),
+))
+
+#: Two deletion rules whose repair stays small, and the additions of three rules.
+DELETIONS = ConstraintSet("deletions", [c for c in RULES if c.cid in ("rng.part", "rng.supplier")])
+ADDITIONS = ConstraintSet("additions", [c for c in RULES if c.cid in ("req.order_part", "req.doc_label", "typ.order")])
+
+EXPRESSIONS = {
+    "eval_top": "T",
+    "eval_value_eq": 'val("cls:Order")',
+    "eval_down": "< down(kg:nation) >",
+    "eval_up": "< up(kg:supplier) >",
+    "eval_seq": "< down(kg:customer) . down(kg:nation) . down(kg:region) >",
+    "eval_alt": "< down(kg:part) + down(kg:customer) >",
+    "eval_star": f'< down({SUBCLASS})* . [val("cls:Entity")] >',
+    "eval_star_alt": f'< (down({SUBCLASS}) + up({SUBCLASS}))* . [val("cls:Supplier")] >',
+    "eval_test": f'< down(kg:customer) . [< down({TYPE}) >] >',
+    "eval_nested_test": f'< down(kg:customer) . [< down(kg:nation) . [< down({TYPE}) . [val("cls:Nation")] >] >] . down({TYPE}) >',
+    "eval_conj": f"< down(kg:nation) > & < down({TYPE}) >",
+    "eval_disj": "< down(kg:label) > | < down(kg:did) >",
+    "eval_isect": "< isect(up(kg:customer) . down(kg:supplier) . down(kg:nation), down(kg:nation)) >",
+    "eval_type_test": tau("cls:Party"),
+    "eval_eps": f"< eps . down({TYPE}) >",
+    "check_disjunctive": "< down(kg:label) > & (< down(kg:lang) > | < down(kg:did) >)",
+}
+
+
+def query(sql: str | None = None):
+    """Registers a query over the graph, with its SQL."""
+
+    def register(f: Callable[[Graph], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(graph_from_tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _with(*more: tuple[str, str], plan: SqlPlan | None = None) -> str:
+    plan = plan or SqlPlan()
+    return plan.with_clause(*TABLE_SQL) + "".join(f",\n{n} AS ({s})" for n, s in more) + "\n"
+
+
+def _tables(sql: str) -> str:
+    return _with() + sql
+
+
+def _witness_sql(rules, select: str, *more: tuple[str, str], extra: SqlPlan | None = None) -> str:
+    """``select`` over found(ord, cid, tier, n)."""
+    plan = extra or SqlPlan()
+    parts = []
+    for i, c in enumerate(rules):
+        a, b = plan.node(c.phi), plan.node(c.psi)
+        parts.append(f"SELECT {i} AS ord, {quoted(c.cid)} AS cid, {quoted(c.tier)} AS tier, n FROM (SELECT n FROM {a} EXCEPT SELECT n FROM {b}) w{i}")
+    return _with(("found", " UNION ALL ".join(parts)), *more, plan=plan) + select
+
+
+def _rule_rows(rules) -> str:
+    return "(VALUES " + ", ".join(f"({i}, {quoted(c.cid)}, {quoted(c.tier)})" for i, c in enumerate(rules)) + ") rule(ord, cid, tier)"
+
+
+for _name, _text in EXPRESSIONS.items():
+    QUERIES[_name] = lambda spark, sf_dir, text=_text: Compiler(graph_from_tables(spark, sf_dir)).evaluate(text)
+    ORACLE_SQL[_name] = node_query(_text, TABLE_SQL)
+
+for _name, _cid in (("check_domain", "dom.customer"), ("check_range", "rng.customer"), ("check_typing", "typ.order"), ("check_requires", "req.order_part"), ("check_inheritance", "inh.party"), ("check_symmetric", "sym.region")):
+    _own = [c for c in RULES if c.cid == _cid]
+    QUERIES[_name] = lambda spark, sf_dir, rule=_own[0]: validate.check(graph_from_tables(spark, sf_dir), rule)
+    ORACLE_SQL[_name] = _witness_sql(_own, "SELECT n FROM found")
+
+
+# -- the graph itself
+
+
+@query(_tables("SELECT src, label, dst FROM edges"))
+def graph_edges(g: Graph) -> DataFrame:
+    return g.edges
+
+
+@query(_tables("SELECT node, value FROM nodes WHERE value IS NOT NULL"))
+def graph_nodes_values(g: Graph) -> DataFrame:
+    return g.nodes.where("value IS NOT NULL")
+
+
+@query(_tables("SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS edges, count(DISTINCT label) AS labels, (SELECT count(value) FROM nodes) AS valued_nodes FROM edges"))
+def graph_stats(g: Graph) -> DataFrame:
+    return g.stats()
+
+
+@query(_tables("SELECT label, count(*) AS edges FROM edges GROUP BY label"))
+def label_counts(g: Graph) -> DataFrame:
+    return g.label_counts()
+
+
+ALLOWED = (TYPE, SUBCLASS, "kg:nation", "kg:region")
+_ALLOWED_SQL = ", ".join(map(quoted, ALLOWED))
+
+
+@query(_tables(f"SELECT src, label, dst FROM edges WHERE label IN ({_ALLOWED_SQL})"))
+def allowlist_filter(g: Graph) -> DataFrame:
+    return g.only_labels(ALLOWED).edges
+
+
+@query(_tables(f"SELECT count(*) AS dropped FROM edges WHERE label NOT IN ({_ALLOWED_SQL})"))
+def allowlist_dropped_count(g: Graph) -> DataFrame:
+    return g.edges.where(~F.col("label").isin(*ALLOWED)).agg(F.count("*").alias("dropped"))
+
+
+@query(_tables(f"SELECT node AS n FROM nodes WHERE node NOT IN (SELECT src FROM edges WHERE label IN ({_ALLOWED_SQL})) AND node NOT IN (SELECT dst FROM edges WHERE label IN ({_ALLOWED_SQL}))"))
+def isolated_nodes(g: Graph) -> DataFrame:
+    return g.only_labels(ALLOWED).isolated_nodes()
+
+
+@query(_tables("SELECT dst AS node, count(*) AS in_degree FROM edges GROUP BY dst ORDER BY in_degree DESC, node LIMIT 20"))
+def in_degree_topk(g: Graph) -> DataFrame:
+    return neighbourhood.top_in_degree(g, 20)
+
+
+@query(_tables(f"SELECT DISTINCT label FROM edges WHERE label NOT IN ({_ALLOWED_SQL})"))
+def deny_check(g: Graph) -> DataFrame:
+    return g.labels().where(~F.col("label").isin(*ALLOWED))
+
+
+@query(_tables(f"SELECT e.src AS node, min_by(n.value, e.label || chr(0) || e.dst) AS name FROM edges e JOIN nodes n ON n.node = e.dst WHERE n.value IS NOT NULL AND e.label IN ({quoted(TYPE)}, {quoted(SUBCLASS)}) GROUP BY e.src"))
+def label_index(g: Graph) -> DataFrame:
+    return neighbourhood.label_index(g, (TYPE, SUBCLASS))
+
+
+# -- validation
+
+
+@query(_witness_sql(RULES, f"SELECT r.ord, r.cid, r.tier, count(f.n) AS witnesses FROM {_rule_rows(RULES)} r LEFT JOIN found f ON f.ord = r.ord GROUP BY r.ord, r.cid, r.tier".replace("rule(ord, cid, tier) r", "r(ord, cid, tier)")))
+def check_all_counts(g: Graph) -> DataFrame:
+    return validate.counts(g, RULES)
+
+
+@query(_witness_sql(RULES, "SELECT t.tier, count(f.n) AS witnesses FROM (VALUES ('ptime_core'), ('boundary')) t(tier) LEFT JOIN found f ON f.tier = t.tier GROUP BY t.tier"))
+def check_by_tier(g: Graph) -> DataFrame:
+    return validate.counts_by_tier(g, RULES)
+
+
+@query(_witness_sql(RULES, "SELECT ord, cid, tier, rank, n FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY n) AS rank FROM found) p WHERE rank <= 3"))
+def check_witness_preview(g: Graph) -> DataFrame:
+    return validate.preview(validate.witnesses(g, RULES), 3)
+
+
+@query(_witness_sql(RULES, "SELECT count(*) = 0 AS consistent, count(DISTINCT cid) AS failing, count(*) AS total_witnesses FROM found"))
+def check_summary(g: Graph) -> DataFrame:
+    return validate.witnesses(g, RULES).agg((F.count("*") == 0).alias("consistent"), F.countDistinct("cid").alias("failing"), F.count("*").alias("total_witnesses"))
+
+
+# -- repair
+
+_GONE = ("gone", "SELECT n, min_by(cid, ord) AS rule FROM found GROUP BY n")
+_LOG = (
+    "log",
+    "SELECT 'remove_node' AS op, rule AS \"constraint\" FROM gone UNION ALL "
+    "SELECT 'remove_edge', CASE WHEN b.n IS NULL OR (a.n IS NOT NULL AND e.src <= e.dst) THEN a.rule ELSE b.rule END "
+    "FROM edges e LEFT JOIN gone a ON a.n = e.src LEFT JOIN gone b ON b.n = e.dst WHERE a.n IS NOT NULL OR b.n IS NOT NULL",
+)
+
+
+@query(_witness_sql(DELETIONS, 'SELECT n, rule AS "constraint" FROM gone', _GONE))
+def subset_round1_witnesses(g: Graph) -> DataFrame:
+    return subset.flagged(g, subset.eligible(DELETIONS))
+
+
+@query(_witness_sql(DELETIONS, "SELECT n FROM gone", _GONE))
+def subset_deleted_nodes(g: Graph) -> DataFrame:
+    return subset.subset_repair(g, DELETIONS).deleted()
+
+
+@query(_witness_sql(DELETIONS, "SELECT src, label, dst FROM edges WHERE src NOT IN (SELECT n FROM gone) AND dst NOT IN (SELECT n FROM gone)", _GONE))
+def subset_remaining_edges(g: Graph) -> DataFrame:
+    return subset.subset_repair(g, DELETIONS).graph.edges
+
+
+@query(_witness_sql(DELETIONS, 'SELECT op, "constraint", count(*) AS n FROM log GROUP BY ALL', _GONE, _LOG))
+def subset_changelog_counts(g: Graph) -> DataFrame:
+    return subset.subset_repair(g, DELETIONS).log.groupBy("op", "constraint").agg(F.count("*").alias("n"))
+
+
+_ADDED = (
+    "added",
+    "SELECT n AS src, 'kg:part' AS label, 'fresh:req.order_part:0' AS dst, cid FROM found WHERE cid = 'req.order_part' UNION ALL "
+    "SELECT n, 'kg:label', 'fresh:req.doc_label:0', cid FROM found WHERE cid = 'req.doc_label' UNION ALL "
+    f"SELECT n, '{TYPE}', 'cls:Order', cid FROM found WHERE cid = 'typ.order'",
+)
+
+
+@query(_witness_sql(ADDITIONS, "SELECT cid, n AS witness, src, label, dst FROM (SELECT *, src AS n FROM added) x", _ADDED))
+def superset_round1_plan(g: Graph) -> DataFrame:
+    found = validate.witnesses(g, ADDITIONS).select("cid", "n")
+    return superset.round_plan(g, superset.core(ADDITIONS), found).where("op = 'add_edge'").select("cid", "witness", "src", "label", "dst")
+
+
+@query(_witness_sql(ADDITIONS, "SELECT src, label, dst FROM added", _ADDED))
+def superset_added_edges(g: Graph) -> DataFrame:
+    return superset.superset_repair(g, ADDITIONS, prune=False).added_edges()
+
+
+@query(_witness_sql(ADDITIONS, "SELECT cid AS \"constraint\", count(*) AS n FROM added GROUP BY cid", _ADDED))
+def superset_added_by_constraint(g: Graph) -> DataFrame:
+    return superset.superset_repair(g, ADDITIONS, prune=False).log.where("op = 'add_edge'").groupBy("constraint").agg(F.count("*").alias("n"))
+
+
+_SUBSET_RULES = [c for c in RULES if c.tier == CORE and c.direction == SUBSET]
+
+
+@query(_witness_sql(_SUBSET_RULES, "SELECT affected, total, CAST(affected AS DOUBLE) / total AS fraction FROM (SELECT count(DISTINCT n) AS affected, (SELECT count(*) FROM nodes) AS total FROM found) c"))
+def cap_subset(g: Graph) -> DataFrame:
+    return caps.deletion_fraction(g, RULES)
+
+
+@query(_witness_sql(RULES.core(), "SELECT affected, total, CAST(affected AS DOUBLE) / total AS fraction FROM (SELECT count(n) AS affected, (SELECT count(*) FROM edges) AS total FROM found) c"))
+def cap_superset(g: Graph) -> DataFrame:
+    return caps.addition_fraction(g, RULES)
+
+
+@query(_witness_sql(DELETIONS, "SELECT src, label, dst FROM edges WHERE src IN (SELECT n FROM gone) OR dst IN (SELECT n FROM gone)", _GONE))
+def diff_removed(g: Graph) -> DataFrame:
+    return difference(g, subset.subset_repair(g, DELETIONS).graph)[0]
+
+
+@query(_witness_sql(ADDITIONS, "SELECT src, label, dst FROM added", _ADDED))
+def diff_added(g: Graph) -> DataFrame:
+    return difference(g, superset.superset_repair(g, ADDITIONS, prune=False).graph)[1]
+
+
+# -- metrics
+
+_TYPES = ("types", f"SELECT DISTINCT src AS node, dst AS cls FROM edges WHERE label = '{TYPE}'")
+_UP = ("up", f"SELECT src AS cls, dst AS sup FROM edges WHERE label = '{SUBCLASS}' UNION SELECT u.cls, e.dst FROM up u JOIN edges e ON e.src = u.sup WHERE e.label = '{SUBCLASS}'")
+_COVERAGE = (
+    "coverage",
+    "SELECT t.cls, c.label, count(*) AS carriers, any_value(s.instances) AS instances FROM types t "
+    "JOIN (SELECT cls, count(*) AS instances FROM types GROUP BY cls HAVING count(*) >= 2) s ON s.cls = t.cls "
+    f"JOIN (SELECT DISTINCT src AS node, label FROM edges WHERE label NOT IN ('{TYPE}', '{SUBCLASS}')) c ON c.node = t.node GROUP BY t.cls, c.label",
+)
+_REDUNDANT = ("redundant", "SELECT DISTINCT t.node, t.cls FROM types t JOIN types o ON o.node = t.node AND o.cls <> t.cls JOIN up u ON u.cls = o.cls AND u.sup = t.cls")
+
+
+def _metric(select: str, *more: tuple[str, str]) -> str:
+    return _with(_TYPES, *more) + select
+
+
+@query(_metric("SELECT (SELECT count(*) FROM types) AS type_edges, (SELECT count(DISTINCT node) FROM types) AS typed_nodes, (SELECT count(*) FROM nodes) AS nodes"))
+def metric_sizes(g: Graph) -> DataFrame:
+    return metrics.metrics_row(g).select("type_edges", "typed_nodes", "nodes")
+
+
+@query(_metric("SELECT node, cls FROM redundant", _UP, _REDUNDANT))
+def metric_redundant_types(g: Graph) -> DataFrame:
+    return metrics.redundant_types(g)
+
+
+@query(_metric("SELECT cls, count(*) AS instances FROM types GROUP BY cls HAVING count(*) = 1"))
+def metric_singletons(g: Graph) -> DataFrame:
+    return metrics.class_sizes(g).where("instances = 1")
+
+
+@query(_metric("SELECT CAST((SELECT count(DISTINCT node) FROM types) AS DOUBLE) / count(*) AS typed_fraction FROM nodes"))
+def metric_typed_fraction(g: Graph) -> DataFrame:
+    return metrics.metrics_row(g).select("typed_fraction")
+
+
+@query(_metric("SELECT cls, label, carriers, instances FROM coverage", _COVERAGE))
+def metric_property_coverage(g: Graph) -> DataFrame:
+    return metrics.property_coverage(g)
+
+
+def _satisfaction_sql() -> str:
+    plan = SqlPlan()
+    scope = " UNION ALL ".join(f"SELECT {quoted(c.cid)} AS cid, count(*) AS antecedent FROM {plan.node(c.phi)}" for c in RULES.core())
+    select = """SELECT s.cid, s.antecedent, count(f.n) AS witnesses,
+        CASE WHEN s.antecedent > 0 THEN CAST(s.antecedent - count(f.n) AS DOUBLE) / s.antecedent END AS satisfaction
+        FROM scope s LEFT JOIN found f ON f.cid = s.cid GROUP BY s.cid, s.antecedent"""
+    return _witness_sql(RULES.core(), select, ("scope", scope), extra=plan)
+
+
+@query(_satisfaction_sql())
+def metric_satisfaction(g: Graph) -> DataFrame:
+    return metrics.satisfaction(g, RULES)
+
+
+@query(_witness_sql(RULES, "SELECT count(DISTINCT n) AS witness_nodes, CAST(count(DISTINCT n) AS DOUBLE) / (SELECT count(*) FROM nodes) AS witness_fraction FROM found"))
+def metric_witness_union(g: Graph) -> DataFrame:
+    return metrics.metrics_row(g, RULES).select("witness_nodes", "witness_fraction")
+
+
+@query(_witness_sql(
+    DELETIONS,
+    "SELECT metric, before, after, after - before AS absolute FROM (SELECT 'nodes' AS metric, (SELECT count(*) FROM nodes) AS before, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM gone) AS after "
+    "UNION ALL SELECT 'edges', (SELECT count(*) FROM edges), (SELECT count(*) FROM edges WHERE src NOT IN (SELECT n FROM gone) AND dst NOT IN (SELECT n FROM gone))) c",
+    _GONE,
+))
+def metric_compare(g: Graph) -> DataFrame:
+    after = subset.subset_repair(g, DELETIONS).graph
+    rows = metrics.compare_metrics(metrics.compute_metrics(g), metrics.compute_metrics(after))
+    rows = [(r["metric"], int(r["before"]), int(r["after"]), int(r["absolute"])) for r in rows if r["metric"] in ("nodes", "edges")]
+    return g.spark.createDataFrame(rows, "metric string, before long, after long, absolute long")
+
+
+# -- graph algorithms
+
+_CENTER = "n:3"
+
+
+@query(_with(
+    ("near", "SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges"),
+    ("hop1", f"SELECT b AS node FROM near WHERE a = '{_CENTER}' AND b <> '{_CENTER}' ORDER BY b LIMIT 149"),
+    ("hop2", f"SELECT DISTINCT b AS node FROM near WHERE a IN (SELECT node FROM hop1) AND b <> '{_CENTER}' AND b NOT IN (SELECT node FROM hop1) ORDER BY b LIMIT (SELECT 149 - count(*) FROM hop1)"),
+) + f"SELECT '{_CENTER}' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM hop1 UNION ALL SELECT node, 2 FROM hop2")
+def neighbourhood_k2(g: Graph) -> DataFrame:
+    return neighbourhood.neighbourhood(g, _CENTER, 2, 150).nodes.select("node", "hop")
+
+
+@query(_with(
+    ("one", "SELECT src, label, dst FROM edges WHERE src = 'o:1' ORDER BY src, label, dst LIMIT 40"),
+    ("two", "SELECT src, label, dst FROM edges WHERE src IN (SELECT dst FROM one) AND src <> 'o:1' ORDER BY src, label, dst LIMIT (SELECT 40 - count(*) FROM one)"),
+    ("three", "SELECT src, label, dst FROM edges WHERE src IN (SELECT dst FROM two) AND src NOT IN (SELECT dst FROM one) AND src <> 'o:1' ORDER BY src, label, dst LIMIT (SELECT 40 - (SELECT count(*) FROM one) - count(*) FROM two)"),
+    ("four", "SELECT src, label, dst FROM edges WHERE src IN (SELECT dst FROM three) AND src NOT IN (SELECT dst FROM two) AND src NOT IN (SELECT dst FROM one) AND src <> 'o:1' ORDER BY src, label, dst LIMIT (SELECT 40 - (SELECT count(*) FROM one) - (SELECT count(*) FROM two) - count(*) FROM three)"),
+) + "SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four")
+def slice_sorted_bfs(g: Graph) -> DataFrame:
+    return neighbourhood.sorted_slice(g.edges.withColumn("is_literal", F.lit(False)), ["o:1"], 40)
+
+
+_TYPING = f"('{TYPE}', '{SUBCLASS}')"
+
+
+@query(_with(
+    ("reached", f"SELECT src AS n FROM edges WHERE label = 'kg:region' UNION SELECT dst FROM edges WHERE label = 'kg:region' UNION SELECT e.dst FROM reached r JOIN edges e ON e.src = r.n WHERE e.label IN {_TYPING}"),
+) + f"SELECT src, label, dst FROM edges WHERE label = 'kg:region' UNION SELECT src, label, dst FROM edges WHERE label IN {_TYPING} AND src IN (SELECT n FROM reached)")
+def typing_completion(g: Graph) -> DataFrame:
+    return neighbourhood.typing_completion(g.labelled("kg:region"), g.edges, (TYPE, SUBCLASS))

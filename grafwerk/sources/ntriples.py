@@ -19,10 +19,11 @@ from grafwerk.graph import EDGES, NODES, Graph
 TYPE_PREDICATES = ("rdf:type", "rdfs:subClassOf", "wdt:P31", "wdt:P279", "a")
 FULL_TYPE_PREDICATES = ("http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/2000/01/rdf-schema#subClassOf")
 
-_LITERAL = r'"(?:[^"\\]|\\.)*"(?:\^\^\S+|@[A-Za-z0-9-]+)?'
-_TERM = rf"(?:<[^<>\s]*>|_:\S+|{_LITERAL}|[^\s\"<>]+)"
+_LITERAL = r'"(?:[^"\\]|\\.)*"(?:\^\^\S+?|@[A-Za-z0-9-]+?)?'
+_TERM = rf"(?:<[^<>\s]*>|_:\S+?|{_LITERAL}|[^\s\"<>]+?)"
 #: One line: three terms, and the full stop.
-LINE = rf"^({_TERM})\s+({_TERM})\s+({_TERM})\s*\.?$"
+LINE = rf"^\s*({_TERM})\s+({_TERM})\s+({_TERM})\s*\.?\s*$"
+NOTHING = r"^\s*(?:#.*)?$"
 
 
 class NTriplesError(ValueError):
@@ -59,18 +60,15 @@ def escape_literal(text: Column) -> Column:
 def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
     """lines: (value, line_no).  (line_no, s, p, o, literal); ``strict`` raises at lines that are
     no triple, otherwise they are skipped."""
-    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
-    kept = lines.select("line_no", text.alias("text")).where("text <> '' AND NOT startswith(text, '#')")
-    kept = kept.withColumn("text", F.regexp_replace("text", r"\s*\.$", ""))
-    terms = [F.regexp_extract("text", LINE, i).alias(c) for i, c in enumerate("spo", 1)]
-    good = F.col("text").rlike(LINE) & ~F.regexp_extract("text", LINE, 1).startswith('"') & ~F.regexp_extract("text", LINE, 2).startswith('"')
+    kept = lines.select("line_no", "value").where(~F.col("value").rlike(NOTHING))
+    good = F.col("value").rlike(LINE) & ~F.col("value").rlike(r'^\s*(?:"|\S+\s+")')  # only objects are literals
     if strict:
-        bad = F.raise_error(F.concat(F.lit("not a triple: "), F.col("text")))
-        skipped = (F.col("text") == "") | F.col("text").startswith("#")  # filters may run after this
-        kept = kept.withColumn("text", F.when(good | skipped, F.col("text")).otherwise(bad))
+        bad = F.raise_error(F.concat(F.lit("not a triple: "), F.col("value")))
+        skipped = F.col("value").rlike(NOTHING)  # filters may run after this
+        kept = kept.withColumn("value", F.when(good | skipped, F.col("value")).otherwise(bad))
     else:
         kept = kept.where(good)
-    found = kept.select("line_no", *terms)
+    found = kept.select("line_no", *[F.regexp_extract("value", LINE, i).alias(c) for i, c in enumerate("spo", 1)])
     literal = F.when(F.col("o").startswith('"'), _unescape(F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)))
     return found.select("line_no", _resource(F.col("s")).alias("s"), _resource(F.col("p")).alias("p"), F.when(literal.isNull(), _resource(F.col("o"))).alias("o"), literal.alias("literal"))
 
