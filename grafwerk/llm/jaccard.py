@@ -16,13 +16,17 @@ of each of its parts, and near the edge of a size class into those of the class
 into the regions of all their subsets with at most K elements missing.  Every link lies in at
 least one region.
 
-*Pivots.*  Each region elects its smallest digest as pivot.  A document's home (its Voronoi cell)
-is the smallest of the pivots it meets; its exact distance to it is computed first.  Links make
-components.  A region whose members are in one component is done, since further links in it
-change nothing.  The others go on recursively: up to ``PIVOTS`` members outside the region's
-largest component become pivots, are compared with the members of other components that lie in
-their triangle-inequality window (two members at distances a and b from one home pivot can only
-link if |a - b| <= r), and leave the region.  This ends when no region holds two components.
+*Pivots.*  Each region elects as pivot the member that shares most regions, so one near the middle
+of a group of copies.  A document's home (its Voronoi cell) is the best of the pivots it meets, and
+its exact distance to it is computed first.  Links make components.
+
+*Recursion.*  Regions that overlap make a family; no link leaves a family.  A family in one component
+is done, since further links change nothing.  The others are cut into tiles of a bounded number of
+members and elements, large components apart from the rest, and tiles are joined pairwise; pairs of
+tiles within one component, or whose sizes can't link, are left out.  In a pair of tiles the triangle
+inequality is applied to members of one home at distances a and b: they link if a + b <= r and
+can't if |a - b| > r, the window outside of which members aren't compared.  The intersections of
+the others are counted exactly, and a pair of tiles returns a spanning forest of its links.
 
 Sets are computed for documents in regions only.  All loops keep their state in tables of the
 shared folder; no group is collected into a task or the driver.  Digests have 64 bits.
@@ -36,6 +40,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -44,8 +49,11 @@ from pyspark.sql import functions as F
 from grafwerk.llm.common import small_batches, store, texts_as_bytes
 
 WIDTH, SIMILARITY = 4, (85, 100)
-#: Size classes of the partitioned sets grow by this ratio; pivots that a region uses at once.
-RATIO, PIVOTS = 1.6, 8
+#: Size classes of the partitioned sets grow by this ratio.
+RATIO = 1.6
+#: Members and elements of a tile, elements of the single-tile families that are joined in one group, and
+#: the number of members that hold an element from which on it is counted by matrix products.
+TILE_MEMBERS, TILE_ELEMENTS, GROUP_ELEMENTS, COMMON = 1024, 1_000_000, 4_000_000, 8
 #: Ids that are broadcast to pick out documents in regions; more are joined.
 BROADCAST_IDS = 500_000
 
@@ -207,37 +215,45 @@ def _celled(width: int, num: int, den: int):
     return run
 
 
-_SET_ARROW = pa.schema([("d", pa.int64()), ("items", pa.list_(pa.int64()))])
+_SET_ARROW = pa.schema([("d", pa.int64()), ("items", pa.binary())])
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, width) for t in texts_as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=_SET_ARROW)
+            sets = [shingles(t, width).tobytes() for t in texts_as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=_SET_ARROW)
 
     return run
 
 
 def _regions(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(cell, d, pivot) of cells with several members; of cells with equal members, one."""
+    """(cell, d) of cells with several members."""
     cells = docs.select("text").mapInArrow(_celled(width, num, den), "cell long, d long")
     own = Window.partitionBy("cell")
-    shared = cells.withColumns({"pivot": F.min("d").over(own), "__top": F.max("d").over(own)}).where("pivot < __top").drop("__top")
-    shared = store(shared.distinct(), "jaccard-cells")
-    key = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("y")]
-    first = shared.groupBy("cell", "pivot").agg(*key).groupBy("pivot", "n", "x", "y").agg(F.min("cell").alias("cell")).select("cell")
-    return store(shared.join(first, "cell", "left_semi"), "jaccard-regions")
+    shared = cells.withColumns({"__low": F.min("d").over(own), "__top": F.max("d").over(own)}).where("__low < __top").select("cell", "d")
+    return store(shared.distinct(), "jaccard-cells")
+
+
+_DISTANCE_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("total", pa.int64())])
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both, total = [], []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both.append(len(np.intersect1d(x, y, assume_unique=True)))
+            total.append(len(x) + len(y) - both[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(total, pa.int64())], schema=_DISTANCE_ARROW)
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, total): the sizes of the intersection and of the union."""
+    """(a, b, both, total): the sizes of the intersection and of the union."""
     left = sets.select(F.col("d").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("d").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    sized = both.select("a", "b", inter.cast("long").alias("inter"), (F.size("x") + F.size("y")).cast("long").alias("sizes"))
-    return sized.select("a", "b", "inter", (F.col("sizes") - F.col("inter")).alias("total"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(_measured, "a long, b long, both long, total long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -262,43 +278,132 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return store(comps.join(moved, "comp", "left").select("d", F.coalesce("to", "comp").alias("comp")), "comps")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of all left sets with all right sets (or with each other)."""
+    every = left if right is None else left + right
+    items = np.concatenate(every)
+    rows = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    order = np.argsort(items, kind="stable")
+    items, rows = items[order], rows[order]
+    starts = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
+    held = np.diff(np.append(starts, len(items)))
+    n, m = len(left), len(every)
+    out = np.zeros((m, m), np.int32)
+    column = np.repeat(np.arange(len(starts)), held)
+    rare = (held[column] > 1) & (held[column] <= COMMON)
+    r, c = rows[rare], column[rare]
+    for step in range(1, COMMON):
+        same = c[step:] == c[:-step]
+        np.add.at(out, (r[:-step][same], r[step:][same]), 1)  # rows ascend within an element
+    out += out.T
+    common = np.flatnonzero(held > COMMON)
+    for first in range(0, len(common), 2048):
+        part = common[first : first + 2048]
+        dense = np.zeros((m, len(part)), np.float32)
+        for k, at in enumerate(part):
+            dense[rows[starts[at] : starts[at] + held[at]], k] = 1
+        out += (dense @ dense.T).astype(np.int32)
+    return out if right is None else out[:n, n:]
+
+
+def _forest(linked: np.ndarray, names: np.ndarray, others: np.ndarray | None) -> list[tuple[int, int]]:
+    """Pairs of names that span the links of a matrix (of names with themselves, or with others)."""
+    out = []
+    if others is None:
+        todo = np.ones(len(names), bool)
+        while todo.any():
+            frontier = [int(todo.argmax())]
+            todo[frontier[0]] = False
+            while frontier:
+                at = frontier.pop()
+                near = np.flatnonzero(linked[at] & todo)
+                todo[near] = False
+                frontier += near.tolist()
+                out += [(int(names[at]), int(names[i])) for i in near]
+        return out
+    n = len(names)
+    square = np.zeros((n + len(others),) * 2, bool)
+    square[:n, n:], square[n:, :n] = linked, linked.T
+    return _forest(square, np.concatenate((names, others)), None)
+
+
+def _joined_tiles(num: int, den: int):
+    """Rows of (task, family, i, j, side, d, comp, home, far, items) to spanning links (a, b)."""
+    reach = (den - num) / den
+
+    def join(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        sides = [rows[rows["side"] == k] for k in (0, 1)]
+        if not len(sides[0]):
+            return []
+        alone = int(rows["i"].iloc[0]) == int(rows["j"].iloc[0])
+        if not alone and not len(sides[1]):
+            return []
+        left = [np.frombuffer(x, np.uint64) for x in sides[0]["items"]]
+        right = None if alone else [np.frombuffer(x, np.uint64) for x in sides[1]["items"]]
+        other = sides[0] if alone else sides[1]
+        both = _overlaps(left, right).astype(np.int64)
+        sizes = [np.array([len(x) for x in s], np.int64) for s in (left, left if alone else right)]
+        column = lambda name, kind: (sides[0][name].to_numpy(kind)[:, None], other[name].to_numpy(kind)[None, :])
+        (h, k), (a, b), (p, q) = column("home", np.int64), column("far", np.float64), column("comp", np.int64)
+        window = (h != k) | (np.abs(a - b) <= reach + 1e-9)
+        linked = window & (den * both >= num * (sizes[0][:, None] + sizes[1][None, :] - both)) & (p != q)
+        return _forest(linked, sides[0]["d"].to_numpy(np.int64), None if alone else other["d"].to_numpy(np.int64))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = [x for _, rows in group.groupby(["family", "i", "j"]) for x in join(rows)]
+        return pd.DataFrame(found, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+
+    return run
+
+
+def _tile_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): spanning links of families that hold several components.
+
+    placed: (d, n, family, comp, home, far).
+    """
+    comps = placed.groupBy("family", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
+    families = comps.groupBy("family").agg(F.count("*").alias("comps"), F.sum("members").alias("all"), F.sum("elements").alias("all_elements"))
+    tiles_of = lambda members, elements: F.greatest(F.ceil(F.col(members) / TILE_MEMBERS), F.ceil(F.col(elements) / TILE_ELEMENTS))
+    known = comps.join(families.where("comps > 1"), "family").withColumns({"own": tiles_of("members", "elements"), "tiles": tiles_of("all", "all_elements")})
+    large = F.col("own") > 1
+    known = known.select("family", "comp", "tiles", "own", "all_elements", large.alias("large"))
+    dealt = F.when(F.col("tiles") == 1, F.lit(0)).when(F.col("large"), F.pmod(F.xxhash64("comp", F.pmod(F.xxhash64("d"), F.col("own"))), F.lit(1 << 62)) + F.col("tiles")).otherwise(F.pmod(F.xxhash64("comp"), F.col("tiles")))
+    members = store(placed.join(known, ["family", "comp"]).withColumn("tile", dealt.cast("long")), "tile-members")
+    tiles = members.groupBy("family", "tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    one, two = (tiles.select("family", *[F.col(c).alias(f"{c}{k}") for c in ("tile", "low", "high", "least", "most")]) for k in (1, 2))
+    pairs = one.join(two, "family").where("tile1 <= tile2").where("NOT (low1 = high1 AND low2 = high2 AND low1 = low2)")
+    pairs = pairs.where((F.col("least1") * num <= F.col("most2") * den) & (F.col("least2") * num <= F.col("most1") * den)).select("family", "tile1", "tile2")
+    sides = pairs.select("family", F.col("tile1").alias("i"), F.col("tile2").alias("j"), F.explode(F.when(F.col("tile1") == F.col("tile2"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumn("tile", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
+    groups = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // GROUP_ELEMENTS))
+    task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(F.xxhash64("family", "i", "j").bitwiseOR(F.lit(1 << 62)))
+    shipped = members.join(sides, ["family", "tile"]).join(sets, "d").select(task.alias("task"), "family", "i", "j", "side", "d", "comp", "home", "far", "items")
+    return shipped.groupBy("task").applyInPandas(_joined_tiles(num, den), "a long, b long")
+
+
 def set_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(d, comp) of the sets that lie in regions; classes: (doc_id, n, d)."""
     regions = _regions(docs, width, num, den)
-    members = store(regions.select("d").distinct(), "members")
-    chosen = classes.join(members, "d", "left_semi").groupBy("d").agg(F.min("doc_id").alias("__id"))
+    degree = regions.groupBy("d").agg(F.count("*").alias("cells"))
+    chosen = classes.join(degree, "d").groupBy("d").agg(F.min("doc_id").alias("__id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     chosen = store(chosen.where(F.col("__id").isNotNull()), "chosen")
-    small = chosen.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(chosen) if small else chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "d", "text")
-    sets = store(texts.select("d", "text").mapInArrow(_sets(width), "d long, items array<long>").dropDuplicates(["d"]), "sets")
-
-    home = regions.groupBy("d").agg(F.min("pivot").alias("b")).where("d <> b").select(F.col("d").alias("a"), "b")
-    near = store(_distances(home, sets), "homes")
-    linked = F.col("inter") * den >= F.col("total") * num
-    comps = store(members.select("d", F.col("d").alias("comp")), "comps")
-    comps = _joined(comps, near.where(linked))
-    homes = near.select(F.col("a").alias("d"), F.col("b").alias("home"), (1 - F.col("inter") / F.col("total")).alias("far"))
-    homes = homes.unionByName(homes.select(F.col("home").alias("d"), "home").distinct().join(homes.select("d"), "d", "left_anti").withColumn("far", F.lit(0.0)))
-    homes = store(homes, "homes")
-
-    active = regions.select("cell", "d")
-    reach = (den - num) / den + 1e-9
-    while True:
-        placed = active.join(comps, "d")
-        groups = placed.groupBy("cell", "comp").agg(F.count("*").alias("n"), F.min("d").alias("pivot"))
-        mixed = store(groups.groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("cell", F.col("top.comp").alias("top")), "mixed")
-        if not mixed.limit(1).count():
-            return comps
-        active = store(placed.join(mixed.select("cell"), "cell", "left_semi").select("cell", "d"), "active")
-        placed = active.join(comps, "d").join(homes, "d", "left")
-        order = Window.partitionBy("cell").orderBy("n", "comp")  # a row for each component of a region
-        fewest = groups.join(mixed, "cell").where(F.col("comp") != F.col("top")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS)
-        pivots = store(fewest.select("cell", F.col("pivot").alias("b"), F.col("comp").alias("pivot_comp")), "pivots")
-        pivots_home = pivots.join(homes.select(F.col("d").alias("b"), F.col("home").alias("pivot_home"), F.col("far").alias("pivot_far")), "b", "left")
-        window = F.coalesce((F.col("home") != F.col("pivot_home")) | (F.abs(F.col("far") - F.col("pivot_far")) <= reach), F.lit(True))
-        pairs = placed.join(pivots_home, "cell").where((F.col("comp") != F.col("pivot_comp")) & window).select(F.col("d").alias("a"), "b").distinct()
-        comps = _joined(comps, _distances(pairs, sets).where(linked))
-        active = active.join(pivots.select("cell", F.col("b").alias("d")), ["cell", "d"], "left_anti")
+    ids = chosen.select("d", "__id")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("__id")).select("d", "text")
+    sets = store(texts.mapInArrow(_sets(width), "d long, items binary").dropDuplicates(["d"]), "sets")
+
+    ranked = regions.join(chosen.select("d", "cells"), "d").select("cell", "d", F.struct("cells", "d").alias("rank"))
+    pivots = ranked.groupBy("cell").agg(F.max("rank").alias("pivot"))
+    met = regions.join(pivots, "cell")
+    met = store(met.select("d", "pivot").distinct(), "met")
+    home = met.groupBy("d").agg(F.max("pivot").alias("pivot")).select(F.col("d").alias("a"), F.col("pivot.d").alias("b"))
+    near = store(_distances(home.where("a <> b"), sets), "homes")
+    linked = F.col("both") * den >= F.col("total") * num
+    family = connected(met.select(F.col("d").alias("a"), F.col("pivot.d").alias("b")).where("a <> b"))
+    homes = near.select(F.col("a").alias("d"), F.col("b").alias("home"), (1 - F.col("both") / F.col("total")).alias("far"))
+    placed = chosen.select("d", "n").join(family.select(F.col("node").alias("d"), F.col("comp").alias("family")), "d").join(homes, "d", "left")
+    placed = placed.select("d", "n", "family", F.coalesce("home", "d").alias("home"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    comps = _joined(chosen.select("d", F.col("d").alias("comp")), near.where(linked))
+    return _joined(comps, _tile_links(placed.join(comps, "d"), sets, num, den))
 
 
 def components(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
