@@ -4,7 +4,8 @@ A document's vector holds hashed counts of its letter n-grams (1 to 3 letters, w
 a blank), damped, weighted by inverse document frequency and scaled to length one.  Every
 language gets several centroids (spherical k-means over its documents of the fit).  A document
 takes the language of the centroid with the largest cosine; it is rejected if its distance is
-over what that language's own documents showed.
+over what that language's own documents showed.  Texts with fewer than ``MIN_GRAMS`` n-grams are far
+from every centroid by chance and are rejected only if they have no letter.
 
 The fit sees at most ``FIT_DOCS`` documents a language, those with the smallest hash of their id
 among rows with a language that are not held out; their n-gram counts (bounded) go to the driver.
@@ -32,6 +33,8 @@ FIT_DOCS, CENTROIDS, ROUNDS = 400, 3, 8
 DIMENSIONS = 4096
 #: Steepness of the score, and the room that rejection leaves over the largest distance seen.
 STEEPNESS, SLACK = 25.0, 1.1
+#: N-grams from which on a distance can reject.
+MIN_GRAMS = 400
 
 _LETTER = np.zeros(0x110000, bool)
 
@@ -78,7 +81,7 @@ class Model:
         which = best.argmax(axis=1)
         top = best[np.arange(len(table)), which]
         score = 1 / np.exp(STEEPNESS * (best - top[:, None])).sum(axis=1)
-        return which, np.clip(score, 0, 1), 1 - top > self.reach[which]
+        return which, np.clip(score, 0, 1), (1 - top > self.reach[which]) & (table.sum(axis=1) >= MIN_GRAMS)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -111,7 +114,8 @@ def fit(tables: dict[str, np.ndarray]) -> Model | None:
         centers = _cluster(x, CENTROIDS)
         centroids.append(centers)
         owner += [number] * len(centers)
-        reach.append(min(1.0, SLACK * float((1 - (x @ centers.T).max(axis=1)).max()) + 0.02))
+        far = (1 - (x @ centers.T).max(axis=1))[tables[language].sum(axis=1) >= MIN_GRAMS]
+        reach.append(min(1.0, SLACK * float(far.max(initial=0.0)) + 0.05))
     return Model(languages, idf, np.concatenate(centroids), np.array(owner), np.array(reach))
 
 
