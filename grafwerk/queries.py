@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafwerk.graph import Graph, difference
-from grafwerk.operators import caps, metrics, neighbourhood, subset, superset, validate
+from grafwerk.operators import caps, metrics, neighbourhood, search, shapes, subset, superset, validate
 from grafwerk.plans.compile import Compiler
 from grafwerk.plans.parser import parse_node
 from grafwerk.plans.sql import SqlPlan, node_query, quoted
@@ -377,3 +377,175 @@ _TYPING = f"('{TYPE}', '{SUBCLASS}')"
 ) + f"SELECT src, label, dst FROM edges WHERE label = 'kg:region' UNION SELECT src, label, dst FROM edges WHERE label IN {_TYPING} AND src IN (SELECT n FROM reached)")
 def typing_completion(g: Graph) -> DataFrame:
     return neighbourhood.typing_completion(g.labelled("kg:region"), g.edges, (TYPE, SUBCLASS))
+
+
+# -- rule mining
+
+MINING = search.SearchConfig(min_support=20, min_confidence=0.9, max_antecedent=2, max_path=1, type_predicate=TYPE, subclass_predicate=SUBCLASS)
+_S, _C = MINING.min_support, MINING.min_confidence
+
+_TYPED = ("typed", "SELECT node AS n, cls FROM types UNION SELECT t.node, u.sup FROM types t JOIN up u ON u.cls = t.cls")
+_NAMED = ("named", f"SELECT v.node AS cls, v.value FROM nodes v WHERE v.value IS NOT NULL AND (v.node IN (SELECT cls FROM types) OR v.node IN (SELECT src FROM edges WHERE label = '{SUBCLASS}') OR v.node IN (SELECT dst FROM edges WHERE label = '{SUBCLASS}'))")
+_CLASS_EXT = ("class_ext", f"SELECT * FROM (SELECT DISTINCT 'c_' || m.value AS key, t.n FROM typed t JOIN named m ON m.cls = t.cls) x WHERE key IN (SELECT 'c_' || m.value FROM typed t JOIN named m ON m.cls = t.cls GROUP BY m.value HAVING count(DISTINCT t.n) >= {_S})")
+_STEP_EXT = ("step_ext", f"SELECT 'd_' || label AS key, src AS n FROM edges WHERE label NOT IN ('{TYPE}', '{SUBCLASS}') UNION SELECT 'u_' || label, dst FROM edges WHERE label NOT IN ('{TYPE}', '{SUBCLASS}')")
+_EXT = ("ext", "SELECT * FROM class_ext UNION ALL SELECT * FROM step_ext")
+_MEMBER = (
+    ("one", f"SELECT key AS body, 1 AS atoms, n FROM ext WHERE key IN (SELECT key FROM ext GROUP BY key HAVING count(*) >= {_S})"),
+    ("two", "SELECT a.body || chr(1) || b.body AS body, 2 AS atoms, a.n FROM one a JOIN one b ON a.n = b.n AND b.body > a.body"),
+    ("member", f"SELECT * FROM one UNION ALL SELECT * FROM two WHERE body IN (SELECT body FROM two GROUP BY body HAVING count(*) >= {_S})"),
+)
+_SCORED = (
+    ("head", "SELECT DISTINCT key, CASE WHEN key LIKE 'c\\_%' ESCAPE '\\' THEN 'type' ELSE key END AS lead FROM ext"),
+    ("leads", "SELECT DISTINCT 'type' AS lead, node AS n FROM types UNION ALL SELECT key, n FROM step_ext"),
+    ("support", "SELECT m.body, e.key, count(*) AS support FROM member m JOIN ext e ON e.n = m.n GROUP BY m.body, e.key"),
+    ("judged", "SELECT m.body, m.atoms, l.lead, count(*) AS denominator FROM member m JOIN leads l ON l.n = m.n GROUP BY m.body, m.atoms, l.lead"),
+    ("size", "SELECT body, count(*) AS size FROM member GROUP BY body"),
+    ("scored", "SELECT j.body, j.atoms, h.key AS head, list_contains(string_split(j.body, chr(1)), h.key) AS tautology, z.size, coalesce(s.support, 0) AS support, j.denominator, CAST(coalesce(s.support, 0) AS DOUBLE) / j.denominator AS confidence FROM judged j JOIN head h ON h.lead = j.lead JOIN size z ON z.body = j.body LEFT JOIN support s ON s.body = j.body AND s.key = h.key"),
+    ("admitted", f"SELECT * FROM scored WHERE NOT tautology AND support >= {_S} AND confidence >= {_C}"),
+    ("near", f"SELECT * FROM scored WHERE NOT tautology AND support >= {_S} AND confidence < {_C}"),
+)
+_MINED = (_TYPES, _UP, _TYPED, _NAMED, _CLASS_EXT, _STEP_EXT, _EXT, *_MEMBER, *_SCORED)
+
+
+def _mined(select: str, *more: tuple[str, str]) -> str:
+    return _with(*_MINED, *more) + select
+
+
+def _scores(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(scored, members, heads, held, leads, atoms) of all heads of one step, named by atom keys."""
+    if "mined" not in g.memo:
+        atoms = search.atom_extensions(g, MINING).persist()
+        members = search.lattice(atoms, MINING).select("body", "atoms", "n").persist()
+        kind = F.when(F.col("head").startswith("c_"), F.lit("type")).otherwise(F.col("head"))
+        heads = atoms.select(F.col("key").alias("head")).distinct().select("head", kind.alias("lead"), F.col("head").alias("atom"))
+        typed = metrics.type_edges(g, [TYPE]).select(F.lit("type").alias("lead"), F.col("node").alias("n")).distinct()
+        leads = typed.unionByName(search.step_extensions(g, MINING).withColumnRenamed("key", "lead")).persist()
+        held = atoms.withColumnRenamed("key", "head")
+        g.memo["mined"] = (search.score(members, heads, held, leads), members, heads, held, leads, atoms)
+    return g.memo["mined"]
+
+
+_SCORE_COLUMNS = ("body", "head", "size", "support", "denominator", "confidence")
+
+
+@query(_mined("SELECT key, count(*) AS size FROM class_ext GROUP BY key"))
+def mine_class_extensions(g: Graph) -> DataFrame:
+    return search.class_extensions(g, MINING).groupBy("key").agg(F.count("*").alias("size"))
+
+
+@query(_mined("SELECT key, count(*) AS size FROM ext GROUP BY key"))
+def mine_atoms(g: Graph) -> DataFrame:
+    return search.atom_extensions(g, MINING).groupBy("key").agg(F.count("*").alias("size"))
+
+
+@query(_mined("SELECT body, size FROM size WHERE body LIKE '%' || chr(1) || '%'"))
+def mine_lattice_k2(g: Graph) -> DataFrame:
+    return _scores(g)[1].where("atoms = 2").groupBy("body").agg(F.count("*").alias("size"))
+
+
+@query(_mined("SELECT body, head, size, support, denominator, confidence FROM scored"))
+def mine_pca_scores(g: Graph) -> DataFrame:
+    return _scores(g)[0].select(*_SCORE_COLUMNS)
+
+
+@query(_mined("SELECT body, head, size, support, denominator, confidence FROM admitted"))
+def mine_admitted(g: Graph) -> DataFrame:
+    return search.admitted(_scores(g)[0], MINING).select(*_SCORE_COLUMNS)
+
+
+_BEATEN = """NOT EXISTS (SELECT 1 FROM admitted a WHERE a.head = b.head AND a.body <> b.body AND a.confidence >= b.confidence
+    AND (a.size > b.size OR (a.size = b.size AND (a.atoms < b.atoms OR (a.atoms = b.atoms AND a.body < b.body))))
+    AND (SELECT c.n FROM common c WHERE c.a = a.body AND c.b = b.body) = b.size)"""
+
+
+@query(_mined(f"SELECT body, head, size, support, denominator, confidence FROM admitted b WHERE {_BEATEN}", ("common", "SELECT x.body AS a, y.body AS b, count(*) AS n FROM member x JOIN member y ON x.n = y.n WHERE x.body <> y.body GROUP BY x.body, y.body")))
+def mine_dominant(g: Graph) -> DataFrame:
+    scored, members, *_ = _scores(g)
+    return search.undominated(search.admitted(scored, MINING), members).select(*_SCORE_COLUMNS)
+
+
+@query(_mined("SELECT body, head, size, support, denominator, confidence FROM near"))
+def mine_near_misses(g: Graph) -> DataFrame:
+    return search.near_misses(_scores(g)[0], MINING).select(*_SCORE_COLUMNS)
+
+
+@query(_mined(
+    f"""SELECT body, head, atom, residual, covered, coverage, lifted AS support, denominator, confidence FROM (
+        SELECT *, row_number() OVER (PARTITION BY body, head ORDER BY coverage DESC, confidence DESC, atom) AS rank FROM lifted
+        WHERE coverage >= {MINING.purity} AND covered >= {_S} AND confidence >= {_C} AND within < size) x WHERE rank = 1""",
+    ("failing", "SELECT w.body, w.head, m.n FROM near w JOIN head h ON h.key = w.head JOIN member m ON m.body = w.body JOIN leads l ON l.lead = h.lead AND l.n = m.n WHERE NOT EXISTS (SELECT 1 FROM ext e WHERE e.key = w.head AND e.n = m.n)"),
+    ("within", "SELECT m.body, e.key, count(*) AS within FROM member m JOIN ext e ON e.n = m.n GROUP BY m.body, e.key"),
+    ("lifted", """SELECT w.body, w.head, c.key AS atom, r.residual, c.covered, CAST(c.covered AS DOUBLE) / r.residual AS coverage, w.support + c.covered AS lifted,
+        w.denominator, CAST(w.support + c.covered AS DOUBLE) / w.denominator AS confidence, i.within, w.size FROM near w
+        JOIN (SELECT body, head, count(*) AS residual FROM failing GROUP BY ALL) r ON r.body = w.body AND r.head = w.head
+        JOIN (SELECT f.body, f.head, e.key, count(*) AS covered FROM failing f JOIN ext e ON e.n = f.n GROUP BY ALL) c ON c.body = w.body AND c.head = w.head
+        JOIN within i ON i.body = w.body AND i.key = c.key"""),
+))
+def mine_widenings(g: Graph) -> DataFrame:
+    scored, members, heads, held, leads, atoms = _scores(g)
+    return search.widenings(search.near_misses(scored, MINING), members, heads, held, leads, atoms, MINING)
+
+
+#: The reference of the stability query: the graph without parts.
+_PARTLESS = "WHERE m.n NOT LIKE 'p:%'"
+
+
+@query(_mined(
+    f"""SELECT a.body, a.head, CASE WHEN coalesce(z.size, 0) < {_S} OR coalesce(j.denominator, 0) < 1 THEN 'not_comparable' ELSE
+        CASE WHEN abs(a.confidence - CAST(coalesce(s.support, 0) AS DOUBLE) / j.denominator) <= 0.05 THEN 'stable' ELSE 'unstable' END END AS outcome
+        FROM admitted a JOIN head h ON h.key = a.head LEFT JOIN size_ref z ON z.body = a.body LEFT JOIN judged_ref j ON j.body = a.body AND j.lead = h.lead LEFT JOIN support_ref s ON s.body = a.body AND s.key = a.head""",
+    ("size_ref", f"SELECT body, count(*) AS size FROM member m {_PARTLESS} GROUP BY body"),
+    ("judged_ref", f"SELECT m.body, l.lead, count(*) AS denominator FROM member m JOIN leads l ON l.n = m.n {_PARTLESS} GROUP BY m.body, l.lead"),
+    ("support_ref", f"SELECT m.body, e.key, count(*) AS support FROM member m JOIN ext e ON e.n = m.n {_PARTLESS} GROUP BY m.body, e.key"),
+))
+def mine_stability(g: Graph) -> DataFrame:
+    scored, members, heads, held, leads, _ = _scores(g)
+    reference = search.score(members.where("n NOT LIKE 'p:%'"), heads, held, leads)
+    reference = reference.select("body", "head", F.col("size").alias("size_ref"), F.col("denominator").alias("denominator_ref"), F.col("confidence").alias("confidence_ref"))
+    return search.stability(search.admitted(scored, MINING), reference, "size", MINING, 0.05).select("body", "head", "outcome")
+
+
+_ENDS = ("ends", f"SELECT DISTINCT 'domain' AS role, label, src AS n FROM edges WHERE label NOT IN ('{TYPE}', '{SUBCLASS}') UNION SELECT 'range', label, dst FROM edges WHERE label NOT IN ('{TYPE}', '{SUBCLASS}')")
+_BODY = ("body", "SELECT e.role, e.label, count(*) AS body, count(*) FILTER (WHERE n IN (SELECT node FROM types)) AS typed FROM ends e GROUP BY e.role, e.label")
+_CLEAR = ("clear", f"SELECT e.role, e.label, t.cls, count(*) AS support, any_value(b.typed) AS typed, CAST(count(*) AS DOUBLE) / any_value(b.typed) AS pca FROM ends e JOIN typed t ON t.n = e.n JOIN body b ON b.role = e.role AND b.label = e.label WHERE b.typed >= 0.5 * b.body GROUP BY e.role, e.label, t.cls HAVING count(*) >= {_S} AND CAST(count(*) AS DOUBLE) / any_value(b.typed) >= {_C}")
+_BEST = ("best", """SELECT role, label, cls, support, pca FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY role, label ORDER BY (SELECT count(*) FROM up u WHERE u.cls = c.cls) DESC, support DESC, cls) AS rank FROM clear c
+    WHERE NOT EXISTS (SELECT 1 FROM clear d JOIN up u ON u.cls = d.cls WHERE d.role = c.role AND d.label = c.label AND u.sup = c.cls)) x WHERE rank = 1""")
+_SHAPE = (_TYPES, _UP, _TYPED, _ENDS, _BODY, _CLEAR, _BEST)
+
+
+@query(_with(*_SHAPE) + "SELECT role, label, cls, support, pca FROM best")
+def mine_domain_range_best_class(g: Graph) -> DataFrame:
+    return shapes.best_classes(g, MINING)
+
+
+@query(_with(*_SHAPE, ("alien", "SELECT e.role, e.label, count(DISTINCT e.n) AS alien FROM ends e JOIN best b ON b.role = e.role AND b.label = e.label JOIN types t ON t.node = e.n WHERE t.cls <> b.cls AND NOT EXISTS (SELECT 1 FROM up u WHERE (u.cls = t.cls AND u.sup = b.cls) OR (u.cls = b.cls AND u.sup = t.cls)) GROUP BY e.role, e.label"))
+       + "SELECT b.role, b.label, b.cls, coalesce(a.alien, 0) AS foreign, s.body, CAST(coalesce(a.alien, 0) AS DOUBLE) / s.body AS ratio, CAST(coalesce(a.alien, 0) AS DOUBLE) / s.body >= 0.2 AS flagged FROM best b JOIN body s ON s.role = b.role AND s.label = b.label LEFT JOIN alien a ON a.role = b.role AND a.label = b.label".replace("AS foreign", 'AS "foreign"'))
+def mine_contamination(g: Graph) -> DataFrame:
+    return shapes.contamination(g, MINING)
+
+
+@query(_with(_TYPES, _UP, _TYPED, _ENDS, ("found", f"SELECT t.cls, e.label, count(*) AS support, (SELECT count(*) FROM typed m WHERE m.cls = t.cls) AS members FROM typed t JOIN ends e ON e.n = t.n AND e.role = 'domain' WHERE t.cls IN (SELECT cls FROM types GROUP BY cls HAVING count(*) >= {_S}) GROUP BY t.cls, e.label"))
+       + f"SELECT cls, label, support, members, CAST(support AS DOUBLE) / members AS confidence FROM found WHERE support >= {_S} AND CAST(support AS DOUBLE) / members >= {_C}")
+def mine_requires(g: Graph) -> DataFrame:
+    return shapes.requirements(g, MINING)
+
+
+@query(_with(_TYPES, _ENDS, _BODY) + f"SELECT e.role, e.label, t.cls, any_value(b.body) AS population, count(*) AS hits, CAST(count(*) AS DOUBLE) / any_value(b.body) AS prevalence FROM ends e JOIN types t ON t.node = e.n JOIN body b ON b.role = e.role AND b.label = e.label WHERE b.body >= {_S} GROUP BY e.role, e.label, t.cls HAVING CAST(count(*) AS DOUBLE) / any_value(b.body) >= {_C}")
+def mine_prevalence(g: Graph) -> DataFrame:
+    return shapes.prevalence(g, MINING)
+
+
+@query(_with(_TYPES, _ENDS, _BODY) + f"SELECT e.role, e.label, t.cls, count(*) AS support, any_value(b.typed) AS judged, CAST(count(*) AS DOUBLE) / any_value(b.typed) AS confidence FROM ends e JOIN types t ON t.node = e.n JOIN body b ON b.role = e.role AND b.label = e.label GROUP BY e.role, e.label, t.cls HAVING count(*) >= {_S} AND CAST(count(*) AS DOUBLE) / any_value(b.typed) >= {_C}")
+def mine_pca_horn(g: Graph) -> DataFrame:
+    return shapes.pca_horn(g, MINING)
+
+
+@query(_with(_TYPES, _ENDS, ("dom", "SELECT label, n FROM ends WHERE role = 'domain'"), ("own", "SELECT label, n FROM dom WHERE n IN (SELECT node FROM types)"),
+             ("plain", "SELECT o.label, t.cls, count(*) AS hits, (SELECT count(*) FROM own x WHERE x.label = o.label) AS total FROM own o JOIN types t ON t.node = o.n GROUP BY o.label, t.cls"),
+             ("lost", "SELECT o.label, d.label AS without, count(*) AS lost FROM own o JOIN dom d ON d.n = o.n AND d.label <> o.label GROUP BY o.label, d.label"),
+             ("lost_hits", "SELECT o.label, d.label AS without, t.cls, count(*) AS lost FROM own o JOIN dom d ON d.n = o.n AND d.label <> o.label JOIN types t ON t.node = o.n GROUP BY o.label, d.label, t.cls"),
+             ("found", "SELECT p.label, l.without, p.cls, p.hits - coalesce(h.lost, 0) AS support, p.total - l.lost AS judged FROM plain p JOIN lost l ON l.label = p.label LEFT JOIN lost_hits h ON h.label = p.label AND h.without = l.without AND h.cls = p.cls WHERE CAST(p.hits AS DOUBLE) / p.total < " + str(_C)))
+       + f"SELECT label, without, cls, support, judged, CAST(support AS DOUBLE) / judged AS confidence FROM found WHERE judged > 0 AND support >= {_S} AND CAST(support AS DOUBLE) / judged >= {_C}")
+def mine_negated_exclusion(g: Graph) -> DataFrame:
+    return shapes.negated_exclusions(g, MINING)
