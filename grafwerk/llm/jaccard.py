@@ -221,8 +221,9 @@ _SET_ARROW = pa.schema([("d", pa.int64()), ("items", pa.binary())])
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, width).tobytes() for t in texts_as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=_SET_ARROW)
+            sets = [(d, shingles(t, width)) for d, t in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)))]
+            sets = [(d, s.tobytes()) for d, s in sets if digest(s) == d]  # an id may have several texts
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], schema=_SET_ARROW)
 
     return run
 

@@ -203,6 +203,13 @@ def test_cells_cover_every_link():
                     assert len(np.intersect1d(cells.signatures(a), cells.signatures(b)))
 
 
+def test_jaccard_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    frame = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(frame).collect()}
+    assert got == {(1, 37, 1), (2, 38, 1), (3, 38, 1)}
+
+
 def test_jaccard_odd(empty, odd_columns):
     assert jaccard.components(empty).count() == 0
     assert jaccard.components(odd_columns).count() == len(rows())
