@@ -20,10 +20,11 @@ least one region.
 of a group of copies.  A document's home (its Voronoi cell) is the best of the pivots it meets, and
 its exact distance to it is computed first.  Links make components.
 
-*Recursion.*  Regions that overlap make a family; no link leaves a family.  A family in one component
-is done, since further links change nothing.  The others are cut into tiles of a bounded number of
-members and elements, large components apart from the rest, and tiles are joined pairwise; pairs of
-tiles within one component, or whose sizes can't link, are left out.  In a pair of tiles the triangle
+*Recursion.*  Regions that overlap make a family; no link leaves a family.  A family of a bounded
+number of members and elements is joined at once.  In a larger one, homes come first; if it is then one
+component, it is done, since further links change nothing.  Otherwise it is cut into tiles of the same
+bounds, large components apart from the rest, and tiles are joined pairwise; pairs of tiles within one
+component, or whose sizes can't link, are left out.  In a pair of tiles the triangle
 inequality is applied to members of one home at distances a and b: they link if a + b <= r and
 can't if |a - b| > r, the window outside of which members aren't compared.  The intersections of
 the others are counted exactly, and a pair of tiles returns a spanning forest of its links.
@@ -46,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafwerk.llm.common import small_batches, store, texts_as_bytes
+from grafwerk.llm.common import release, small_batches, store, texts_as_bytes
 
 WIDTH, SIMILARITY = 4, (85, 100)
 #: Size classes of the partitioned sets grow by this ratio.
@@ -215,15 +216,20 @@ def _celled(width: int, num: int, den: int):
     return run
 
 
-_SET_ARROW = pa.schema([("d", pa.int64()), ("items", pa.binary())])
+_SET_ARROW = pa.schema([("d", pa.int64()), ("family", pa.int64()), ("task", pa.int64()), ("items", pa.binary())])
+_SET = "d long, family long, task long, items binary"
 
 
 def _sets(width: int):
+    """(d, family, task, text) to sets; an id may have several texts, of which one is meant."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(d, shingles(t, width)) for d, t in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)))]
-            sets = [(d, s.tobytes()) for d, s in sets if digest(s) == d]  # an id may have several texts
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], schema=_SET_ARROW)
+            names = batch.column(0).to_pylist()
+            sets = [shingles(t, width) for t in texts_as_bytes(batch.column(3))]
+            kept = [i for i, (d, s) in enumerate(zip(names, sets)) if digest(s) == d]
+            part = batch.select(["d", "family", "task"]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sets[i].tobytes() for i in kept], pa.binary())], schema=_SET_ARROW)
 
     return run
 
@@ -382,29 +388,56 @@ def _tile_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return shipped.groupBy("task").applyInPandas(_joined_tiles(num, den), "a long, b long")
 
 
+def _texts(docs: DataFrame, members: DataFrame, repeated: bool, width: int) -> DataFrame:
+    """The sets of members (d, __id, family, task), computed from their texts."""
+    ids = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
+    texts = docs.join(ids, F.col("doc_id") == F.col("__id")).select("d", "family", "task", "text")
+    sets = texts.mapInArrow(_sets(width), _SET)
+    return sets.dropDuplicates(["d"]) if repeated else sets
+
+
 def set_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(d, comp) of the sets that lie in regions; classes: (doc_id, n, d)."""
+    spark = docs.sparkSession
     regions = _regions(docs, width, num, den)
+    release(spark)
     degree = regions.groupBy("d").agg(F.count("*").alias("cells"))
     chosen = classes.join(degree, "d").groupBy("d").agg(F.min("doc_id").alias("__id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     chosen = store(chosen.where(F.col("__id").isNotNull()), "chosen")
-    ids = chosen.select("d", "__id")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("__id")).select("d", "text")
-    sets = store(texts.mapInArrow(_sets(width), "d long, items binary").dropDuplicates(["d"]), "sets")
+    repeated = bool(classes.join(chosen.select("d", F.col("__id").alias("doc_id")), ["d", "doc_id"]).groupBy("d").count().where("count > 1").limit(1).count())
 
     ranked = regions.join(chosen.select("d", "cells"), "d").select("cell", "d", F.struct("cells", "d").alias("rank"))
     pivots = ranked.groupBy("cell").agg(F.max("rank").alias("pivot"))
-    met = regions.join(pivots, "cell")
-    met = store(met.select("d", "pivot").distinct(), "met")
-    home = met.groupBy("d").agg(F.max("pivot").alias("pivot")).select(F.col("d").alias("a"), F.col("pivot.d").alias("b"))
+    met = store(regions.join(pivots, "cell").select("d", "pivot").distinct(), "met")
+    family = connected(met.select(F.col("d").alias("a"), F.col("pivot.d").alias("b")).where("a <> b"))
+    members = chosen.join(family.select(F.col("node").alias("d"), F.col("comp").alias("family")), "d")
+    sizes = members.groupBy("family").agg(F.count("*").alias("all"), F.sum("n").alias("elements"))
+    sizes = sizes.withColumn("large", (F.col("all") > TILE_MEMBERS) | (F.col("elements") > TILE_ELEMENTS))
+    members = store(members.join(sizes.select("family", "large"), "family").select("d", "__id", "n", "family", "large"), "members")
+    release(spark)
+
+    small, large = members.where("NOT large"), members.where("large")
+    groups = max(1, -(-(small.agg(F.sum("n")).first()[0] or 0) // GROUP_ELEMENTS))
+    dealt = small.select("d", "__id", "family", F.pmod(F.xxhash64("family"), F.lit(groups)).alias("task"))
+    shipped = _texts(docs, dealt, repeated, width).select(
+        "task", "family", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "d", F.col("d").alias("comp"), F.col("d").alias("home"), F.lit(0.0).alias("far"), "items",
+    )
+    links = store(shipped.groupBy("task").applyInPandas(_joined_tiles(num, den), "a long, b long"), "links")
+    release(spark)
+    comps = members.select("d", F.col("d").alias("comp"))
+    if not large.limit(1).count():
+        return _joined(comps, links)
+
+    sets = store(_texts(docs, large.select("d", "__id", "family", F.lit(0).cast("long").alias("task")), repeated, width).select("d", "items"), "sets")
+    home = met.join(large.select("d"), "d", "left_semi").groupBy("d").agg(F.max("pivot").alias("pivot")).select(F.col("d").alias("a"), F.col("pivot.d").alias("b"))
     near = store(_distances(home.where("a <> b"), sets), "homes")
     linked = F.col("both") * den >= F.col("total") * num
-    family = connected(met.select(F.col("d").alias("a"), F.col("pivot.d").alias("b")).where("a <> b"))
     homes = near.select(F.col("a").alias("d"), F.col("b").alias("home"), (1 - F.col("both") / F.col("total")).alias("far"))
-    placed = chosen.select("d", "n").join(family.select(F.col("node").alias("d"), F.col("comp").alias("family")), "d").join(homes, "d", "left")
+    placed = large.select("d", "n", "family").join(homes, "d", "left")
     placed = placed.select("d", "n", "family", F.coalesce("home", "d").alias("home"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    comps = _joined(chosen.select("d", F.col("d").alias("comp")), near.where(linked))
-    return _joined(comps, _tile_links(placed.join(comps, "d"), sets, num, den))
+    comps = _joined(comps, links.unionByName(near.where(linked).select("a", "b")))
+    release(spark)
+    return _joined(comps, store(_tile_links(placed.join(comps, "d"), sets, num, den), "links"))
 
 
 def components(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
