@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grafwerk.candidates import candidate_cid
 from grafwerk.graph import Graph, difference
 from grafwerk.operators import caps, metrics, neighbourhood, search, shapes, subset, superset, validate
 from grafwerk.plans.compile import Compiler
@@ -18,6 +19,7 @@ from grafwerk.plans.parser import parse_node
 from grafwerk.plans.sql import SqlPlan, node_query, quoted
 from grafwerk.rules import BOUNDARY, CORE, REPORT, SUBSET, SUPERSET, Constraint, ConstraintSet, rule_set
 from grafwerk.sources.relational import SUBCLASS, TABLE_SQL, TYPE, graph_from_tables
+from grafwerk.sources.turtle import AllowList
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -549,3 +551,36 @@ def mine_pca_horn(g: Graph) -> DataFrame:
        + f"SELECT label, without, cls, support, judged, CAST(support AS DOUBLE) / judged AS confidence FROM found WHERE judged > 0 AND support >= {_S} AND CAST(support AS DOUBLE) / judged >= {_C}")
 def mine_negated_exclusion(g: Graph) -> DataFrame:
     return shapes.negated_exclusions(g, MINING)
+
+
+# -- terms, and operators without SQL
+
+_NAMES = AllowList("tables", "tables", frozenset(), frozenset(), (("ord", "http://g.org/o/"), ("g", "http://g.org/")), "")
+
+
+@query(_tables("SELECT iri, CASE WHEN starts_with(iri, 'http://g.org/o/') THEN 'ord:' || substr(iri, 16) ELSE 'g:' || substr(iri, 14) END AS curie FROM (SELECT DISTINCT 'http://g.org/' || replace(src, ':', '/') AS iri FROM edges WHERE label IN ('kg:customer', 'kg:region')) x"))
+def curie_abbreviate(g: Graph) -> DataFrame:
+    iri = F.concat(F.lit("http://g.org/"), F.replace(F.col("src"), F.lit(":"), F.lit("/")))
+    found = g.edges.where(F.col("label").isin("kg:customer", "kg:region")).select(iri.alias("iri")).distinct()
+    return found.select("iri", _NAMES.abbreviate(F.col("iri")).alias("curie"))
+
+
+@query()
+def content_hash(g: Graph) -> DataFrame:
+    """The hash of the regions' edges, which the driver streams."""
+    return g.spark.createDataFrame([(Graph(g.nodes, g.labelled("kg:region")).content_hash(),)], "hash string")
+
+
+@query()
+def prune(g: Graph) -> DataFrame:
+    """Additions for the supplier rules, pruned."""
+    own = ConstraintSet("pruned", [c for c in RULES if c.cid == "rng.supplier"])
+    return superset.superset_repair(g, own).added_edges()
+
+
+@query()
+def candidate_cids(g: Graph) -> DataFrame:
+    found = search.admitted(_scores(g)[0], MINING).select("body", "head").orderBy("body", "head").collect()  # the mined rules
+    text = lambda k: search.atom_text(k, MINING)
+    rows = [(r["body"], r["head"], candidate_cid("tables", "tables", search.body_text(r["body"], MINING), text(r["head"]))) for r in found]
+    return g.spark.createDataFrame(rows, "body string, head string, cid string")

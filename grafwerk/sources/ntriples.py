@@ -20,7 +20,7 @@ TYPE_PREDICATES = ("rdf:type", "rdfs:subClassOf", "wdt:P31", "wdt:P279", "a")
 FULL_TYPE_PREDICATES = ("http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/2000/01/rdf-schema#subClassOf")
 
 _LITERAL = r'"(?:[^"\\]|\\.)*"(?:\^\^\S+?|@[A-Za-z0-9-]+?)?'
-_TERM = rf"(?:<[^<>\s]*>|_:\S+?|{_LITERAL}|[^\s\"<>]+?)"
+_TERM = rf"(?:<[^<>\s]*>|_:\S+?|{_LITERAL}|(?!\.(?:\s|$))[^\s\"<>]+?)"
 #: One line: three terms, and the full stop.
 LINE = rf"^\s*({_TERM})\s+({_TERM})\s+({_TERM})\s*\.?\s*$"
 NOTHING = r"^\s*(?:#.*)?$"
