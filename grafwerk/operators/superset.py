@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafwerk.graph import Graph, cut, difference
+from grafwerk.operators import prune as prune_plan
 from grafwerk.operators.changes import LOG, records
 from grafwerk.operators.subset import _changed_values, _numbered
 from grafwerk.operators.validate import witnesses
@@ -25,8 +26,6 @@ from grafwerk.rules import CORE, Constraint, ConstraintSet
 #: Stands for the witness in a plan.
 WITNESS = "\x00witness"
 FRESH_PER_RULE = 2
-#: Added edges whose pruning is replayed one by one, and edges that the driver may hold for that.
-PRUNE_EDGES, REPLAY_EDGES = 5000, 200_000
 
 
 class NoSupersetPlan(ValueError):
@@ -123,7 +122,7 @@ class SupersetRepairResult:
     log: DataFrame
     rounds: int
     pruned_edges: int
-    #: "replayed", "too many additions", "too many edges", "inconsistent" or "off".
+    #: "grouped", "replayed", "inconsistent" or "off".
     pruning: str
     attestations: dict[str, bool]
 
@@ -200,7 +199,7 @@ def superset_repair(graph: Graph, rules: ConstraintSet, prune: bool = True, max_
     if prune and not consistent:
         how = "inconsistent"
     elif prune:
-        now, log, pruned, how = _prune(graph, now, log, own)
+        now, log, pruned, how = _prune(now, log, own)
     removed, _ = difference(graph, now)
     attest = {
         "consistent_after": not witnesses(now, own).limit(1).count(),
@@ -222,9 +221,9 @@ def _replayed(candidates: list[tuple], edges: list[tuple], after: Graph, rules:
     constants = sorted({c for r in rules for c in ast.constants(r.phi) | ast.constants(r.psi)})
     nodes = {n for s, _, d in edges for n in (s, d)}
     values: dict[str, str | None] = dict.fromkeys(nodes)
-    values.update((r["node"], r["value"]) for r in after.nodes.where(F.col("value").isin(*constants)).limit(REPLAY_EDGES).collect())
+    values.update((r["node"], r["value"]) for r in after.nodes.where(F.col("value").isin(*constants)).collect())
     local, gone = LocalGraph(edges, values), []
-    for _, _, src, label, dst, *_ in candidates:
+    for _, _, src, label, dst in candidates:
         edge = (src, label, dst)
         local.remove(edge)
         if any(local.node(r.phi) - local.node(r.psi) for r in rules):
@@ -234,31 +233,25 @@ def _replayed(candidates: list[tuple], edges: list[tuple], after: Graph, rules:
     return gone
 
 
-def _prune(before: Graph, after: Graph, log: DataFrame, rules: list[Constraint]) -> tuple[Graph, DataFrame, int, str]:
-    """Greedy by (round, rule, source, label, target): an edge goes if every core rule still holds.
-    Replayed on the driver while the additions in doubt and the edges that rules read are few.
-
-    Only edges for which some other added edge could stand in can be redundant: those whose witness
-    has another added or known edge of a label that its rule's consequent reads.  These are replayed
-    in order; all others are needed by their own witness.
+def _prune(after: Graph, log: DataFrame, rules: list[Constraint]) -> tuple[Graph, DataFrame, int, str]:
+    """Greedy by (round, rule, source, label, target) over all added edges: an edge goes if every core
+    rule still holds.  Rules that read added edges by their first hops only are pruned on the cluster
+    (see prune); any other rule set is replayed on the driver, whatever its size.
     """
-    added = log.where("op = 'add_edge'")
-    reads = before.spark.createDataFrame([(r.cid, label) for r in rules for label in sorted(ast.labels(r.psi))], "constraint string, reads string")
-    known = after.edges
-    near = known.select(F.col("src").alias("witness"), F.col("label").alias("reads")).unionByName(known.select(F.col("dst").alias("witness"), F.col("label").alias("reads")))
-    near = near.groupBy("witness", "reads").agg(F.count("*").alias("n"))
-    doubtful = added.join(F.broadcast(reads), "constraint").join(near, ["witness", "reads"]).groupBy("round", "constraint", "src", "label", "dst").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = doubtful.orderBy("round", "constraint", "src", "label", "dst").limit(PRUNE_EDGES + 1).collect()
-    if len(rows) > PRUNE_EDGES:
-        return after, log, 0, "too many additions"
-    used = sorted({x for r in rules for x in ast.labels(r.phi) | ast.labels(r.psi)})
-    read = after.edges.where(F.col("label").isin(*used)).limit(REPLAY_EDGES + 1).collect()
-    if len(read) > REPLAY_EDGES:
-        return after, log, 0, "too many edges"
-    spark, gone = before.spark, _replayed([tuple(r) for r in rows], [tuple(r) for r in read], after, rules)
-    if not gone:
-        return after, log, 0, "replayed"
-    lost = spark.createDataFrame(gone, "src string, label string, dst string")
+    added = log.where("op = 'add_edge'").select(*prune_plan.ORDER)
+    try:
+        lost, how = prune_plan.redundant(added, after, rules), "grouped"
+    except prune_plan.NotLocal:
+        used = sorted({x for r in rules for x in ast.labels(r.phi) | ast.labels(r.psi)})
+        # an edge that no rule reads can go at any time; of these, only the added ones matter
+        read = after.edges.where(F.col("label").isin(*used)).collect()
+        rows = sorted(tuple(r) for r in added.collect())
+        gone = _replayed(rows, [tuple(r) for r in read], after, rules)
+        lost, how = after.spark.createDataFrame(gone, "src string, label string, dst string"), "replayed"
+    lost = cut(lost, "lost")
+    count = lost.count()
+    if not count:
+        return after, log, 0, how
     kept = after.remove_edges(lost)
     ends = kept.edges.select(F.col("src").alias("node")).unionByName(kept.edges.select(F.col("dst").alias("node")))
     idle = log.where("op = 'add_node'").select("node").join(ends, "node", "left_anti").distinct()
@@ -267,4 +260,4 @@ def _prune(before: Graph, after: Graph, log: DataFrame, rules: list[Constraint])
     edges_left = log.where("op = 'add_edge'").join(lost, ["src", "label", "dst"], "left_anti")
     nodes_left = log.where("op = 'add_node'").join(idle, "node", "left_anti")
     columns = [c.split()[0] for c in LOG.split(", ")]
-    return kept, edges_left.select(*columns).unionByName(nodes_left.select(*columns)), len(gone), "replayed"
+    return kept, edges_left.select(*columns).unionByName(nodes_left.select(*columns)), count, how

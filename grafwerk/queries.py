@@ -573,9 +573,9 @@ def content_hash(g: Graph) -> DataFrame:
 
 @query()
 def prune(g: Graph) -> DataFrame:
-    """Additions for the supplier rules, pruned."""
-    own = ConstraintSet("pruned", [c for c in RULES if c.cid == "rng.supplier"])
-    return superset.superset_repair(g, own).added_edges()
+    """Additions for all core rules but inheritance, pruned: without it, a type can stand in for one above it."""
+    own = ConstraintSet("pruned", [c for c in RULES.core() if c.cid != "inh.party"])
+    return superset.superset_repair(g.settled(), own).added_edges()
 
 
 @query()

@@ -1,6 +1,7 @@
 """Loading, validation, repairs, metrics, mining and the control plane on small graphs."""
 
 import json
+import random
 
 import pytest
 
@@ -8,6 +9,7 @@ from grafwerk import api, catalogue, cli
 from grafwerk.candidates import ACCEPTED, Candidate, CandidateFile
 from grafwerk.graph import Graph
 from grafwerk.operators import search
+from grafwerk.plans.local import LocalGraph
 from grafwerk.rules import Constraint, ConstraintSet, rule_set
 from grafwerk.synth import generate
 
@@ -98,6 +100,60 @@ def test_superset_repair(mini, rules):
     assert api.superset_repair(mini, rules, prune=False).pruning == "off"
 
 
+def plain_prune(result, rules):
+    """All added edges of an unpruned repair, tried one by one."""
+    edges = {tuple(r) for r in result.graph.edges.collect()}
+    values = {r["node"]: r["value"] for r in result.graph.nodes.collect()}
+    log = sorted((r.round, r.constraint, r.src, r.label, r.dst) for r in api.records(result.log) if r.op == "add_edge")
+    for *_, src, label, dst in log:
+        local = LocalGraph(edges - {(src, label, dst)}, values)
+        if not any(local.node(c.phi) - local.node(c.psi) for c in rules):
+            edges.remove((src, label, dst))
+    return edges
+
+
+def pruned_as_plain(graph, rules, how="grouped"):
+    want = plain_prune(api.superset_repair(graph, rules, prune=False), rules)
+    result = api.superset_repair(graph, rules)
+    assert result.pruning == how and all(result.attestations.values())
+    assert {tuple(r) for r in result.graph.edges.collect()} == want
+    assert want >= {tuple(r) for r in result.added_edges().collect()}
+    return result
+
+
+def test_prune_beyond_the_old_limits(spark):
+    """6,000 nodes with two added types each, of which one is redundant."""
+    triples = [("City", SUB, "Geo"), *[(f"x{i}", "near", f"x{i + 1}") for i in range(6000)], *[(f"x{i}", "mayor", "m") for i in range(6000)]]
+    graph = Graph.from_triples(spark, triples, {"City": "City", "Geo": "Geo"}).settled()
+    typed = lambda c: f'< down({TYPE}) . down({SUB})* . [val("{c}")] >'
+    rules = rule_set("large", [Constraint("a", "< down(near) >", typed("Geo")), Constraint("b", "< down(mayor) >", typed("City"))])
+    result = api.superset_repair(graph, rules)
+    assert result.pruned_edges == 6000 and result.pruning == "grouped" and all(result.attestations.values())
+    assert {tuple(r) for r in result.added_edges().collect()} == {(f"x{i}", TYPE, "City") for i in range(6000)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prune_random(spark, seed):
+    rng = random.Random(seed)
+    triples = {(f"n{rng.randrange(9)}", rng.choice("pqr"), f"n{rng.randrange(9)}") for _ in range(9)}
+    graph = Graph.from_triples(spark, sorted(triples), {}).settled()
+    sides = ["< down(p) >", "< up(p) >", "< down(q) >", "< up(q) >", "< down(r) >", "< up(r) >", '< down(s) . [val("S")] >', "< up(s) >", "< down(p) > & < down(q) >", '< down(t) . [val("U")] > | < down(t) >']
+    found = []
+    while len(found) < 7:
+        a, b = rng.choice(sides[:9]), rng.choice(sides)
+        if a != b:
+            found.append(Constraint(f"c{len(found)}", a, b))
+    rules = rule_set("random", found)
+    if api.superset_repair(graph, rules, prune=False).consistent_after:
+        pruned_as_plain(graph, rules)
+
+
+def test_prune_beyond_first_hops(spark):
+    graph = Graph.from_triples(spark, [("w", "x", "v")], {}).settled()
+    rules = rule_set("deep", [Constraint("A", "< down(x) >", "< down(y) >"), Constraint("B", "< down(x) >", "< down(y) . down(z) >")])
+    assert pruned_as_plain(graph, rules, "replayed").pruned_edges == 1
+
+
 def test_no_plan(spark):
     graph = Graph.from_triples(spark, [("a", "p", "b")], {}).settled()
     with pytest.raises(api.NoSupersetPlan):
