@@ -121,6 +121,19 @@ def pruned_as_plain(graph, rules, how="grouped"):
     return result
 
 
+def test_prune_reason_is_pruned(spark):
+    """The type of a fresh node goes with the edge that asked for it, and so does the node."""
+    graph = Graph.from_triples(spark, [("w", "x", "v")], {}).settled()
+    rules = rule_set("cascade", [
+        Constraint("A", "< down(x) >", "< down(y) >"),
+        Constraint("C", "< down(x) >", '< down(y) . [val("named")] >'),
+        Constraint("R", "< up(y) >", f'< down({TYPE}) . [val("T")] >'),
+    ])
+    result = pruned_as_plain(graph, rules)
+    assert {tuple(r) for r in result.added_edges().collect()} == {("w", "y", "named"), ("named", TYPE, "T")}
+    assert names(result.graph.nodes.select("node")) == ["T", "named", "v", "w"] and result.pruned_edges == 2
+
+
 def test_prune_beyond_the_old_limits(spark):
     """6,000 nodes with two added types each, of which one is redundant."""
     triples = [("City", SUB, "Geo"), *[(f"x{i}", "near", f"x{i + 1}") for i in range(6000)], *[(f"x{i}", "mayor", "m") for i in range(6000)]]
