@@ -565,10 +565,17 @@ def curie_abbreviate(g: Graph) -> DataFrame:
     return found.select("iri", _NAMES.abbreviate(F.col("iri")).alias("curie"))
 
 
+@query(_tables("SELECT iri, CASE WHEN starts_with(iri, 'http://g.org/o/') THEN 'ord:' || substr(iri, 16) ELSE 'g:' || substr(iri, 14) END AS curie FROM (SELECT DISTINCT 'http://g.org/' || replace(node, ':', '/') AS iri FROM nodes) x"))
+def curie_abbreviate_nodes(g: Graph) -> DataFrame:
+    """The terms of all nodes."""
+    iri = F.concat(F.lit("http://g.org/"), F.replace(F.col("node"), F.lit(":"), F.lit("/")))
+    return g.nodes.select(iri.alias("iri")).distinct().select("iri", _NAMES.abbreviate(F.col("iri")).alias("curie"))
+
+
 @query()
 def content_hash(g: Graph) -> DataFrame:
-    """The hash of the regions' edges, which the driver streams."""
-    return g.spark.createDataFrame([(Graph(g.nodes, g.labelled("kg:region")).content_hash(),)], "hash string")
+    """The hash of all edges, which the driver streams."""
+    return g.spark.createDataFrame([(g.content_hash(),)], "hash string")
 
 
 @query()
