@@ -226,6 +226,41 @@ def subset_changelog_counts(g: Graph) -> DataFrame:
     return subset.subset_repair(g, DELETIONS).log.groupBy("op", "constraint").agg(F.count("*").alias("n"))
 
 
+# Deletion by all eligible rules. The SQL of the rules can't follow the cascade of later rounds, so only
+# the first round has SQL; a test holds the rest against a plain repair.
+_ELIGIBLE = subset.eligible(RULES)
+
+
+def _repaired(g: Graph) -> subset.SubsetRepairResult:
+    return subset.subset_repair(g.settled(), RULES)
+
+
+@query(_witness_sql(_ELIGIBLE, 'SELECT n, rule AS "constraint" FROM gone', _GONE))
+def subset_all_round1_witnesses(g: Graph) -> DataFrame:
+    return subset.flagged(g, _ELIGIBLE)
+
+
+@query()
+def subset_all_deleted_nodes(g: Graph) -> DataFrame:
+    return _repaired(g).deleted()
+
+
+@query()
+def subset_all_remaining_edges(g: Graph) -> DataFrame:
+    return _repaired(g).graph.edges
+
+
+@query()
+def subset_all_changelog_counts(g: Graph) -> DataFrame:
+    return _repaired(g).log.groupBy("round", "op", "constraint").agg(F.count("*").alias("n"))
+
+
+@query()
+def subset_all_diff_removed(g: Graph) -> DataFrame:
+    whole = g.settled()
+    return difference(whole, subset.subset_repair(whole, RULES).graph)[0]
+
+
 _ADDED = (
     "added",
     "SELECT n AS src, 'kg:part' AS label, 'fresh:req.order_part:0' AS dst, cid FROM found WHERE cid = 'req.order_part' UNION ALL "
