@@ -30,10 +30,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest id."""
-    groups = jaccard.components(docs, SHINGLE_WORDS, SIMILARITY)
-    extra = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked texts: the one with the smallest id (a null id is the largest)."""
+    rows = store(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")  # ids may be repeated or null
+    groups = jaccard.components(rows.select(F.col("__row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY)
+    named = groups.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("least")).select("least.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

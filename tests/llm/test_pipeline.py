@@ -46,5 +46,16 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in packed.collect()} == clean
 
 
+def test_near_duplicates_by_row(spark):
+    """Ids may be repeated or null: a text without a copy stays, and one row of each group."""
+    x, y, z = (" ".join(f"{k}{i}" for i in range(40)) for k in "xyz")
+    rows = [(3, x), (5, x), (5, y), (7, z), (7, z), (None, z), (None, x + " end"), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(3, x), (5, y), (7, z), (9, None), (9, None)]))
+    nameless = spark.createDataFrame([(None, y)] * 3, "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, nameless, "").count() == 1
+
+
 def test_run(spark, folder):
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder[0]).collect()}
