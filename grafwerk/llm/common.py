@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -28,13 +26,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    It comes from ``spark.checkpoint.dir``; where that is unset or Spark's local default
-    (a single machine, as in tests), a folder of this user's is chosen.
+    Where that is unset, a single machine (as in tests) gets a folder of this user's; a cluster gets
+    an error, since what an executor writes to its own disk is lost with it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = os.path.join(tempfile.gettempdir(), "grafwerk-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -49,13 +49,48 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, now that their
-    results are stored; else they stay until the driver happens to collect its garbage."""
-    for _ in range(2):  # the first round drops the driver's references, the second what hung on them
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+class Scratch:
+    """A folder of stored tables that is deleted at the end of the ``with`` block."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.path, self.made = spark, f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys that are joined apart from the rest: the most frequent ones with this many rows or more.
+HOT_KEYS, HOT_ROWS = 2000, 10_000
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``unique`` (at most one row a key), whatever share of the rows one key holds.
+
+    A small ``unique`` is broadcast, after a check of its size.  Otherwise the HOT_KEYS most frequent keys
+    are, and each other key holds less than one row in HOT_KEYS or few.  ``rows`` should be a stored table, since it
+    is read twice; ``counts`` (key, held) may hold the counts of its frequent keys.
+    """
+    spark = rows.sparkSession
+    size = int(str(unique._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()):
+        return rows.join(F.broadcast(unique), key, how)
+    counts = rows.groupBy(key).agg(F.count("*").alias("held")) if counts is None else counts
+    hot = [r[0] for r in counts.where((F.col("held") > HOT_ROWS) & F.col(key).isNotNull()).orderBy(F.desc("held")).limit(HOT_KEYS).select(key).collect()]
+    if not hot:
+        return rows.join(unique, key, how)
+    some = F.col(key).isin(hot)
+    return rows.where(~some | F.col(key).isNull()).join(unique, key, how).unionByName(rows.where(some).join(F.broadcast(unique.where(some)), key, how))
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:

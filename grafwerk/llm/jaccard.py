@@ -4,36 +4,35 @@ A document's set holds the distinct ``width``-word shingles of its lower-cased (
 fewer words, the whole sequence as one; without words it is empty and linked with nothing.  Two
 documents link when ``den * |intersection| >= num * |union|``, a Jaccard distance of at most r.
 
-Equal sets are collapsed first: everything below is about different sets, named by a digest.
-
-*Regions.*  Almost all documents are at distance 1 from each other, so pivots drawn from the
-documents can't tell them apart.  Regions are made in projections instead: for sets of a class of
-sizes, a link leaves at most K elements different.  The universe is cut by hash into
-``m = K + 1 + spare`` parts, so at least ``1 + spare`` parts of two linked sets are equal
-(projected distance 0).  Every equal part is a region; a document is replicated into the region
-of each of its parts, and near the edge of a size class into those of the class below.  Up to
-``spare`` parts with no or one element need not be used.  Small sets (K of 1 or 2) are replicated
-into the regions of all their subsets with at most K elements missing.  Every link lies in at
-least one region.
-
-*Pivots.*  Each region elects as pivot the member that shares most regions, so one near the middle
-of a group of copies.  A document's home (its Voronoi cell) is the best of the pivots it meets, and
-its exact distance to it is computed first.  Links make components.
-
-*Recursion.*  Regions that overlap make a family; no link leaves a family.  A family of a bounded
-number of members and elements is joined at once.  In a larger one, homes come first; if it is then one
-component, it is done, since further links change nothing.  Otherwise it is cut into tiles of the same
-bounds, large components apart from the rest, and tiles are joined pairwise; pairs of tiles within one
-component, or whose sizes can't link, are left out.  In a pair of tiles the triangle
-inequality is applied to members of one home at distances a and b: they link if a + b <= r and
-can't if |a - b| > r, the window outside of which members aren't compared.  The intersections of
-the others are counted exactly, and a pair of tiles returns a spanning forest of its links.
-
-Sets are computed for documents in regions only.  All loops keep their state in tables of the
-shared folder; no group is collected into a task or the driver.  Digests have 64 bits.
+Equal sets are collapsed first, by 128-bit digests: everything below is about different sets.
+
+*Pivots.*  Almost all documents are at distance 1 from each other, where no pivot tells them apart, so
+pivots are elected where documents meet: in the shingles of their prefixes.  All shingles have one total
+order, rarest first by a sketch of counts over all texts (any order is exact, this one is fast); the prefix
+of a set of n holds its first ``n - ceil(n * num / den) + 1``, and linked sets share a shingle of both
+prefixes.  The sets that meet in a shingle elect the one that meets most others.  Where more than ``CROWD``
+sets meet in a shingle, shingles are counted exactly among these sets, and the common ones go to the end of
+the order, once.
+
+*Regions.*  The region of a pivot holds all sets that meet it, so every link lies in a region.  Distances
+to the pivot come first: those within r are links, and what is in one component by now needn't be compared.
+Two members at distances a and b of a pivot can link only if |a - b| <= r: this window is applied before
+sets are compared, and members that have no partner left leave the region.
+
+*Recursion.*  A region of bounded size is joined in one task: new pivots are elected in the groups that the
+windows leave until a group is small or no longer shrinks, and the pairs left are counted.  A larger region is
+cut on the cluster: it elects ``PIVOTS`` pivots, all members get their distances to all of them, each goes to
+the Voronoi cell of its nearest, and into every other cell whose pivot is at most 2r farther (if x and y link,
+the one's distance to the other's pivot exceeds that to its own by 2r at most, so the cell of x holds y).  Cells
+are regions of the next round.  A region whose cells don't shrink is cut into rings of width r about a pivot,
+and rings into tiles; only tiles of the same or the next ring are joined.
+
+All loops keep their state in tables of the shared folder, deleted at the end; no group is collected into a
+task or the driver.
 
 Defined cases: null text has an empty set; rows with one id are separate members with that id; a
-component's id is its smallest document id (null ids don't count); further columns are ignored.
+component's id is its smallest document id (null ids don't count; a group without ids has none); very long texts are read
+in blocks; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,258 +43,221 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.common import release, small_batches, store, texts_as_bytes
+from grafwerk.llm.common import Scratch, small_batches, spread_join, store, texts_as_bytes
+from grafwerk.llm.shingles import shingle_lists, shingle_sets
 
 WIDTH, SIMILARITY = 4, (85, 100)
-#: Size classes of the partitioned sets grow by this ratio.
-RATIO = 1.6
-#: Members and elements of a tile, elements of the single-tile families that are joined in one group, and
-#: the number of members that hold an element from which on it is counted by matrix products.
-TILE_MEMBERS, TILE_ELEMENTS, GROUP_ELEMENTS, COMMON = 1024, 1_000_000, 4_000_000, 8
-#: Ids that are broadcast to pick out documents in regions; more are joined.
+#: Counters of the sketch that orders shingles (a broadcast of one byte each), and their blocks.
+COUNTERS, BLOCKS = 1 << 22, 256
+#: Sets that meet in a shingle before its sets' shingles are counted exactly.
+CROWD = 1000
+#: Members and elements of a region, or tile, that one task joins; elements of the regions in a task.
+TILE_MEMBERS, TILE_ELEMENTS, GROUP_ELEMENTS = 1024, 1_000_000, 1_000_000
+#: Pivots that a large region elects, and the share of its members that a cell may hold to count as smaller.
+PIVOTS, SHRINKS = 4, 0.8
+#: Members of a group that are compared without a further pivot; holders from which on a shingle is common.
+LEAF, COMMON = 24, 8
+#: Ids that are broadcast to pick out the documents of sets; more are joined.
 BROADCAST_IDS = 500_000
 
-_MEMORY = 1 << 18
-_known: dict[bytes, int] = {}
-_K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _K3
-    x = (x ^ (x >> np.uint64(32))) * _K3
-    return x ^ (x >> np.uint64(32))
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    try:
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        pass
-    fresh = {w for w in words if w not in _known}
-    if len(_known) + len(fresh) > _MEMORY:
-        _known.clear()
-    if len(fresh) > _MEMORY // 2:
-        return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    for w in fresh:
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter((_known[w] if w in _known else xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-
-
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    words = text.lower().split()  # bytes: A-Z only, and the six blanks of ASCII
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = _word_hashes(words)
-    if len(h) < width:
-        value = np.array([len(h)], np.uint64)
-        for i in range(len(h)):
-            value = _mix(h[i : i + 1] + value * _K1)
-        return value
-    out = h[: len(h) - width + 1]
-    for i in range(1, width):
-        out = out * _K1 + h[i : len(h) - width + 1 + i]
-    return np.unique(_mix(out))
-
-
-def differing(n: int, num: int, den: int) -> int:
-    """The most elements in which a set of n elements and a linked set at least as large differ."""
-    return (den - num) * n // num
-
-
-class Cells:
-    """Signatures of a set's regions."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        first = next(n for n in range(1, 10**6) if differing(n, num, den) >= 3)
-        self.first = first
-        #: (smallest, next class's smallest, K, parts, spare)
-        self.classes: list[tuple[int, int, int, int, int]] = []
-
-    def class_of(self, n: int) -> int:
-        while not self.classes or self.classes[-1][1] <= n:
-            low = self.classes[-1][1] if self.classes else self.first
-            high = max(low + 1, int(low * RATIO))
-            k = differing(high - 1, self.num, self.den)
-            spare = 3 + k // 8
-            self.classes.append((low, high, k, k + 1 + spare, spare))
-        at = len(self.classes) - 1
-        while self.classes[at][0] > n:
-            at -= 1
-        return at
-
-    def signatures(self, items: np.ndarray) -> np.ndarray:
-        n = len(items)
-        mixed = _mix(items ^ _K2)
-        out = [self._subsets(mixed, k) for k in (1, 2) if self._small(n, k)]
-        if n >= self.first:
-            at = self.class_of(n)
-            out.append(self._parts(items, mixed, at))
-            if at and n * self.num <= self.den * (self.classes[at][0] - 1):
-                out.append(self._parts(items, mixed, at - 1))
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-    def _small(self, n: int, k: int) -> bool:
-        """Is n in, or reached from, the sizes in which k elements may differ?"""
-        sizes = [s for s in range(1, self.first) if differing(s, self.num, self.den) == k]
-        return bool(sizes) and sizes[0] <= n <= self.den * sizes[-1] // self.num
-
-    def _subsets(self, mixed: np.ndarray, k: int) -> np.ndarray:
-        total = mixed.sum(dtype=np.uint64)
-        sums = [np.array([total]), total - mixed]
-        if k == 2 and len(mixed) > 1:
-            i, j = np.triu_indices(len(mixed), 1)
-            sums.append(total - mixed[i] - mixed[j])
-        return _mix(np.concatenate(sums) + np.uint64(k * 0x5851F42D4C957F2D % 2**64))
-
-    def _parts(self, items: np.ndarray, mixed: np.ndarray, at: int) -> np.ndarray:
-        _, _, _, parts, spare = self.classes[at]
-        part = (items % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        count = np.bincount(part, minlength=parts)
-        ends = np.cumsum(count)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed[order], dtype=np.uint64)))
-        sums = sums[ends] - sums[ends - count]
-        used = np.ones(parts, bool)
-        for least in (2, 1):
-            if (count < least).sum() <= spare:
-                used = count >= least
-                break
-        label = np.arange(parts, dtype=np.uint64) + np.uint64(at + 3 << 32)
-        return _mix(sums + _mix(label + count.astype(np.uint64) * _K2))[used]
+_SHIFT = np.uint64(64 - (COUNTERS.bit_length() - 1))
+
+
+def prefix_length(n: int, num: int, den: int) -> int:
+    return n - -(-n * num // den) + 1
+
+
+def digest(items: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(items.tobytes())
 
 
-def digest(items: np.ndarray) -> int:
-    """A signed 64-bit name of a set; 0 only for the empty set."""
-    if not len(items):
-        return 0
-    value = _mix(np.array([_mix(items + _K1).sum(dtype=np.uint64) + np.uint64(len(items))], np.uint64)).view(np.int64)[0]
-    return int(value) or 1
+# -- the order of shingles
 
 
-_CLASS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
+_BLOCK_ARROW = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
 
 
-def _named(width: int):
+def _counted(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            sets = [shingles(t, width) for t in texts_as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(digest, sets), pa.int64())], schema=_CLASS_ARROW)
+            for found in shingle_lists(texts_as_bytes(batch.column(0)), width):
+                np.add.at(counts, (found >> _SHIFT).view(np.int64), np.uint32(1))
+        pack = zstandard.ZstdCompressor(level=1)
+        parts = np.minimum(counts, 65535).astype(np.uint16).reshape(BLOCKS, -1)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pack.compress(parts[i].tobytes()) for i in used], pa.binary())], schema=_BLOCK_ARROW)
 
     return run
 
 
-_CELL_ARROW = pa.schema([("cell", pa.int64()), ("d", pa.int64())])
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[block] = sums.get(block, 0) + np.frombuffer(unpack.decompress(counts), np.uint16).astype(np.int64)
+    levels = {b: np.minimum(255, np.round(8 * np.log2(1 + s))).astype(np.uint8) for b, s in sums.items()}
+    yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array([x.tobytes() for x in levels.values()], pa.binary())], schema=_BLOCK_ARROW)
+
+
+def rarity(docs: DataFrame, width: int) -> np.ndarray:
+    """A level for each counter: the higher, the more often its shingles occur in all texts."""
+    counted = docs.select("text").mapInArrow(_counted(width), "block int, counts binary")
+    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint8)
+    for row in counted.repartition(16, "block").mapInArrow(_summed, "block int, counts binary").collect():
+        out[row.block] = np.frombuffer(row.counts, np.uint8)
+    return out.ravel()
+
+
+def prefix(items: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest shingles of a set; of several tied for the last place, all."""
+    length = prefix_length(len(items), num, den)
+    if length >= len(items):
+        return items
+    rank = (levels[(items >> _SHIFT).view(np.int64)].astype(np.uint64) << np.uint64(56)) | (items >> np.uint64(8))
+    return items[rank <= np.partition(rank, length - 1)[length - 1]]
 
 
-def _celled(width: int, num: int, den: int):
-    """A task writes the cells of equal sets once."""
+# -- sets and where they meet
 
+
+_NAMED_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("d", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+
+
+def _named(width: int, num: int, den: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, done = Cells(num, den), set()
         for batch in batches:
-            found, names = [], []
-            for text in texts_as_bytes(batch.column(0)):
-                items = shingles(text, width)
-                name = digest(items)
-                if name in done or not name:
-                    continue
-                if len(done) >= _MEMORY:
-                    done.clear()
-                done.add(name)
-                own = cells.signatures(items)
-                found.append(own)
-                names.append(np.full(len(own), name, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names))], schema=_CELL_ARROW)
+            sets = list(shingle_sets(texts_as_bytes(batch.column(2)), width))
+            prefixes = [prefix(s, levels.value, num, den).view(np.int64) for s in sets]
+            ends = np.cumsum([0] + [len(p) for p in prefixes])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)) if prefixes else pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(map(digest, sets), pa.binary()), lists], schema=_NAMED_ARROW)
 
     return run
 
 
-_SET_ARROW = pa.schema([("d", pa.int64()), ("family", pa.int64()), ("task", pa.int64()), ("items", pa.binary())])
-_SET = "d long, family long, task long, items binary"
+_SET_ARROW = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
 
 
 def _sets(width: int):
-    """(d, family, task, text) to sets; an id may have several texts, of which one is meant."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(texts_as_bytes(batch.column(2)), width))
+            kept = [i for i, (d, s) in enumerate(zip(batch.column(1).to_pylist(), sets)) if digest(s) == d]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([len(sets[i]) for i in kept], pa.int64()), pa.array([sets[i].tobytes() for i in kept], pa.binary())], schema=_SET_ARROW)
+
+    return run
+
+
+def _items(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sid, n, items) of the wanted sets, from the text of one document of each."""
+    wanted = wanted.join(sets.select("sid", "d", F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark")), "sid")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("sid", "d", "text")
+    return texts.mapInArrow(_sets(width), "sid long, n long, items binary").dropDuplicates(["sid"])
+
 
+_ELEMENT_ARROW = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("cell", pa.int64()), ("level", pa.int16())])
+
+
+def _elements(levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            sets = [shingles(t, width) for t in texts_as_bytes(batch.column(3))]
-            kept = [i for i, (d, s) in enumerate(zip(names, sets)) if digest(s) == d]
-            part = batch.select(["d", "family", "task"]).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sets[i].tobytes() for i in kept], pa.binary())], schema=_SET_ARROW)
+            for sid, n, items in zip(*(c.to_pylist() for c in batch.columns)):
+                items = np.frombuffer(items, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, sid)), pa.array(np.full(n, n)), pa.array(items.view(np.int64)), pa.array(levels.value[(items >> _SHIFT).view(np.int64)].astype(np.int16))], schema=_ELEMENT_ARROW)
 
     return run
 
 
-def _regions(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(cell, d) of cells with several members."""
-    cells = docs.select("text").mapInArrow(_celled(width, num, den), "cell long, d long")
-    own = Window.partitionBy("cell")
-    shared = cells.withColumns({"__low": F.min("d").over(own), "__top": F.max("d").over(own)}).where("__low < __top").select("cell", "d")
-    return store(shared.distinct(), "jaccard-cells")
+def _meetings(scratch: Scratch, docs: DataFrame, sets: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
+    """(cell, sid): the prefix shingles that several sets hold."""
+    cells = sets.select("sid", F.explode("prefix").alias("cell"))
+    held = scratch.store(cells.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1"))
+    if held.where(F.col("held") > CROWD).limit(1).count():
+        some = scratch.store(cells.join(held.where(F.col("held") > CROWD).select("cell"), "cell", "left_semi").select("sid").distinct())
+        counted = _items(docs, sets, some, width).mapInArrow(_elements(levels), "sid long, n long, cell long, level short").groupBy("cell").agg(F.count("*").alias("often"))
+        common = scratch.store(counted.where(F.col("often") > CROWD))
+        some = scratch.store(some.unionByName(cells.join(common, "cell", "left_semi").select("sid")).distinct())
+        every = scratch.store(_items(docs, sets, some, width)).mapInArrow(_elements(levels), "sid long, n long, cell long, level short")
+        ranked = every.join(common, "cell", "left").withColumn("rank", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "level", F.shiftrightunsigned("cell", 8).alias("high"), "cell"))
+        ordered = ranked.groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("rank")).alias("ranks"))  # as long as one set
+        length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+        moved = ordered.select("sid", F.explode(F.slice("ranks", F.lit(1), length.cast("int"))).alias("rank")).select("sid", F.col("rank.cell").alias("cell"))
+        cells = scratch.store(cells.join(some, "sid", "left_anti").unionByName(moved))
+        held = scratch.store(cells.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1"))
+    return scratch.store(spread_join(cells, held, "cell", counts=held).select("cell", "sid"))
 
 
-_DISTANCE_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("total", pa.int64())])
+# -- components
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both, total = [], []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both.append(len(np.intersect1d(x, y, assume_unique=True)))
-            total.append(len(x) + len(y) - both[-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(total, pa.int64())], schema=_DISTANCE_ARROW)
-
-
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, both, total): the sizes of the intersection and of the union."""
-    left = sets.select(F.col("d").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("d").alias("b"), F.col("items").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_measured, "a long, b long, both long, total long")
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node that each node of ``edges`` (a, b) reaches."""
-    both = store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    comp = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "comp")
-    while True:
-        near = both.join(comp.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        lower = comp.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        jump = comp.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
-        stepped = store(lower.join(jump, "comp").select("node", F.least("comp", "beyond").alias("comp"), "was"), "comp")
-        comp = stepped.select("node", "comp")
-        if not stepped.where(F.col("comp") != F.col("was")).limit(1).count():
-            return comp
-
-
-def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """``comps`` (d, comp) after further ``links`` (a, b)."""
-    name = lambda of, c: comps.select(F.col("d").alias(of), F.col("comp").alias(c))
-    edges = links.join(name("a", "p"), "a").join(name("b", "q"), "b").where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-    moved = connected(edges).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return store(comps.join(moved, "comp", "left").select("d", F.coalesce("to", "comp").alias("comp")), "comps")
-
-
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
-    """Sizes of the intersections of all left sets with all right sets (or with each other)."""
-    every = left if right is None else left + right
-    items = np.concatenate(every)
-    rows = np.repeat(np.arange(len(every)), [len(x) for x in every])
+def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(node, comp): the smallest node that each node of ``edges`` (a, b) reaches.
+
+    Each round contracts every node into the smallest of its neighbours, which leaves at most half of
+    the nodes of a component that has links, and only links between the nodes left go on.
+    """
+    edges = scratch.store(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    steps = []
+    while edges.limit(1).count():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        tree = scratch.store(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("comp")))
+        while True:
+            up = tree.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
+            jumped = scratch.store(spread_join(tree, up, "comp").select("node", F.col("beyond").alias("comp"), (F.col("beyond") != F.col("comp")).alias("moved")))
+            tree = jumped.select("node", "comp")
+            if not jumped.where("moved").limit(1).count():
+                break
+        steps.append(tree)
+        once = scratch.store(spread_join(edges, tree.select(F.col("node").alias("a"), F.col("comp").alias("p")), "a").select("b", "p"))
+        twice = spread_join(once, tree.select(F.col("node").alias("b"), F.col("comp").alias("q")), "b").where("p <> q")
+        edges = scratch.store(twice.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    whole = steps[-1]
+    for tree in reversed(steps[:-1]):
+        whole = scratch.store(spread_join(tree, whole.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+    return whole
+
+
+def merged(scratch: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (sid, comp; stored) after further ``links`` (a, b)."""
+    name = lambda of, c: comps.select(F.col("sid").alias(of), F.col("comp").alias(c))
+    links = scratch.store(links)
+    once = scratch.store(spread_join(links, name("a", "p"), "a"))
+    edges = spread_join(once, name("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    moved = connected(scratch, edges).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return scratch.store(spread_join(comps, moved, "comp", "left").select("sid", F.coalesce("to", "comp").alias("comp")))
+
+
+# -- the join within a task
+
+
+def _distances(pivot: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a set with others."""
+    sizes = np.array([len(s) for s in sets])
+    items = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(pivot, items), len(pivot) - 1)
+    return np.add.reduceat((pivot[at] == items).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other."""
+    items = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(items, kind="stable")
     items, rows = items[order], rows[order]
     starts = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
     held = np.diff(np.append(starts, len(items)))
-    n, m = len(left), len(every)
-    out = np.zeros((m, m), np.int32)
+    m = len(sets)
+    out = np.zeros((m, m), np.int64)
     column = np.repeat(np.arange(len(starts)), held)
     rare = (held[column] > 1) & (held[column] <= COMMON)
     r, c = rows[rare], column[rare]
@@ -306,153 +268,257 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndar
     common = np.flatnonzero(held > COMMON)
     for first in range(0, len(common), 2048):
         part = common[first : first + 2048]
+        size = held[part]
         dense = np.zeros((m, len(part)), np.float32)
-        for k, at in enumerate(part):
-            dense[rows[starts[at] : starts[at] + held[at]], k] = 1
-        out += (dense @ dense.T).astype(np.int32)
-    return out if right is None else out[:n, n:]
-
-
-def _forest(linked: np.ndarray, names: np.ndarray, others: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs of names that span the links of a matrix (of names with themselves, or with others)."""
-    out = []
-    if others is None:
-        todo = np.ones(len(names), bool)
-        while todo.any():
-            frontier = [int(todo.argmax())]
-            todo[frontier[0]] = False
-            while frontier:
-                at = frontier.pop()
-                near = np.flatnonzero(linked[at] & todo)
-                todo[near] = False
-                frontier += near.tolist()
-                out += [(int(names[at]), int(names[i])) for i in near]
-        return out
-    n = len(names)
-    square = np.zeros((n + len(others),) * 2, bool)
-    square[:n, n:], square[n:, :n] = linked, linked.T
-    return _forest(square, np.concatenate((names, others)), None)
-
-
-def _joined_tiles(num: int, den: int):
-    """Rows of (task, family, i, j, side, d, comp, home, far, items) to spanning links (a, b)."""
-    reach = (den - num) / den
+        at = np.repeat(starts[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        dense[rows[at], np.repeat(np.arange(len(part)), size)] = 1
+        out += (dense @ dense.T).astype(np.int64)
+    return out
+
+
+class Region:
+    """Sets that one task joins; ``compared`` counts the pairs whose intersections were needed."""
+
+    def __init__(self, sets: list[np.ndarray], comps: np.ndarray, num: int, den: int):
+        self.sets, self.num, self.den = sets, num, den
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.reach = (den - num) / den + 1e-9
+        self.comp = np.unique(comps, return_inverse=True)[1]
+        self.links: list[tuple[int, int]] = []
+        self.compared = 0
+
+    def link(self, i: int, j: int) -> None:
+        if self.comp[i] != self.comp[j]:
+            self.comp[self.comp == self.comp[j]] = self.comp[i]
+            self.links.append((i, j))
+
+    def linked(self, both: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.den * both >= self.num * (left + right - both)
+
+    def join(self, needed: np.ndarray | None = None, first: int | None = None) -> list[tuple[int, int]]:
+        """Links that span all links of needed pairs, beyond the components given."""
+        every = np.arange(len(self.sets))
+        needed = np.ones((len(every),) * 2, bool) if needed is None else needed
+        small, large = self.sizes[:, None], self.sizes[None, :]
+        needed &= (self.num * small <= self.den * large) & (self.num * large <= self.den * small)
+        np.fill_diagonal(needed, False)
+        todo = [(every, needed, first)]
+        while todo:
+            members, needed, pivot = todo.pop()
+            needed = needed & (self.comp[members][:, None] != self.comp[members][None, :])
+            before = int(needed.sum())
+            if not before:
+                continue
+            if len(members) <= LEAF:
+                self._compare(members, needed)
+                continue
+            at = int(needed.sum(axis=1).argmax()) if pivot is None else int(np.flatnonzero(members == pivot)[0])
+            both = _distances(self.sets[members[at]], [self.sets[i] for i in members])
+            self.compared += len(members)
+            own = self.sizes[members]
+            for k in np.flatnonzero(self.linked(both, own, own[at]) & needed[at]):
+                self.link(int(members[at]), int(members[k]))
+            far = 1 - both / (own + own[at] - both)
+            needed &= (np.abs(far[:, None] - far[None, :]) <= self.reach) & (self.comp[members][:, None] != self.comp[members][None, :])
+            needed[at, :] = needed[:, at] = False
+            for group in _groups(needed):
+                part = needed[np.ix_(group, group)]
+                if part.sum() > SHRINKS * before:
+                    self._compare(members[group], part)
+                else:
+                    todo.append((members[group], part, None))
+        return self.links
+
+    def _compare(self, members: np.ndarray, needed: np.ndarray) -> None:
+        pairs = np.argwhere(np.triu(needed, 1))
+        self.compared += len(pairs)
+        if len(pairs) > 4 * len(members):
+            both = _overlaps([self.sets[i] for i in members])[pairs[:, 0], pairs[:, 1]]
+        else:
+            both = np.array([len(np.intersect1d(self.sets[members[i]], self.sets[members[j]], assume_unique=True)) for i, j in pairs], np.int64)
+        own = self.sizes[members]
+        for i, j in pairs[self.linked(both, own[pairs[:, 0]], own[pairs[:, 1]])]:
+            self.link(int(members[i]), int(members[j]))
+
+
+def _groups(needed: np.ndarray) -> Iterator[np.ndarray]:
+    """The connected groups of two or more."""
+    todo = needed.any(axis=1)
+    while todo.any():
+        frontier = [int(todo.argmax())]
+        todo[frontier[0]] = False
+        group = []
+        while frontier:
+            at = frontier.pop()
+            group.append(at)
+            near = np.flatnonzero(needed[at] & todo)
+            todo[near] = False
+            frontier += near.tolist()
+        yield np.array(sorted(group))
+
+
+def _joined(num: int, den: int):
+    """Rows (task, region, i, j, side, ring, pivot, sid, comp, items) to spanning links (a, b)."""
 
     def join(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        sides = [rows[rows["side"] == k] for k in (0, 1)]
-        if not len(sides[0]):
-            return []
-        alone = int(rows["i"].iloc[0]) == int(rows["j"].iloc[0])
-        if not alone and not len(sides[1]):
-            return []
-        left = [np.frombuffer(x, np.uint64) for x in sides[0]["items"]]
-        right = None if alone else [np.frombuffer(x, np.uint64) for x in sides[1]["items"]]
-        other = sides[0] if alone else sides[1]
-        both = _overlaps(left, right).astype(np.int64)
-        sizes = [np.array([len(x) for x in s], np.int64) for s in (left, left if alone else right)]
-        column = lambda name, kind: (sides[0][name].to_numpy(kind)[:, None], other[name].to_numpy(kind)[None, :])
-        (h, k), (a, b), (p, q) = column("home", np.int64), column("far", np.float64), column("comp", np.int64)
-        window = (h != k) | (np.abs(a - b) <= reach + 1e-9)
-        linked = window & (den * both >= num * (sizes[0][:, None] + sizes[1][None, :] - both)) & (p != q)
-        return _forest(linked, sides[0]["d"].to_numpy(np.int64), None if alone else other["d"].to_numpy(np.int64))
+        names, side, far = rows["sid"].to_numpy(), rows["side"].to_numpy(), rows["far"].to_numpy(np.float64)
+        region = Region([np.frombuffer(x, np.uint64) for x in rows["items"]], rows["comp"].to_numpy(), num, den)
+        needed = None
+        if not (side < 0).all():
+            needed = np.abs(far[:, None] - far[None, :]) <= region.reach
+            if rows["i"].iloc[0] != rows["j"].iloc[0]:
+                needed &= side[:, None] != side[None, :]
+        pivot = np.flatnonzero(names == rows["pivot"].iloc[0])
+        return [(int(names[i]), int(names[j])) for i, j in region.join(needed, int(pivot[0]) if len(pivot) else None)]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = [x for _, rows in group.groupby(["family", "i", "j"]) for x in join(rows)]
+        found = [x for _, rows in group.groupby(["region", "i", "j"], sort=False) for x in join(rows)]
         return pd.DataFrame(found, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
     return run
 
 
-def _tile_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): spanning links of families that hold several components.
+# -- regions on the cluster
 
-    placed: (d, n, family, comp, home, far).
-    """
-    comps = placed.groupBy("family", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
-    families = comps.groupBy("family").agg(F.count("*").alias("comps"), F.sum("members").alias("all"), F.sum("elements").alias("all_elements"))
-    tiles_of = lambda members, elements: F.greatest(F.ceil(F.col(members) / TILE_MEMBERS), F.ceil(F.col(elements) / TILE_ELEMENTS))
-    known = comps.join(families.where("comps > 1"), "family").withColumns({"own": tiles_of("members", "elements"), "tiles": tiles_of("all", "all_elements")})
-    large = F.col("own") > 1
-    known = known.select("family", "comp", "tiles", "own", "all_elements", large.alias("large"))
-    dealt = F.when(F.col("tiles") == 1, F.lit(0)).when(F.col("large"), F.pmod(F.xxhash64("comp", F.pmod(F.xxhash64("d"), F.col("own"))), F.lit(1 << 62)) + F.col("tiles")).otherwise(F.pmod(F.xxhash64("comp"), F.col("tiles")))
-    members = store(placed.join(known, ["family", "comp"]).withColumn("tile", dealt.cast("long")), "tile-members")
-    tiles = members.groupBy("family", "tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    one, two = (tiles.select("family", *[F.col(c).alias(f"{c}{k}") for c in ("tile", "low", "high", "least", "most")]) for k in (1, 2))
-    pairs = one.join(two, "family").where("tile1 <= tile2").where("NOT (low1 = high1 AND low2 = high2 AND low1 = low2)")
-    pairs = pairs.where((F.col("least1") * num <= F.col("most2") * den) & (F.col("least2") * num <= F.col("most1") * den)).select("family", "tile1", "tile2")
-    sides = pairs.select("family", F.col("tile1").alias("i"), F.col("tile2").alias("j"), F.explode(F.when(F.col("tile1") == F.col("tile2"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    sides = sides.withColumn("tile", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
-    groups = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // GROUP_ELEMENTS))
-    task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(F.xxhash64("family", "i", "j").bitwiseOR(F.lit(1 << 62)))
-    shipped = members.join(sides, ["family", "tile"]).join(sets, "d").select(task.alias("task"), "family", "i", "j", "side", "d", "comp", "home", "far", "items")
-    return shipped.groupBy("task").applyInPandas(_joined_tiles(num, den), "a long, b long")
-
-
-def _texts(docs: DataFrame, members: DataFrame, repeated: bool, width: int) -> DataFrame:
-    """The sets of members (d, __id, family, task), computed from their texts."""
-    ids = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    texts = docs.join(ids, F.col("doc_id") == F.col("__id")).select("d", "family", "task", "text")
-    sets = texts.mapInArrow(_sets(width), _SET)
-    return sets.dropDuplicates(["d"]) if repeated else sets
-
-
-def set_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(d, comp) of the sets that lie in regions; classes: (doc_id, n, d)."""
-    spark = docs.sparkSession
-    regions = _regions(docs, width, num, den)
-    release(spark)
-    degree = regions.groupBy("d").agg(F.count("*").alias("cells"))
-    chosen = classes.join(degree, "d").groupBy("d").agg(F.min("doc_id").alias("__id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
-    chosen = store(chosen.where(F.col("__id").isNotNull()), "chosen")
-    repeated = bool(classes.join(chosen.select("d", F.col("__id").alias("doc_id")), ["d", "doc_id"]).groupBy("d").count().where("count > 1").limit(1).count())
-
-    ranked = regions.join(chosen.select("d", "cells"), "d").select("cell", "d", F.struct("cells", "d").alias("rank"))
+
+_FAR_ARROW = pa.schema([("region", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("pivot", pa.int64()), ("both", pa.int64()), ("total", pa.int64())])
+
+
+def _measured(group: pd.DataFrame) -> pd.DataFrame:
+    """Distances of the members of a part of a region to its pivots."""
+    sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
+    role = group["is_pivot"].to_numpy()
+    members = np.flatnonzero(~role)
+    out = []
+    sizes = group["n"].to_numpy()[members]
+    for at in np.flatnonzero(role) if len(members) else []:
+        both = _distances(sets[at], [sets[i] for i in members])
+        out.append(pd.DataFrame({"region": group["region"].iloc[0], "sid": group["sid"].to_numpy()[members], "n": sizes, "pivot": group["sid"].iloc[at], "both": both, "total": sizes + len(sets[at]) - both}))
+    return pd.concat(out) if out else pd.DataFrame({f.name: np.zeros(0, np.int64) for f in _FAR_ARROW})
+
+
+def _far_from_pivots(large: DataFrame, pivots: DataFrame, items: DataFrame) -> DataFrame:
+    """(region, sid, n, pivot, both, total); large: (region, sid, n, size, elements), pivots: (region, pivot)."""
+    parts = F.greatest(F.ceil(F.col("size") / TILE_MEMBERS), F.ceil(F.col("elements") / TILE_ELEMENTS)).cast("int")
+    dealt = large.select("region", "sid", F.lit(False).alias("is_pivot"), F.pmod(F.xxhash64("sid"), parts).cast("int").alias("part"))
+    sizes = large.groupBy("region").agg(F.first("size").alias("size"), F.first("elements").alias("elements"))
+    copies = pivots.join(sizes, "region").select("region", F.col("pivot").alias("sid"), F.lit(True).alias("is_pivot"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    shipped = dealt.unionByName(copies).join(items, "sid")
+    return shipped.groupBy("region", "part").applyInPandas(_measured, "region long, sid long, n long, pivot long, both long, total long")
+
+
+def _in_tasks(rows: DataFrame, items: DataFrame, total: int, num: int, den: int, key: list[str]) -> DataFrame:
+    """Links of regions or pairs of tiles, several in a task."""
+    task = F.pmod(F.xxhash64(*key), F.lit(max(1, -(-total // GROUP_ELEMENTS))))
+    shipped = rows.join(items.select("sid", "items"), "sid").withColumn("task", task)
+    return shipped.groupBy("task").applyInPandas(_joined(num, den), "a long, b long")
+
+
+def _ring_tiles(scratch: Scratch, stuck: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within regions that no longer shrink; stuck: (region, sid, n, comp, far), stored."""
+    stuck = scratch.store(stuck.withColumn("ring", F.floor(F.col("far") * den / (den - num))).withColumn("key", F.xxhash64("region", "ring")))
+    rings = stuck.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
+    parts = F.greatest(F.ceil(F.col("size") * 2 / TILE_MEMBERS), F.ceil(F.col("elements") * 2 / TILE_ELEMENTS))
+    main = stuck.groupBy("region", "comp").agg(F.count("*").alias("held")).groupBy("region").agg(F.max(F.struct("held", "comp")).alias("main"))
+    dealt = spread_join(scratch.store(spread_join(stuck, rings.select("key", parts.alias("parts")), "key")), main, "region")
+    # members of the largest component get tiles of their own, of which no two need be joined
+    own = F.when(F.col("comp") == F.col("main.comp"), F.col("parts")).otherwise(0)
+    members = scratch.store(dealt.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")) + own).drop("key", "main", "parts"))
+    tiles = members.groupBy("region", "ring", "part").agg(F.sum("n").alias("elements"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    tiles = tiles.withColumn("tile", F.struct("ring", "part"))
+    left, right = (tiles.select("region", *[F.col(c).alias(f"{c}{k}") for c in ("tile", "ring", "elements", "low", "high", "least", "most")]) for k in (1, 2))
+    pairs = left.join(right, "region").where("tile1 <= tile2 AND ring2 <= ring1 + 1").where("NOT (low1 = high1 AND low2 = high2 AND low1 = low2)")
+    pairs = scratch.store(pairs.where((F.col("least1") * num <= F.col("most2") * den) & (F.col("least2") * num <= F.col("most1") * den)).select("region", "tile1", "tile2", (F.col("elements1") + F.col("elements2")).alias("elements")))
+    total = pairs.agg(F.sum("elements")).first()[0] or 0
+    same = F.col("tile1") == F.col("tile2")
+    sides = pairs.select("region", F.xxhash64("tile1").alias("i"), F.xxhash64("tile2").alias("j"), F.explode(F.when(same, F.array(F.struct(F.lit(0).alias("side"), F.col("tile1").alias("tile")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("tile1").alias("tile")), F.struct(F.lit(1).alias("side"), F.col("tile2").alias("tile"))))).alias("s"))
+    sides = sides.select("region", "i", "j", "s.side", "s.tile.ring", "s.tile.part")
+    rows = members.join(sides, ["region", "ring", "part"]).select("region", "i", "j", "side", "far", F.lit(0).cast("long").alias("pivot"), "sid", "comp")
+    return _in_tasks(rows, items, total, num, den, ["region", "i", "j"])
+
+
+def _region_links(scratch: Scratch, regions: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
+    """(sid, comp) of the members of regions; regions: (region, sid, n), named by their pivots."""
+    reach = (den - num) / den
+    comps = scratch.store(items.select("sid", F.col("sid").alias("comp")))
+    pivots = regions.select("region", F.col("region").alias("pivot")).distinct()
+    turn = 0
+    while True:
+        turn += 1
+        sizes = regions.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
+        is_large = (F.col("size") > TILE_MEMBERS) | (F.col("elements") > TILE_ELEMENTS)
+        sizes = scratch.store(sizes.where("size > 1").withColumn("large", is_large))
+        placed = scratch.store(spread_join(regions, sizes, "region"))
+        total = sizes.where("NOT large").agg(F.sum("elements")).first()[0] or 0
+        small = spread_join(placed.where("NOT large"), comps, "sid").join(pivots.groupBy("region").agg(F.min("pivot").alias("pivot")), "region")
+        zero = F.lit(0).cast("long")
+        rows = small.select("region", zero.alias("i"), zero.alias("j"), F.lit(-1).alias("side"), F.lit(0.0).alias("far"), "pivot", "sid", "comp")
+        links = _in_tasks(rows, items, total, num, den, ["region"])
+        large = placed.where("large")
+        if not sizes.where("large").limit(1).count():
+            return merged(scratch, comps, links)
+
+        own = pivots.join(sizes.where("large").select("region"), "region")
+        more = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "sid"), "sid")).sid.alias(f"p{k}") for k in range(1, PIVOTS)]
+        chosen = large.groupBy("region").agg(*more).select("region", F.explode(F.array(*[f"p{k}" for k in range(1, PIVOTS)])).alias("pivot")) if more else own
+        own = scratch.store(own.unionByName(chosen).distinct())
+        far = scratch.store(_far_from_pivots(large, own, items))
+        linked = F.col("both") * den >= F.col("total") * num
+        comps = merged(scratch, comps, links.unionByName(far.where(linked).select(F.col("sid").alias("a"), F.col("pivot").alias("b"))))
+
+        far = far.withColumn("far", 1 - F.col("both") / F.col("total"))
+        home = far.groupBy("region", "sid").agg(F.min("far").alias("near"))
+        cells = far.join(home, ["region", "sid"]).where(F.col("far") - F.col("near") <= 2 * reach + 1e-9)
+        cells = scratch.store(cells.select("region", "sid", "n", "pivot", "far", F.xxhash64(F.lit(turn), "region", "pivot").alias("cell")))
+        cells = scratch.store(spread_join(cells, comps, "sid"))
+        cells = cells.join(own.join(comps.select(F.col("sid").alias("pivot"), F.col("comp").alias("of")), "pivot").select("region", "pivot", "of"), ["region", "pivot"])
+        lowest = cells.where("comp <> of").groupBy("cell").agg(F.min("far").alias("lowest"))
+        kept = scratch.store(spread_join(scratch.store(cells), lowest, "cell").where((F.col("comp") != F.col("of")) | (F.col("far") >= F.col("lowest") - reach - 1e-9)))
+        left = kept.groupBy("region", "cell").agg(F.count("*").alias("left")).join(sizes.select("region", "size"), "region")
+        stuck = left.where(F.col("left") > SHRINKS * F.col("size")).select("region").distinct()
+        stuck = scratch.store(stuck)
+        if stuck.limit(1).count():
+            about = own.groupBy("region").agg(F.min("pivot").alias("pivot"))
+            rows = far.join(about, ["region", "pivot"]).join(stuck, "region", "left_semi").join(kept.select("region", "sid").distinct(), ["region", "sid"], "left_semi")
+            rows = scratch.store(spread_join(scratch.store(rows.select("region", "sid", "n", "far")), comps, "sid"))
+            comps = merged(scratch, comps, _ring_tiles(scratch, rows, items, num, den))
+            kept = scratch.store(kept.join(stuck, "region", "left_anti"))
+        regions = kept.select(F.col("cell").alias("region"), "sid", "n")
+        pivots = scratch.store(kept.groupBy(F.col("cell").alias("region")).agg(F.min(F.when(F.col("comp") != F.col("of"), F.col("sid"))).alias("pivot")))
+
+
+def set_components(scratch: Scratch, docs: DataFrame, sets: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
+    """(sid, comp) of the sets that meet others."""
+    meetings = _meetings(scratch, docs, sets, levels, width, num, den)
+    degrees = meetings.groupBy("sid").agg(F.count("*").alias("degree"))
+    ranked = scratch.store(meetings.join(degrees, "sid").select("cell", "sid", F.struct("degree", "sid").alias("rank")))
     pivots = ranked.groupBy("cell").agg(F.max("rank").alias("pivot"))
-    met = store(regions.join(pivots, "cell").select("d", "pivot").distinct(), "met")
-    family = connected(met.select(F.col("d").alias("a"), F.col("pivot.d").alias("b")).where("a <> b"))
-    members = chosen.join(family.select(F.col("node").alias("d"), F.col("comp").alias("family")), "d")
-    sizes = members.groupBy("family").agg(F.count("*").alias("all"), F.sum("n").alias("elements"))
-    sizes = sizes.withColumn("large", (F.col("all") > TILE_MEMBERS) | (F.col("elements") > TILE_ELEMENTS))
-    members = store(members.join(sizes.select("family", "large"), "family").select("d", "__id", "n", "family", "large"), "members")
-    release(spark)
-
-    small, large = members.where("NOT large"), members.where("large")
-    groups = max(1, -(-(small.agg(F.sum("n")).first()[0] or 0) // GROUP_ELEMENTS))
-    dealt = small.select("d", "__id", "family", F.pmod(F.xxhash64("family"), F.lit(groups)).alias("task"))
-    shipped = _texts(docs, dealt, repeated, width).select(
-        "task", "family", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "d", F.col("d").alias("comp"), F.col("d").alias("home"), F.lit(0.0).alias("far"), "items",
-    )
-    links = store(shipped.groupBy("task").applyInPandas(_joined_tiles(num, den), "a long, b long"), "links")
-    release(spark)
-    comps = members.select("d", F.col("d").alias("comp"))
-    if not large.limit(1).count():
-        return _joined(comps, links)
-
-    sets = store(_texts(docs, large.select("d", "__id", "family", F.lit(0).cast("long").alias("task")), repeated, width).select("d", "items"), "sets")
-    home = met.join(large.select("d"), "d", "left_semi").groupBy("d").agg(F.max("pivot").alias("pivot")).select(F.col("d").alias("a"), F.col("pivot.d").alias("b"))
-    near = store(_distances(home.where("a <> b"), sets), "homes")
-    linked = F.col("both") * den >= F.col("total") * num
-    homes = near.select(F.col("a").alias("d"), F.col("b").alias("home"), (1 - F.col("both") / F.col("total")).alias("far"))
-    placed = large.select("d", "n", "family").join(homes, "d", "left")
-    placed = placed.select("d", "n", "family", F.coalesce("home", "d").alias("home"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    comps = _joined(comps, links.unionByName(near.where(linked).select("a", "b")))
-    release(spark)
-    return _joined(comps, store(_tile_links(placed.join(comps, "d"), sets, num, den), "links"))
+    regions = scratch.store(spread_join(ranked.select("cell", "sid"), pivots, "cell").select(F.col("pivot.sid").alias("region"), "sid").distinct())
+    items = scratch.store(_items(docs, sets, regions.select("sid").distinct(), width))
+    regions = scratch.store(regions.join(items.select("sid", "n"), "sid"))
+    return _region_links(scratch, regions, items, num, den)
 
 
 def components(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (long)."""
+    spark = docs.sparkSession
     num, den = similarity
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes = store(docs.mapInArrow(_named(width), "doc_id long, n long, d long"), "jaccard-classes")
-    named = classes.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("first"))
-    comps = set_components(docs, classes, width, num, den)
-    lowest = named.join(comps, "d").groupBy("comp").agg(F.min("first").alias("lowest"))
-    final = named.join(comps, "d", "left").join(lowest, "comp", "left").select("d", F.coalesce("lowest", "first").alias("component"))
-    alone = classes.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
-    linked = classes.where("n > 0").join(final, "d").select("doc_id", "n", "component")
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    levels = spark.sparkContext.broadcast(rarity(docs, width))
+    with Scratch(spark, "jaccard") as scratch:
+        named = docs.select("doc_id", "mark", "text").mapInArrow(_named(width, num, den, levels), "doc_id long, mark long, n long, d binary, prefix array<long>")
+        classes = scratch.store(named)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("first")
+        grouped = classes.where("n > 0").groupBy("d").agg(first, F.first("prefix").alias("prefix"))
+        sets = scratch.store(grouped.withColumn("sid", F.monotonically_increasing_id()))
+        comps = set_components(scratch, docs, sets, levels, width, num, den)
+        owned = scratch.store(sets.select("sid", "d", F.col("first.doc_id").alias("least")).join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
+        lowest = owned.groupBy("comp").agg(F.min("least").alias("component_id"))
+        final = scratch.store(spread_join(owned, lowest, "comp").select("d", "component_id"))
+        linked = spread_join(classes.where("n > 0").select("doc_id", "n", "d"), final, "d").select("doc_id", "n", "component_id")
+        alone = classes.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+        return store(linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "jaccard")
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> dict[int, tuple[int, int]]:

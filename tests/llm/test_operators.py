@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grafwerk.llm import decontam, jaccard, langid, linededup, packing, pii, quality, tokenpack, tokens, toxicity
-from grafwerk.llm.common import fold, held_out
+from grafwerk.llm import common, decontam, jaccard, langid, linededup, packing, pii, quality, tokenpack, tokens, toxicity
+from grafwerk.llm.common import Scratch, fold, held_out
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and then river stone cloud lamp paper green table under window seven light".split()
@@ -187,20 +187,101 @@ def test_jaccard(spark, width, similarity, tile, monkeypatch):
     assert got == jaccard.brute_force(table, width, similarity)
 
 
-def test_cells_cover_every_link():
-    """Any two linked sets share a cell, by the pigeonhole argument, tried at many sizes."""
+def _near_sets(rng, centres, copies, n):
+    """Groups of near copies: each set is its centre with some elements changed."""
+    out = []
+    for _ in range(centres):
+        centre = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for k in range(copies):
+            drop = rng.integers(0, n // 8 + 1)
+            out.append(np.unique(np.concatenate([rng.permutation(centre)[drop:], rng.integers(0, 2**63, drop).astype(np.uint64)])))
+    return out
+
+
+def _plain_components(sets, num, den):
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if den * both >= num * (len(sets[i]) + len(sets[j]) - both) and comp[i] != comp[j]:
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    return {frozenset(k for k, c in enumerate(comp) if c == d) for d in comp}
+
+
+def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(4)
+    levels = rng.integers(0, 4, jaccard.COUNTERS).astype(np.uint8)
     for num, den in ((85, 100), (80, 100)):
-        cells = jaccard.Cells(num, den)
         for n in [*range(2, 60), 90, 200, 333]:
             a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             for _ in range(4):
-                change = rng.integers(0, jaccard.differing(n, num, den) + 1)
+                change = rng.integers(0, n // 4 + 1)
                 drop = rng.integers(0, change + 1)
                 b = np.unique(np.concatenate([np.delete(a, rng.choice(len(a), min(drop, len(a)), replace=False)), rng.integers(0, 2**63, change - drop).astype(np.uint64)]))
                 both = len(np.intersect1d(a, b))
-                if len(b) and den * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                    assert len(np.intersect1d(cells.signatures(a), cells.signatures(b)))
+                if len(b) and den * both >= num * (len(a) + len(b) - both):
+                    assert len(np.intersect1d(jaccard.prefix(a, levels, num, den), jaccard.prefix(b, levels, num, den)))
+
+
+def test_region_leaves_out_pairs_by_the_window():
+    """All links are found, with far fewer intersections than there are pairs."""
+    rng = np.random.default_rng(9)
+    shared = rng.integers(0, 2**63, 100).astype(np.uint64)  # members meet, but groups aren't linked
+    sets = [np.unique(np.concatenate([shared, s])) for s in _near_sets(rng, 8, 40, 200)]
+    region = jaccard.Region(sets, np.arange(len(sets)), 85, 100)
+    links = region.join(None, 0)
+    comp = list(range(len(sets)))
+    for i, j in links:
+        assert comp[i] != comp[j]  # a spanning forest
+        comp = [comp[i] if c == comp[j] else c for c in comp]
+    assert {frozenset(k for k, c in enumerate(comp) if c == d) for d in comp} == _plain_components(sets, 85, 100)
+    assert region.compared < len(sets) * (len(sets) - 1) / 2 / 5
+
+
+def test_region_of_unlinked_members_at_equal_distances():
+    rng = np.random.default_rng(2)
+    shared = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 2**63, 60).astype(np.uint64)])) for _ in range(80)] + _near_sets(rng, 3, 3, 50)
+    assert len(jaccard.Region(sets, np.arange(len(sets)), 80, 100).join()) == len(sets) - len(_plain_components(sets, 80, 100))
+
+
+@pytest.mark.parametrize("members,shrinks,crowd", [(8, 0.8, 1000), (8, 0.0, 1000), (1024, 0.8, 4), (12, 0.5, 6)])
+def test_jaccard_large_regions(spark, members, shrinks, crowd, monkeypatch):
+    """Regions that are cut into Voronoi cells, and into rings and tiles; shingles in a crowd."""
+    monkeypatch.setattr(jaccard, "TILE_MEMBERS", members)
+    monkeypatch.setattr(jaccard, "SHRINKS", shrinks)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    rng = random.Random(members)
+    vocabulary = [f"w{i}" for i in range(900)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    other = [rng.choice(vocabulary) for _ in range(120)]
+    table = []
+    for i in range(70):
+        words = [w if rng.random() > 0.012 * (i % 4) else rng.choice(vocabulary) for w in (base if i % 3 else base[:60] + other[:60])]
+        table.append((i, " ".join(words)))
+    table += [(100 + i, " ".join(base[:40] + [rng.choice(vocabulary) for _ in range(20)])) for i in range(20)]
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(frame).collect()}
+    assert got == jaccard.brute_force(table)
+
+
+def test_components_contract_long_paths(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(200 + i, 100) for i in range(30)] + [(7, 7)]
+    with Scratch(spark, "test") as scratch:
+        got = {r.node: r.comp for r in jaccard.connected(scratch, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {200 + i: 100 for i in range(30)} | {100: 100}
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = spark.createDataFrame([(i, None if i == 3 else 1 if i < 50 else i) for i in range(60)], "row long, k long")
+        right = spark.createDataFrame([(i, -i) for i in (1, 52, 55)], "k long, v long")
+        for how in ("inner", "left"):
+            assert sorted(map(str, common.spread_join(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_jaccard_one_id_with_two_texts(spark):
