@@ -10,9 +10,11 @@ Equal sets are collapsed first, by 128-bit digests: everything below is about di
 pivots are elected where documents meet: in the shingles of their prefixes.  All shingles have one total
 order, rarest first by a sketch of counts over all texts (any order is exact, this one is fast); the prefix
 of a set of n holds its first ``n - ceil(n * num / den) + 1``, and linked sets share a shingle of both
-prefixes.  The sets that meet in a shingle elect the one that meets most others.  Where more than ``CROWD``
-sets meet in a shingle, shingles are counted exactly among these sets, and the common ones go to the end of
-the order, once.
+prefixes.  With k - 1 more shingles in the smaller prefix, and as many or more in the larger, they share k.  So prefixes
+are made longer by n / ``MORE``, and sets that share too few shingles of theirs with others can have no link: they
+leave, which may leave others with too few, in rounds until hardly any go.  The sets that meet in a
+shingle elect the one that meets most others.  Where more than ``CROWD`` sets meet in a shingle, shingles are
+counted exactly among these sets, and the common ones go to the end of the order, once.
 
 *Regions.*  The region of a pivot holds all sets that meet it, so every link lies in a region.  Distances
 to the pivot come first: those within r are links, and what is in one component by now needn't be compared.
@@ -53,6 +55,8 @@ from grafwerk.llm.shingles import shingle_lists, shingle_sets
 WIDTH, SIMILARITY = 4, (85, 100)
 #: Counters of the sketch that orders shingles (a broadcast of one byte each), and their blocks.
 COUNTERS, BLOCKS = 1 << 22, 256
+#: A prefix is longer by its set's size over this; rounds in which sets leave end when no more than this share goes.
+MORE, ENDS = 32, 0.05
 #: Sets that meet in a shingle before its sets' shingles are counted exactly.
 CROWD = 1000
 #: Members and elements of a region, or tile, that one task joins; elements of the regions in a task.
@@ -115,12 +119,10 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def prefix(items: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The rarest shingles of a set; of several tied for the last place, all."""
-    length = prefix_length(len(items), num, den)
-    if length >= len(items):
-        return items
-    rank = (levels[(items >> _SHIFT).view(np.int64)].astype(np.uint64) << np.uint64(56)) | (items >> np.uint64(8))
-    return items[rank <= np.partition(rank, length - 1)[length - 1]]
+    """The rarest shingles of a set (sorted, distinct), rarest first; ties by value."""
+    length = prefix_length(len(items), num, den) + len(items) // MORE
+    order = np.argsort(levels[(items >> _SHIFT).view(np.int64)], kind="stable")
+    return items[order[:length]]
 
 
 # -- sets and where they meet
@@ -154,13 +156,15 @@ def _sets(width: int):
     return run
 
 
-def _items(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _items(scratch: Scratch, docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(sid, n, items) of the wanted sets, from the text of one document of each."""
-    wanted = wanted.join(sets.select("sid", "d", F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark")), "sid")
-    if wanted.count() <= BROADCAST_IDS:
+    wanted = scratch.store(wanted.join(sets.select("sid", "d", F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark")), "sid"))
+    rows = wanted.count()
+    if rows <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("sid", "d", "text")
-    return texts.mapInArrow(_sets(width), "sid long, n long, items binary").dropDuplicates(["sid"])
+    items = scratch.store(texts.mapInArrow(_sets(width), "sid long, n long, items binary"))
+    return items if items.count() == rows else scratch.store(items.dropDuplicates(["sid"]))  # repeated rows
 
 
 _ELEMENT_ARROW = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("cell", pa.int64()), ("level", pa.int16())])
@@ -176,23 +180,40 @@ def _elements(levels):
     return run
 
 
+def _survivors(scratch: Scratch, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(sid, cell) of longer prefixes: the sets that share enough of it with others, and what they share."""
+    overlap = f"((n * {num} + {den - 1}) div {den})"
+    sizes = sets.select("sid", F.expr(f"1 + {overlap} div {MORE}").alias("need"))
+    cells = sets.select("sid", F.explode("prefix").alias("cell"))
+    while True:
+        held = scratch.store(cells.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1"))
+        shared = scratch.store(spread_join(cells, held.select("cell"), "cell", counts=held))
+        enough = scratch.store(shared.groupBy("sid").agg(F.count("*").alias("shares")).join(sizes, "sid"))
+        here, left = enough.agg(F.count("*"), F.count_if(F.col("shares") >= F.col("need"))).first()
+        cells = scratch.store(shared.join(enough.where("shares >= need").select("sid"), "sid", "left_semi"))
+        if left >= (1 - ENDS) * here:
+            return cells
+
+
 def _meetings(scratch: Scratch, docs: DataFrame, sets: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
     """(cell, sid): the prefix shingles that several sets hold."""
-    cells = sets.select("sid", F.explode("prefix").alias("cell"))
+    alive = scratch.store(_survivors(scratch, sets, num, den).select("sid").distinct())
+    length = F.expr(f"cast(n - (n * {num} + {den - 1}) div {den} + 1 AS int)")
+    cells = scratch.store(sets.join(alive, "sid").select("sid", F.explode(F.slice("prefix", F.lit(1), length)).alias("cell")))
     held = scratch.store(cells.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1"))
     if held.where(F.col("held") > CROWD).limit(1).count():
+        elements = lambda some: _items(scratch, docs, sets, some, width).mapInArrow(_elements(levels), "sid long, n long, cell long, level short")
         some = scratch.store(cells.join(held.where(F.col("held") > CROWD).select("cell"), "cell", "left_semi").select("sid").distinct())
-        counted = _items(docs, sets, some, width).mapInArrow(_elements(levels), "sid long, n long, cell long, level short").groupBy("cell").agg(F.count("*").alias("often"))
-        common = scratch.store(counted.where(F.col("often") > CROWD))
+        common = scratch.store(elements(some).groupBy("cell").agg(F.count("*").alias("often")).where(F.col("often") > CROWD))
         some = scratch.store(some.unionByName(cells.join(common, "cell", "left_semi").select("sid")).distinct())
-        every = scratch.store(_items(docs, sets, some, width)).mapInArrow(_elements(levels), "sid long, n long, cell long, level short")
-        ranked = every.join(common, "cell", "left").withColumn("rank", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "level", F.shiftrightunsigned("cell", 8).alias("high"), "cell"))
-        ordered = ranked.groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("rank")).alias("ranks"))  # as long as one set
-        length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-        moved = ordered.select("sid", F.explode(F.slice("ranks", F.lit(1), length.cast("int"))).alias("rank")).select("sid", F.col("rank.cell").alias("cell"))
+        unsigned = F.col("cell").bitwiseXOR(F.lit(-(2**63)))
+        place = F.struct(F.coalesce("often", F.lit(0)).alias("often"), "level", unsigned.alias("order"), "cell").alias("place")
+        every = scratch.store(elements(some))
+        ordered = spread_join(every, common, "cell", "left").select("sid", "n", place).groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))  # one set each
+        moved = ordered.select("sid", F.explode(F.slice("places", F.lit(1), length)).alias("place")).select("sid", "place.cell")
         cells = scratch.store(cells.join(some, "sid", "left_anti").unionByName(moved))
         held = scratch.store(cells.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1"))
-    return scratch.store(spread_join(cells, held, "cell", counts=held).select("cell", "sid"))
+    return scratch.store(spread_join(cells, held.select("cell"), "cell", counts=held).select("cell", "sid"))
 
 
 # -- components
@@ -494,7 +515,7 @@ def set_components(scratch: Scratch, docs: DataFrame, sets: DataFrame, levels, w
     ranked = scratch.store(meetings.join(degrees, "sid").select("cell", "sid", F.struct("degree", "sid").alias("rank")))
     pivots = ranked.groupBy("cell").agg(F.max("rank").alias("pivot"))
     regions = scratch.store(spread_join(ranked.select("cell", "sid"), pivots, "cell").select(F.col("pivot.sid").alias("region"), "sid").distinct())
-    items = scratch.store(_items(docs, sets, regions.select("sid").distinct(), width))
+    items = _items(scratch, docs, sets, regions.select("sid").distinct(), width)
     regions = scratch.store(regions.join(items.select("sid", "n"), "sid"))
     return _region_links(scratch, regions, items, num, den)
 
@@ -510,7 +531,7 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int]
         named = docs.select("doc_id", "mark", "text").mapInArrow(_named(width, num, den, levels), "doc_id long, mark long, n long, d binary, prefix array<long>")
         classes = scratch.store(named)
         first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("first")
-        grouped = classes.where("n > 0").groupBy("d").agg(first, F.first("prefix").alias("prefix"))
+        grouped = classes.where("n > 0").groupBy("d").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         sets = scratch.store(grouped.withColumn("sid", F.monotonically_increasing_id()))
         comps = set_components(scratch, docs, sets, levels, width, num, den)
         owned = scratch.store(sets.select("sid", "d", F.col("first.doc_id").alias("least")).join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
