@@ -100,7 +100,7 @@ TRICKY = [
 
 def test_pii_base(spark):
     table = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
-    for r in pii.find_pii(table, pii.fit(np.zeros((0, 8), int), np.zeros(0), np.zeros(0))).collect():
+    for r in pii.find_pii(table, pii.fit(np.zeros((0, 7), int), np.zeros((0, 2)), np.zeros((0, 2)))).collect():
         want = pii.brute_force_base(r.text)
         joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
         assert r.spans == joined and r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
@@ -117,9 +117,99 @@ def test_pii_model_adds_and_keeps_base(spark):
     assert pii.redact(table).where("doc_id = 99").first().text == "pay card [card] now"
 
 
+def _with_luhn(rng, good):
+    while True:
+        digits = [rng.randrange(10) for _ in range(16)]
+        total = sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])
+        if (total % 10 == 0) == good:
+            return "".join(map(str, digits))
+
+
+def _grouped(digits):
+    return " ".join(digits[k : k + 4] for k in (0, 4, 8, 12))
+
+
+def planted(rng, n):
+    """(text, spans to add): base forms, disguised forms in the same contexts, and numbers that are no personal data."""
+    words = "the river ran over stones and then it came to light under green lamps".split()
+    say = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(3, 8)))
+    out = []
+    for i in range(n):
+        name, host = rng.choice(words) + str(rng.randint(1, 99)), rng.choice(words)
+        area, a, b = rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999)
+        kind, found, lead = i % 8, None, ""
+        if kind < 3:  # what the base patterns match
+            lead, found = [("mail me", f"{name}@{host}.org"), ("phone", f"+1 {area} {a} {b}"), ("card", _grouped(_with_luhn(rng, True)))][kind]
+            out.append((f"{say()} {lead} {found} {say()}", []))
+            continue
+        if kind == 3 and i % 16 == 3:
+            lead, found, as_kind = "mail me", f"{name} (at) {host} (dot) org", "email"
+        elif kind == 4 and i % 16 == 4:
+            lead, found, as_kind = "phone", f"{area} {a} {b}", "phone"
+        elif kind == 5 and i % 16 == 5:
+            lead, found, as_kind = "card", _grouped(_with_luhn(rng, False)), "card"
+        if found:
+            text = f"{say()} {lead} {found} {say()}"
+            at = text.index(found)
+            out.append((text, [f"{as_kind}:{at}:{at + len(found)}"]))
+        else:
+            number = rng.choice([_with_luhn(rng, False), f"2024-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{rng.randint(1, 999)} {rng.randint(100, 999)} {rng.randint(100, 999)}", f"{rng.randint(300, 999)}.1.2.3"])
+            out.append((f"{say()} number {number} {say()}", []))
+    return out
+
+
+def test_pii_finds_planted_disguises(spark):
+    """Precision and recall of the added spans."""
+    table = planted(random.Random(3), 1600)
+    got = {r.doc_id: r.spans.split(",") for r in pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(table)], "doc_id long, text string")).collect()}
+    kinds = {k: [0, 0, 0] for k in pii.KINDS}
+    for i, (text, want) in enumerate(table):
+        base = {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in pii.brute_force_base(text)}
+        added = {s for s in got[i] if s} - base
+        for s in added | set(want):
+            kinds[s.split(":")[0]][0 if s in added and s in want else 1 if s in added else 2] += 1
+    right, wrong, lost = (sum(k[j] for k in kinds.values()) for j in range(3))
+    assert right / (right + wrong) >= 0.9 and right / (right + lost) >= 0.9, kinds
+
+
+def test_pii_threshold_takes_groups_as_a_whole():
+    margins, positive = np.array([2.0, 1.0, 1.0, 1.0, 0.0]), np.array([9, 5, 0, 0, 3.0])
+    assert 0 < pii.threshold(margins, positive, np.array([0, 0, 1, 2, 9.0])) < 1
+    assert 1 < pii.threshold(margins, positive, np.array([0, 0, 9, 9, 9.0])) < 2  # five right ones can't carry eighteen wrong ones
+    assert pii.threshold(margins, np.zeros(5), np.ones(5)) == float("inf")
+
+
+def test_pii_long_text_of_numbers(spark):
+    import time
+
+    text = " ".join(f"4111-1111-1111-111{i % 10} at 10.0.0.{i % 256}," for i in range(30_000))  # over a megabyte
+    table = spark.createDataFrame([(1, text), (2, "card 4111 1111 1111 1111")], "doc_id long, text string")
+    model = pii.Model((1.0,) * 4, ((),) * 4, (0.0,) * 4)  # adds all that it may
+    begun = time.time()
+    got = {r.doc_id: r for r in pii.find_pii(table, model).collect()}
+    assert time.time() - begun < 60
+    want = pii.brute_force_base(text)
+    assert got[1].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+    spans = [(int(a), int(b)) for _, a, b in (s.split(":") for s in got[1].spans.split(","))]
+    assert got[1].n_added > 0 and len(spans) == len(want) + got[1].n_added
+
+
+def test_pii_overlaps(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        spans = lambda n: sorted({(a := rng.randint(0, 400), a + rng.randint(1, 12)) for _ in range(n)})
+        rows.append((i, spans(rng.randint(0, 200)), spans(rng.randint(0, 30))))
+    frame = spark.createDataFrame(rows, "i long, a array<struct<start:long,end:long>>, b array<struct<start:long,end:long>>")
+    for r in frame.withColumn("flags", pii.overlapping(F.col("a"), F.col("b"))).collect():
+        assert r.flags == [any(b.start < a.end and a.start < b.end for b in r.b) for a in r.a]
+
+
 def test_pii_odd(empty, odd_columns):
     assert pii.find_pii(empty).count() == 0
     assert pii.find_pii(odd_columns).count() == len(rows())
+    clash = odd_columns.withColumns({c: F.lit("mine") for c in ("row", "base", "cand", "added", "chosen")})
+    assert {(r.row, r.base, r.cand, r.added) for r in pii.find_pii(clash).collect()} == {("mine",) * 4}
 
 
 # -- language and toxicity
