@@ -1,17 +1,20 @@
 """Quality rules as a short-circuit cascade, in built-in SQL functions only.
 
-Every document gets the statistics of its whole text.  The rules are predicates over these
-statistics that reject a document.  On a bounded sample, each rule's cost is measured and its
-selectivity is counted; rules then run in order of rejections per cost inside one ``CASE``, so
-a rule is evaluated only for documents that no earlier rule has rejected.  The order decides how
-much work is done, never which documents are kept: a document is kept if no rule rejects it.
-
-Defined cases: null text has no words; extra columns pass through; empty tables give no rows.
+Every document gets the statistics of its whole text.  The rules are predicates over these statistics or over
+the text itself that reject a document; those over the text read it again, so they cost work in proportion to
+its length.  On a bounded sample (the texts with the smallest hashes), each rule's work is added up and
+the rejections of all rules are counted together; the next rule is always the one that rejects most of what the
+rules before it leave, per work.  Rules run in this order inside one ``CASE``, so a rule is evaluated only
+for documents that no earlier rule, and no base rule, has rejected.  Work is counted, not timed, so the order
+is the same in every run.  It decides how much work is done, never which documents are kept: a document is
+kept if no rule rejects it.
+
+Defined cases: null text has no words; further columns pass through, whatever their names (those that this adds are
+replaced); repeated rows stay, with equal results; very long texts are read whole; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from grafwerk.llm.common import SPACE_CLASS, WORD_PATTERN
 
-#: Rows of the sample on which costs and selectivities are estimated.
+#: Texts of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 512
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -28,11 +31,15 @@ SYMBOLS = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is SQL over the text and the statistics of :func:`with_stats`."""
+    """``rejects`` is SQL over the text and the statistics of :func:`with_stats`, ``work`` is SQL for what it costs."""
 
     name: str
     rejects: str
+    work: str = "1"
+
 
+#: Work per character of a text that a regular expression reads once, in comparisons of numbers.
+READING = "0.25 * length(text)"
 
 #: Base rules decide ``base_failed``.
 BASE_RULES = (
@@ -45,7 +52,10 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_text_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 25 * n_words"),
-    Rule("few_letters", "2 * length(regexp_replace(text, '[^\\\\p{L}]+', '')) < word_chars"),
+    Rule("few_letters", "2 * length(regexp_replace(text, '[^\\\\p{L}]+', '')) < word_chars", READING),
+    Rule("many_digits", "10 * length(regexp_replace(text, '[^0-9]+', '')) > 3 * word_chars", READING),
+    Rule("capitals", "10 * length(regexp_replace(text, '[^\\\\p{Lu}]+', '')) > 6 * word_chars", READING),
+    Rule("bullets", "10 * regexp_count(text, '(^|\\n)[ \\t]*[-*•]') > 9 * n_text_lines", READING),
 )
 
 
@@ -87,45 +97,42 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(_let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))))
 
 
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words")
+
+
 def with_stats(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_text_lines, n_repeat_words (long)."""
+    """(row, text, the STATS as long): the columns as a struct, and the statistics of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(F.col("text"), SPACE_CLASS + "+"), lambda w: w != "")
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(WORD_PATTERN))
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words")
-    docs = docs.drop(*made)
-    return (
-        docs.withColumn("text", text)
-        .withColumn("__words", words)
-        .withColumn("__lines", lines)
-        .withColumns({
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.regexp_replace("text", SPACE_CLASS + "+", "")).cast("long"),
-            "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_text_lines": F.size("__lines").cast("long"),
-            "n_repeat_words": repeat_words(F.col("__words")).cast("long"),
-        })
-        .drop("__words", "__lines")
-    )
-
-
-def cascade_order(stats: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, rejected share, seconds) by rejections per cost, best first.
-
-    The sample is the table's first rows; it bounds the work and only sets the order.
-    """
-    sample = stats.limit(sample_rows).cache()
-    try:
-        rows = sample.count()
-        found = []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.agg(F.sum(F.expr(rule.rejects).cast("int")).alias("n")).first()[0] or 0
-            found.append((rule, rejected / max(1, rows), time.perf_counter() - began))
-    finally:
-        sample.unpersist()
-    return sorted(found, key=lambda x: (-x[1] / x[2], x[0].name))
+    parts = docs.select(F.struct("*").alias("row"), text.alias("text")).withColumns({"words": words, "lines": lines})
+    stats = {
+        "n_words": F.size("words"),
+        "word_chars": F.length(F.regexp_replace("text", SPACE_CLASS + "+", "")),
+        "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_text_lines": F.size("lines"),
+        "n_repeat_words": repeat_words(F.col("words")),
+    }
+    return parts.select("row", "text", *[stats[n].cast("long").alias(n) for n in STATS])
+
+
+def cascade_order(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, int, float]]:
+    """(rule, rejections that are new, work), in the order of the cascade."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sample = with_stats(docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample_rows)).where(~any_rejects(BASE_RULES))
+    hit = F.concat(F.lit(""), *[F.when(F.expr(f"coalesce({r.rejects}, false)"), "1").otherwise("0") for r in rules])
+    rows = sample.groupBy(hit.alias("hit")).agg(F.count("*").alias("n"), *[F.sum(F.expr(f"cast({r.work} AS double)")).alias(f"w{i}") for i, r in enumerate(rules)]).collect()
+    work = [sum(row[f"w{i}"] for row in rows) + 1 for i in range(len(rules))]
+    left, order = [(row["hit"], row["n"]) for row in rows], []
+    todo = list(range(len(rules)))
+    while todo:
+        gains = {i: sum(n for hit, n in left if hit[i] == "1") for i in todo}
+        best = min(todo, key=lambda i: (-gains[i] / work[i], work[i], rules[i].name))
+        order.append((rules[best], gains[best], work[best]))
+        left = [(hit, n) for hit, n in left if hit[best] != "1"]
+        todo.remove(best)
+    return order
 
 
 def any_rejects(rules: Sequence[Rule]) -> Column:
@@ -138,9 +145,10 @@ def any_rejects(rules: Sequence[Rule]) -> Column:
 
 def quality_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """All columns, the statistics, base_failed and kept (boolean)."""
-    stats = with_stats(docs)
-    order = [rule for rule, _, _ in cascade_order(stats, rules, sample_rows)]
-    return stats.withColumn("base_failed", any_rejects(BASE_RULES)).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~any_rejects(order)))
+    docs = docs.drop(*STATS, "base_failed", "kept")
+    order = [rule for rule, _, _ in cascade_order(docs, rules, sample_rows)]
+    judged = with_stats(docs).withColumn("base_failed", any_rejects(BASE_RULES)).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~any_rejects(order)))
+    return judged.select("row.*", *STATS, "base_failed", "kept")
 
 
 def brute_force(text: str | None) -> tuple[int, int, int, int, int]:

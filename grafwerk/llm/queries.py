@@ -129,12 +129,16 @@ ORACLE_SQL: dict[str, str] = {
                    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
                    len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_text_lines,
                    coalesce(c.n, 0) AS n_repeat_words,
-                   length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters
+                   length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters,
+                   length(regexp_replace(text, '[^0-9]+', '', 'g')) AS n_digits,
+                   length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS n_capitals,
+                   len(regexp_extract_all(text, '(^|\n)[ \t]*[-*•]')) AS n_bullets
             FROM base b LEFT JOIN covered c USING (doc_id)
         ), judged AS (
             SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                    10 * n_symbols > 3 * n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_text_lines)
-                   OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * n_letters < word_chars AS rejected
+                   OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * n_letters < word_chars
+                   OR 10 * n_digits > 3 * word_chars OR 10 * n_capitals > 6 * word_chars OR 10 * n_bullets > 9 * n_text_lines AS rejected
             FROM stats
         )
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
