@@ -93,6 +93,14 @@ def spread_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner"
     return rows.where(~some | F.col(key).isNull()).join(unique, key, how).unionByName(rows.where(some).join(F.broadcast(unique.where(some)), key, how))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that ``columns`` doesn't have."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Bound the Arrow batches that carry whole texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
