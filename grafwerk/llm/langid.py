@@ -135,8 +135,12 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     """Learns from text and lang of rows that are not held out."""
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
+    # a language may hold any share of the rows: a threshold on the hash leaves about four times as many as are taken
+    counts = known.groupBy("lang").agg(F.count("*").alias("held"))
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    some = known.select("lang", "doc_id").join(F.broadcast(counts), "lang").where(hashed * F.col("held") < 4 * fit_docs)  # a row a language
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= fit_docs).select("doc_id").distinct()
+    chosen = some.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= fit_docs).select("doc_id").distinct()
     sample = known.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), "text")  # fit_docs ids a language
     tables: dict[str, list[np.ndarray]] = {}
     for lang, at, n in sorted(map(tuple, sample.mapInArrow(_count_texts, _COUNTS_SCHEMA).collect())):
