@@ -66,6 +66,24 @@ def test_line_dedup_odd(empty, odd_columns):
     assert out.where("doc_id IS NULL AND n_dropped > 0").count() == 0
 
 
+@pytest.mark.parametrize("scan,most", [(64, 4), (2, 4), (1, 1)])
+def test_line_dedup_in_shards(spark, scan, most, monkeypatch):
+    """Many small shards, looked up in one scan, in several, or (too many) not at all; suspects stay few."""
+    for name, value in {"SHARD_BITS": 1 << 12, "MIN_BITS": 1 << 12, "SCAN_SHARDS": scan, "MOST_SCANS": most, "HELD_KEYS": 50, "MERGE_FAN": 2}.items():
+        monkeypatch.setattr(linededup, name, value)
+    rng = random.Random(6)
+    common = [f"a line that several documents share, number {i}" for i in range(12)]
+    table = [(i, "\n".join([f"line {rng.random()} of document {i}, and nobody else's" for _ in range(4)] + rng.sample(common, 1))) for i in range(240)]
+    bits, shards = linededup.filter_size(len(table))
+    assert shards == 8
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(7)
+    suspects, repeats = linededup.repeated_keys(frame)
+    assert repeats.count() == 12
+    assert suspects.count() == 1200 if most == 1 else 240 <= suspects.count() < 300
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.h) for r in linededup.dedup_lines(frame).withColumn("h", F.sha2("text", 256)).collect()}
+    assert got == linededup.brute_force(table)
+
+
 def test_line_keys():
     assert linededup.line_key(" \x0bAbÉ\r".encode()) == "abÉ".encode()
     assert linededup._keys(("é" * 19 + "\n" + "é" * 20).encode(), 20) == {("é" * 20).encode()}
@@ -83,11 +101,29 @@ def test_quality(docs, odd_columns):
     assert quality.quality_cascade(odd_columns).count() == len(rows())
 
 
-def test_quality_order_changes_no_verdict(docs, empty):
-    stats = quality.with_stats(docs)
-    a, b = (stats.select(F.monotonically_increasing_id().alias("i"), quality.any_rejects(o).alias("r")).collect() for o in (quality.RULES, quality.RULES[::-1]))
-    assert a == b
+def test_quality_order(spark, docs, empty):
+    """The order doesn't depend on the partitioning, changes no verdict, and is by rejections that are new per work."""
+    a, b = (quality.with_stats(docs).select("row.doc_id", "text", quality.any_rejects(o).alias("r")).collect() for o in (quality.RULES, quality.RULES[::-1]))
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    assert quality.cascade_order(docs) == quality.cascade_order(docs.repartition(5))
     assert quality.quality_cascade(empty).count() == 0
+    texts = [" ".join(f"w{i}{'1' * 9 if n % 4 == 0 else ''}" for i in range(60)) for n in range(20)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = [quality.Rule("never", "false"), quality.Rule("cheap", "word_chars > 300"), quality.Rule("same", "word_chars > 300", quality.READING), quality.Rule("dear", "text IS NOT NULL", "1000 * length(text)")]
+    order = quality.cascade_order(table, rules)
+    assert [r.name for r, _, _ in order] == ["cheap", "dear", "never", "same"] and [n for _, n, _ in order] == [5, 15, 0, 0]
+
+
+def test_quality_rules(spark):
+    plain = " ".join(["some words of a text that nothing speaks against and that all rules keep"] * 1 + [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)])
+    bad = {"digits": " ".join(f"{i}{i * 7} ab" for i in range(40)), "capitals": plain.upper(), "bullets": "\n".join(f"- {w}" for w in plain.split()), "symbols": plain + " #" * 40}
+    got = {r.doc_id: r.kept for r in quality.quality_cascade(spark.createDataFrame([("plain", plain), *bad.items()], "doc_id string, text string")).collect()}
+    assert got == {"plain": True} | dict.fromkeys(bad, False)
+
+
+def test_quality_stops_at_the_first_rejection(docs):
+    rules = [quality.Rule("all", "true"), quality.Rule("fails", "raise_error('evaluated') IS NULL")]
+    assert {r[0] for r in quality.with_stats(docs).select(quality.any_rejects(rules)).collect()} == {True}
 
 
 # -- personal data
