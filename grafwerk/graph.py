@@ -23,9 +23,12 @@ EDGES = "src string, label string, dst string"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).  Where that is unset, a single
+    machine gets a folder of this user's; a cluster gets an error, since executors' own disks aren't shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = os.path.join(tempfile.gettempdir(), "grafwerk-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -21,6 +21,8 @@ from grafwerk.rules import CORE, SUBSET, Constraint, ConstraintSet
 
 #: More rounds than this are an error, not a loop without end.
 MAX_ROUNDS = 1000
+#: Rounds of changes that are kept beside the graph before it is written again.
+COMPACT_ROUNDS = 8
 
 
 @dataclass(frozen=True)
@@ -75,14 +77,16 @@ def round_log(graph: Graph, gone: DataFrame, number: int) -> DataFrame:
 
 
 def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``seq`` (1, 2, ...) by the keys without a single task for all rows: rows are numbered
-    within the first key and the groups' sizes are added up."""
-    first, rest = keys[0], keys[1:]
-    sizes = df.groupBy(first).agg(F.count("*").alias("__size"))
-    before = F.sum("__size").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1))  # a row a group
-    offsets = sizes.select(first, F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
-    return df.join(offsets, first).withColumn("seq", (own + F.col("__before")).cast("long")).drop("__before")
+    """Adds ``seq`` (1, 2, ...) by the keys, which are unique.  Rows are dealt by ranges of all keys, so neither a hub
+    nor a large round is one task; only the partitions' sizes are added up in order."""
+    place = F.monotonically_increasing_id()  # partition and row within it
+    dealt = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", place), "numbered")
+    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = dealt.withColumn("part", part).join(F.broadcast(offsets), "part")
+    return placed.withColumn("seq", (row + F.col("before") + 1).cast("long")).drop("place", "part", "before")
 
 
 def subset_repair(graph: Graph, rules: ConstraintSet, strategy: str = "full", max_rounds: int = MAX_ROUNDS) -> SubsetRepairResult:
@@ -90,7 +94,8 @@ def subset_repair(graph: Graph, rules: ConstraintSet, strategy: str = "full", ma
     if strategy not in ("full", "incremental"):
         raise ValueError(f"unknown strategy {strategy!r}")
     spark, own = graph.spark, eligible(rules)
-    now, log, rounds, checked, due = graph, spark.createDataFrame([], LOG), 0, 0, own
+    base = now = graph
+    log, lost, rounds, checked, due = spark.createDataFrame([], LOG), None, 0, 0, own
     while True:
         rounds += 1
         if rounds > max_rounds:
@@ -101,7 +106,12 @@ def subset_repair(graph: Graph, rules: ConstraintSet, strategy: str = "full", ma
             break
         part = cut(round_log(now, gone, rounds), "log")
         log = log.unionByName(part)
-        now = now.remove_nodes(gone.select("n")).settled()
+        # the graph is the base without the nodes lost since; it is written again only every few rounds
+        lost = gone.select("n") if lost is None else cut(lost.unionByName(gone.select("n")), "lost")
+        now = base.remove_nodes(lost)
+        if rounds % COMPACT_ROUNDS == 0:
+            base = now = now.settled()
+            lost = None
         if strategy == "incremental":
             touched = {r[0] for r in part.where("op = 'remove_edge'").select("label").distinct().collect()}
             due = [c for c in own if (ast.labels(c.phi) | ast.labels(c.psi)) & touched or _reads_all_nodes(c)]

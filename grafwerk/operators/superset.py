@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from grafwerk.graph import Graph, cut, difference
 from grafwerk.operators import prune as prune_plan
 from grafwerk.operators.changes import LOG, records
-from grafwerk.operators.subset import _changed_values, _numbered
+from grafwerk.operators.subset import COMPACT_ROUNDS, _changed_values, _numbered
 from grafwerk.operators.validate import witnesses
 from grafwerk.plans import ast
 from grafwerk.plans.local import LocalGraph
@@ -122,8 +122,11 @@ class SupersetRepairResult:
     log: DataFrame
     rounds: int
     pruned_edges: int
+    pruned_nodes: int
     #: "grouped", "replayed", "inconsistent" or "off".
     pruning: str
+    #: Sizes of the pool of values that additions are drawn from.
+    pool: dict[str, int]
     attestations: dict[str, bool]
 
     @property
@@ -137,7 +140,7 @@ class SupersetRepairResult:
         return self.log.where("op = 'add_node'").select("node", "provenance")
 
     def to_dict(self, limit: int | None = None) -> dict:
-        return {"mode": "superset", "rounds": self.rounds, "pruned_edges": self.pruned_edges, "pruning": self.pruning, "attest": self.attestations, "changelog": [r.to_dict() for r in records(self.log, limit)]}
+        return {"mode": "superset", "rounds": self.rounds, "pruned_edges": self.pruned_edges, "pruned_nodes": self.pruned_nodes, "pool": self.pool, "pruning": self.pruning, "attest": self.attestations, "changelog": [r.to_dict() for r in records(self.log, limit)]}
 
 
 def core(rules: Iterable[Constraint]) -> list[Constraint]:
@@ -172,18 +175,36 @@ def round_plan(graph: Graph, rules: list[Constraint], found: DataFrame) -> DataF
 
 
 def apply_plan(graph: Graph, additions: DataFrame) -> Graph:
-    nodes = additions.where("op = 'add_node'").select("node", "value")
-    return Graph(graph.nodes.unionByName(nodes), graph.edges).add_edges(additions.where("op = 'add_edge'").select("src", "label", "dst"))
+    """``additions`` are new and distinct, and the ends of new edges are known or new nodes."""
+    nodes, edges = additions.where("op = 'add_node'").select("node", "value"), additions.where("op = 'add_edge'").select("src", "label", "dst")
+    return Graph(graph.nodes.unionByName(nodes), graph.edges.select("src", "label", "dst").unionByName(edges))
+
+
+def round_bound(graph: Graph, rules: list[Constraint]) -> int:
+    """Rounds after which a repair has gone wrong: every productive round adds something from a finite pool."""
+    return 100 + 10 * len(rules) + graph.nodes.count()
+
+
+def pool_sizes(graph: Graph, rules: list[Constraint], log: DataFrame) -> dict[str, int]:
+    """The values in the graph, the constants that rules name, and the fresh nodes used and allowed."""
+    constants = {c for r in rules for c in ast.constants(r.phi) | ast.constants(r.psi)}
+    fresh = log.where("op = 'add_node' AND provenance = 'fresh'").select("node").distinct()
+    return {"graph_values": graph.nodes.select("value").where("value IS NOT NULL").distinct().count(), "named_constants": len(constants), "fresh_used": fresh.count(), "fresh_bound": FRESH_PER_RULE * len(rules)}
 
 
 def superset_repair(graph: Graph, rules: ConstraintSet, prune: bool = True, max_rounds: int | None = None) -> SupersetRepairResult:
+    """Rounds go on to the fixpoint.  Raises RuntimeError past ``max_rounds`` (see ``round_bound``) and
+    NoSupersetPlan where a failing rule has no plan; ends without consistency where plans add nothing."""
     spark, own = graph.spark, core(rules)
     now, log, rounds = graph, spark.createDataFrame([], LOG), 0
-    most = max_rounds or 2 + sum(1 + len(plan_or_none(r)) for r in own)
-    consistent = False
-    while rounds < most:
-        found = cut(witnesses(now, own).select("cid", "n"), "found")
+    most, consistent = max_rounds, False
+    while True:
         rounds += 1
+        if most is None and rounds > 100:
+            most = round_bound(graph, own)
+        if most is not None and rounds > most:
+            raise RuntimeError(f"no fixpoint after {most} rounds")
+        found = cut(witnesses(now, own).select("cid", "n"), "found")
         if not found.limit(1).count():
             consistent = True
             break
@@ -193,27 +214,22 @@ def superset_repair(graph: Graph, rules: ConstraintSet, prune: bool = True, max_
             break
         numbered = _numbered(part.withColumn("pair", F.struct("cid", "witness")), ["pair", "step"])
         log = log.unionByName(numbered.select(F.lit(rounds).alias("round"), "seq", "op", F.col("cid").alias("constraint"), "node", "src", "label", "dst", "witness", "provenance"))
-        now = apply_plan(now, part).settled()
+        now = apply_plan(now, part)
+        if rounds % COMPACT_ROUNDS == 0:
+            now, log = now.settled(), cut(log, "log")
     log = cut(log, "log")
-    pruned, how = 0, "off"
+    pruned, bare, how = 0, 0, "off"
     if prune and not consistent:
         how = "inconsistent"
     elif prune:
-        now, log, pruned, how = _prune(now, log, own)
+        now, log, pruned, bare, how = _prune(now, log, own)
     removed, _ = difference(graph, now)
     attest = {
         "consistent_after": not witnesses(now, own).limit(1).count(),
         "superset_only_added": not removed.limit(1).count() and not graph.nodes.join(now.nodes, "node", "left_anti").limit(1).count(),
         "data_values_unmodified": not _changed_values(graph, now).limit(1).count(),
     }
-    return SupersetRepairResult(now, log, rounds, pruned, how, attest)
-
-
-def plan_or_none(rule: Constraint) -> tuple[Step, ...]:
-    try:
-        return plan(rule).steps
-    except NoSupersetPlan:
-        return ()
+    return SupersetRepairResult(now, log, rounds, pruned, bare, how, pool_sizes(graph, own, log), attest)
 
 
 def _replayed(candidates: list[tuple], edges: list[tuple], after: Graph, rules: list[Constraint]) -> list[tuple[str, str, str]]:
@@ -233,7 +249,7 @@ def _replayed(candidates: list[tuple], edges: list[tuple], after: Graph, rules:
     return gone
 
 
-def _prune(after: Graph, log: DataFrame, rules: list[Constraint]) -> tuple[Graph, DataFrame, int, str]:
+def _prune(after: Graph, log: DataFrame, rules: list[Constraint]) -> tuple[Graph, DataFrame, int, int, str]:
     """Greedy by (round, rule, source, label, target) over all added edges: an edge goes if every core
     rule still holds.  Rules that read added edges by their first hops only are pruned on the cluster
     (see prune); any other rule set is replayed on the driver, whatever its size.
@@ -251,7 +267,7 @@ def _prune(after: Graph, log: DataFrame, rules: list[Constraint]) -> tuple[Graph
     lost = cut(lost, "lost")
     count = lost.count()
     if not count:
-        return after, log, 0, how
+        return after, log, 0, 0, how
     kept = after.remove_edges(lost)
     ends = kept.edges.select(F.col("src").alias("node")).unionByName(kept.edges.select(F.col("dst").alias("node")))
     idle = log.where("op = 'add_node'").select("node").join(ends, "node", "left_anti").distinct()
@@ -260,4 +276,4 @@ def _prune(after: Graph, log: DataFrame, rules: list[Constraint]) -> tuple[Graph
     edges_left = log.where("op = 'add_edge'").join(lost, ["src", "label", "dst"], "left_anti")
     nodes_left = log.where("op = 'add_node'").join(idle, "node", "left_anti")
     columns = [c.split()[0] for c in LOG.split(", ")]
-    return kept, edges_left.select(*columns).unionByName(nodes_left.select(*columns)), count, how
+    return kept, edges_left.select(*columns).unionByName(nodes_left.select(*columns)), count, idle.count(), how

@@ -95,15 +95,13 @@ class ValidationReport:
 
 
 def validate(graph: Graph, rules: ConstraintSet, witness_limit: int = 10) -> ValidationReport:
-    """Counts and the first witnesses of each rule: one job over one plan."""
-    found = witnesses(graph, rules)
-    count = F.count("*").over(Window.partitionBy("ord"))
-    ranked = found.withColumn("count", count).withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy("n")))
-    wanted = F.col("rank") <= (2**31 - 1 if witness_limit < 0 else max(1, witness_limit))
-    rows = ranked.where(wanted).select("ord", "count", "rank", "n").collect()  # witness_limit rows a rule
-    count_of = {r["ord"]: r["count"] for r in rows}
+    """Counts of all rules in one job, then the first witnesses of the rules that fail.  A negative limit asks
+    for all witnesses, which the driver then holds."""
+    count_of = {r["ord"]: r["witnesses"] for r in witnesses(graph, rules).groupBy("ord").agg(F.count("*").alias("witnesses")).collect()}
     names: dict[int, list[str]] = {}
-    for r in sorted(rows, key=lambda r: r["rank"]):
-        if witness_limit < 0 or r["rank"] <= witness_limit:
-            names.setdefault(r["ord"], []).append(r["n"])
+    if count_of and witness_limit:
+        failing = [(i, c) for i, c in enumerate(rules) if i in count_of]
+        shown = preview(witnesses(graph, [c for _, c in failing]), witness_limit).select("ord", "rank", "n")
+        for row in sorted(shown.collect(), key=lambda r: (r["ord"], r["rank"])):  # witness_limit rows a rule
+            names.setdefault(failing[row["ord"]][0], []).append(row["n"])
     return ValidationReport(tuple(Violation(c, count_of.get(i, 0), tuple(names.get(i, ()))) for i, c in enumerate(rules)))
