@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grafwerk.llm import decontam, jaccard, langid, linededup, packing
 from grafwerk.llm.common import Scratch, load, store
@@ -50,11 +51,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked texts: the one with the smallest id (a null id is the largest), of several
     with that id any one.  Texts without words are linked with nothing, so all such rows stay, repeated ones too."""
+    slim = _slim(docs)
     with Scratch(spark, "near-rows") as scratch:
-        rows = scratch.store(_slim(docs).withColumn("row", F.monotonically_increasing_id()))  # ids may be repeated or null
+        ids = slim.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+        if ids["rows"] == ids["ids"] and isinstance(docs.schema["doc_id"].dataType, T.IntegralType):  # the ids name the rows
+            rows = slim.withColumn("row", F.col("doc_id"))
+        else:
+            rows = scratch.store(slim.withColumn("row", F.monotonically_increasing_id()))
         groups = jaccard.components(rows.select(F.col("row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY)
         named = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
-        kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select("least.row")
+        kept = scratch.store(named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select("least.row"))
         return store(_whole(rows.join(kept, "row", "left_semi"), docs), "near-kept")
 
 
