@@ -16,13 +16,14 @@ from grafwerk.operators.changes import ChangeRecord, change_counts, records
 from grafwerk.operators.metrics import GraphMetrics, compare_metrics, compute_metrics, metric_names, metrics_block, split_type_predicates
 from grafwerk.operators.neighbourhood import label_index, neighbourhood, sorted_slice, typing_completion
 from grafwerk.operators.search import SearchConfig, search
+from grafwerk.operators.shape_rules import ShapeResult, reduced_cover, shape_rules, validates_clean
 from grafwerk.operators.shapes import detect_vocabulary
 from grafwerk.operators.subset import SubsetRepairResult, subset_repair
 from grafwerk.operators.superset import NoSupersetPlan, SupersetRepairResult, superset_repair
 from grafwerk.operators.validate import ValidationReport, check, counts, validate, witnesses
 from grafwerk.plans.compile import evaluate
 from grafwerk.plans.parser import ExpressionError, NegationRefused, parse_node, parse_path
-from grafwerk.propose import derive
+from grafwerk.propose import deferred_impact, derive, fill_impact, gloss, measure_impact
 from grafwerk.review import GateError, attestations, reviewed_rules
 from grafwerk.rules import Constraint, ConstraintSet
 from grafwerk.sources.ntriples import NTriplesError, from_lines, read_ntriples, write_ntriples
@@ -31,11 +32,11 @@ from grafwerk.synth import generate
 
 __all__ = [
     "AllowList", "Candidate", "CandidateFile", "CapDecision", "ChangeRecord", "Constraint", "ConstraintSet", "ExpressionError", "GateError", "Graph", "GraphMetrics", "NTriplesError", "NegationRefused",
-    "NoSupersetPlan", "RawCache", "RunContext", "SearchConfig", "SubsetRepairResult", "SupersetRepairResult", "ValidationReport", "attestations", "candidate_cid", "change_counts", "check", "check_cap",
-    "check_record", "compare_metrics", "compile_all", "compute_metrics", "counts", "derive", "detect_vocabulary", "diff_lines", "difference", "envelope", "evaluate", "export_json", "from_lines", "generate",
-    "get", "graph_meta", "label_index", "looks_foreign", "merge", "metric_names", "metrics_block", "neighbourhood", "parse_diff", "parse_node", "parse_path", "read_facts", "read_ntriples", "records", "registry",
-    "reverse", "reviewed_rules", "seal", "seal_holds", "search", "set_status", "sorted_slice", "split_type_predicates", "subset_repair", "superset_repair", "synthetic_rules", "text_table", "timing_summary",
-    "typing_completion", "validate", "witnesses", "write_bundle", "write_ntriples", "zip_bundle",
+    "NoSupersetPlan", "RawCache", "RunContext", "SearchConfig", "ShapeResult", "SubsetRepairResult", "SupersetRepairResult", "ValidationReport", "attestations", "candidate_cid", "change_counts", "check", "check_cap",
+    "check_record", "compare_metrics", "compile_all", "compute_metrics", "counts", "deferred_impact", "derive", "detect_vocabulary", "diff_lines", "difference", "envelope", "evaluate", "export_json", "fill_impact", "from_lines", "generate",
+    "get", "gloss", "graph_meta", "label_index", "looks_foreign", "measure_impact", "merge", "metric_names", "metrics_block", "neighbourhood", "parse_diff", "parse_node", "parse_path", "read_facts", "read_ntriples", "records", "registry",
+    "reduced_cover", "reverse", "reviewed_rules", "seal", "seal_holds", "search", "set_status", "shape_rules", "sorted_slice", "split_type_predicates", "subset_repair", "superset_repair", "synthetic_rules", "text_table", "timing_summary",
+    "typing_completion", "validate", "validates_clean", "witnesses", "write_bundle", "write_ntriples", "zip_bundle",
 ]
 
 

@@ -109,9 +109,47 @@ def _side(kg: str, text: str) -> str:
     return text
 
 
+#: Where rules come from, if not given by the source; a rule of version 2 as its model of version 1.
+COMPILED = (
+    "geo.wd.dom.country", "geo.wd.rng.country", "tax.wd.inherit.taxon", "tax.wd.dom.parent", "tax.wd.rng.parent", "tax.yg.inherit.taxon",
+    "ana.wd.dom.partof", "ana.wd.rng.partof", "dis.wd.dom.symptom", "med.wd.dom.treats", "med.wd.rng.treats",
+)
+#: Derived rules with the slice that they were derived from, at this threshold.
+THRESHOLD = "0.98"
+DERIVED_FROM = {
+    "geo.wd.type.city": "clean-wikidata-city-slice",
+    "geo.db.type.settlement": "clean-dbpedia-place-slice",
+    "tax.db.type.species": "clean-dbpedia-species-slice",
+    "dis.wd.req.cause_or_symptom": "clean-wikidata-disease-slice",
+    "med.wd.req.route": "clean-wikidata-med-slice",
+}
+#: What a rule of a kind says.
+NOTES = {
+    "existential_domain": "Whatever has the edge is of the class.",
+    "existential_range": "Whatever the edge ends in is of the class.",
+    "typing_existence": "Whatever has these edges is of the class.",
+    "typing_inheritance": "Members of a class below are typed as the class itself.",
+    "requires_statement": "Members of the class have the edge.",
+    "symmetric": "The edge goes both ways; only reported.",
+    "inverse": "The edge has an inverse; only reported.",
+    "functional": "There is one value at most; only reported.",
+    "safety_edge": "The edge concerns safety; only reported, in aggregate.",
+}
+
+
+def _origin(cid: str, kind: str, version: int) -> dict:
+    model = cid.removesuffix(".v2")
+    params = {"baseline_cid": model} if version > 1 else {}
+    if kind == "safety_edge":
+        params["reporting"] = "aggregate_only"
+    if model in DERIVED_FROM:
+        return {"provenance": "derived", "params": params | {"threshold": THRESHOLD, "reference": DERIVED_FROM[model]}}
+    return {"provenance": "compiled" if model in COMPILED else "given", "params": params}
+
+
 def _rules(domain: str, kg: str, rows: tuple, version: int) -> list[Constraint]:
     return [
-        Constraint(cid, _side(kg, phi), _side(kg, psi), domain, kg, kind, BOUNDARY if direction == REPORT else CORE, "given", direction, version=version)
+        Constraint(cid, _side(kg, phi), _side(kg, psi), domain, kg, kind, BOUNDARY if direction == REPORT else CORE, direction=direction, note=NOTES.get(kind, ""), version=version, **_origin(cid, kind, version))
         for cid, kind, phi, psi, direction in rows
     ]
 

@@ -62,6 +62,8 @@ def parser() -> argparse.ArgumentParser:
     derive.add_argument("--delta", type=float)
     derive.add_argument("--max-antecedent", type=int, default=2)
     derive.add_argument("--max-path", type=int, default=1)
+    derive.add_argument("--generator", choices=("search", "shape"), default="search")
+    derive.add_argument("--measure", action="store_true")
     derive.add_argument("--type-predicate", action="append")
     review = commands.add_parser("review")
     review.add_argument("path")
@@ -149,7 +151,7 @@ def _derive(spark: SparkSession, args: argparse.Namespace) -> int:
     if found is None:
         return NO_CANDIDATES
     cfg = api.SearchConfig(args.min_support, args.min_conf, args.max_antecedent, args.max_path, type_predicate=found.type_predicate, subclass_predicate=found.subclass_predicate)
-    file = api.derive(graph, args.domain, args.kg, cfg, read(args.reference) if args.reference else None, args.delta, Path(args.graph).name)
+    file = api.derive(graph, args.domain, args.kg, cfg, read(args.reference) if args.reference else None, args.delta, Path(args.graph).name, args.generator, args.measure)
     if Path(args.out).exists():
         file = api.merge(CandidateFile.read(args.out), file)
     if not file.candidates:

@@ -7,13 +7,15 @@ recursive common table expressions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grafwerk import propose
 from grafwerk.candidates import candidate_cid
-from grafwerk.graph import Graph, difference
-from grafwerk.operators import caps, metrics, neighbourhood, search, shapes, subset, superset, validate
+from grafwerk.graph import Graph, cut, difference
+from grafwerk.operators import caps, metrics, neighbourhood, search, shape_rules, shapes, subset, superset, validate
 from grafwerk.plans.compile import Compiler
 from grafwerk.plans.parser import parse_node
 from grafwerk.plans.sql import SqlPlan, node_query, quoted
@@ -588,6 +590,118 @@ def mine_negated_exclusion(g: Graph) -> DataFrame:
     return shapes.negated_exclusions(g, MINING)
 
 
+# -- the shape generator
+
+_STEPS = ("step", f"SELECT 'd_' || label AS key, src AS n FROM edges WHERE label NOT IN ('{TYPE}', '{SUBCLASS}') UNION SELECT 'u_' || label, dst FROM edges WHERE label NOT IN ('{TYPE}', '{SUBCLASS}')")
+_SINGLE = ("single", f"SELECT key AS body, n FROM step WHERE key IN (SELECT key FROM step GROUP BY key HAVING count(*) >= {_S})")
+_PAIR = ("pair", "SELECT a.body || chr(1) || b.body AS body, a.n FROM single a JOIN single b ON a.n = b.n AND a.body < b.body")
+_BODIES = ("bodies", f"SELECT body, n FROM single UNION ALL SELECT body, n FROM pair WHERE body IN (SELECT body FROM pair GROUP BY body HAVING count(*) >= {_S})")
+_JUDGED = ("judged", "SELECT body, count(*) AS size, count(*) FILTER (WHERE n IN (SELECT node FROM types)) AS typed FROM bodies GROUP BY body")
+_CLEARED = ("cleared", f"SELECT b.body, t.cls, count(*) AS support, any_value(j.size) AS size, CAST(count(*) AS DOUBLE) / any_value(j.size) AS standard, CAST(count(*) AS DOUBLE) / any_value(j.typed) AS pca FROM bodies b JOIN typed t ON t.n = b.n JOIN judged j ON j.body = b.body WHERE j.typed >= 0.5 * j.size GROUP BY b.body, t.cls HAVING count(*) >= {_S} AND CAST(count(*) AS DOUBLE) / any_value(j.typed) >= {_C}")
+_TOP = ("top", """SELECT body, cls, support, size, standard, pca FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY body ORDER BY EXISTS (SELECT 1 FROM cleared d JOIN up u ON u.cls = d.cls WHERE d.body = c.body AND u.sup = c.cls),
+        (SELECT count(*) FROM up u WHERE u.cls = c.cls) DESC, support DESC, cls) AS rank FROM cleared c) x WHERE rank = 1""")
+_SHAPED = (_TYPES, _UP, _TYPED, _STEPS, _SINGLE, _PAIR, _BODIES, _JUDGED, _CLEARED, _TOP)
+
+
+def _bodies(g: Graph) -> tuple[DataFrame, DataFrame]:
+    members = cut(shape_rules.bodies(g, MINING), "bodies")
+    return members, cut(shape_rules.best_classes(g, members, MINING), "best")
+
+
+@query(_with(*_SHAPED) + "SELECT body, cls, support, size, standard, pca FROM top")
+def shape_typing(g: Graph) -> DataFrame:
+    """The class of each step and of each conjunction of two."""
+    return _bodies(g)[1].drop("runners_up")
+
+
+@query(_with(*_SHAPED, ("lacking", "SELECT t.body, t.cls, b.n FROM top t JOIN bodies b ON b.body = t.body WHERE NOT EXISTS (SELECT 1 FROM typed y WHERE y.n = b.n AND y.cls = t.cls)"))
+       + "SELECT body, cls, rank, n FROM (SELECT *, row_number() OVER (PARTITION BY body, cls ORDER BY n) AS rank FROM lacking) x WHERE rank <= 10")
+def shape_exceptions(g: Graph) -> DataFrame:
+    members, best = _bodies(g)
+    return shape_rules.exceptions(members, best, search.typed_nodes(g, MINING))
+
+
+@query(_with(*_SHAPED, ("known", "SELECT t.body AS rule, t.cls, b.n FROM top t JOIN bodies b ON b.body = t.body"),
+             ("shared", "SELECT b.rule, a.rule AS "by", count(*) AS both FROM known a JOIN known b ON a.cls = b.cls AND a.n = b.n AND a.rule <> b.rule GROUP BY ALL"),
+             ("covering", "SELECT s.rule, s."by", row_number() OVER (PARTITION BY s.rule ORDER BY o.size DESC, s."by") AS rank FROM shared s JOIN top r ON r.body = s.rule JOIN top o ON o.body = s."by" WHERE s.both = r.size AND (o.size > r.size OR s."by" < s.rule)"))
+       + "SELECT rule, "by" FROM covering WHERE rank = 1")
+def shape_reduced_cover(g: Graph) -> DataFrame:
+    members, best = _bodies(g)
+    groups = best.select(F.col("body").alias("rule"), F.col("cls").alias("consequent"))
+    return shape_rules.reduced_cover(members.join(best.select("body"), "body").select(F.col("body").alias("rule"), "n"), groups)
+
+
+@query(_with(_TYPES, ("path", f"SELECT DISTINCT 'p_' || a.label || chr(2) || b.label AS key, a.src AS n FROM edges a JOIN edges b ON b.src = a.dst WHERE a.label NOT IN ('{TYPE}', '{SUBCLASS}') AND b.label NOT IN ('{TYPE}', '{SUBCLASS}')"))
+       + f"SELECT key, count(*) AS size FROM path GROUP BY key HAVING count(*) >= {_S}")
+def shape_forward_paths(g: Graph) -> DataFrame:
+    return shape_rules.path_extensions(g, replace(MINING, max_path=2)).groupBy("key").agg(F.count("*").alias("size"))
+
+
+@query(_with(*_SHAPED, ("members", "SELECT cls, count(*) AS size FROM typed GROUP BY cls"),
+             ("needs", f"SELECT t.cls, s.body, count(*) AS support FROM typed t JOIN single s ON s.n = t.n AND starts_with(s.body, 'd_') WHERE t.cls IN (SELECT cls FROM types GROUP BY cls HAVING count(*) >= {_S}) GROUP BY ALL"))
+       + f"""SELECT CASE WHEN body LIKE '%' || chr(1) || '%' THEN 'typing_existence' WHEN starts_with(body, 'd_') THEN 'existential_domain' ELSE 'existential_range' END AS kind, count(*) AS rules FROM top GROUP BY ALL
+           UNION ALL SELECT 'requires_statement', count(*) FROM needs n JOIN members m ON m.cls = n.cls WHERE support >= {_S} AND CAST(support AS DOUBLE) / m.size >= {_C} HAVING count(*) > 0""")
+def shape_rule_counts(g: Graph) -> DataFrame:
+    """All rules of the generator, emitted and counted by kind."""
+    found = shape_rules.shape_rules(g.settled(), "tables", "tables", MINING, reduce_cover=False)
+    return g.spark.createDataFrame([(k, n) for k, n in found.stats.items() if k not in ("total", "covered")], "kind string, rules long")
+
+
+# -- what accepting one rule does
+
+_IMPACT = [c for c in RULES if c.cid in ("rng.part", "req.doc_label")]
+
+
+@query(_witness_sql(_IMPACT, "SELECT rule.cid, count(f.n) AS witnesses, CASE WHEN rule.cid LIKE 'rng.%' THEN count(f.n) ELSE 0 END AS subset_deletions, count(f.n) AS superset_additions "
+       f"FROM {_rule_rows(_IMPACT)} LEFT JOIN found f ON f.cid = rule.cid GROUP BY rule.cid"))
+def impact_measured(g: Graph) -> DataFrame:
+    """Both repairs of each of two rules alone."""
+    whole = g.settled()
+    rows = [(c.cid, *(propose.measure_impact(whole, c)[k] for k in ("witnesses", "subset_deletions", "superset_additions"))) for c in _IMPACT]
+    return g.spark.createDataFrame(rows, "cid string, witnesses long, subset_deletions long, superset_additions long")
+
+
+# -- additions that cause additions
+
+CASCADE = rule_set("cascade", (
+    _rule("cas.audit", tau("cls:Order"), "< down(kg:audit) >", SUPERSET, "requires_statement"),
+    _rule("cas.stamp", "< up(kg:audit) >", "< down(kg:stamp) >", SUPERSET, "requires_statement"),
+    _rule("cas.office", "< up(kg:stamp) >", "< down(kg:office) >", SUPERSET, "requires_statement"),
+    _rule("cas.type", "< up(kg:office) >", f'< down({TYPE}) . [val("cls:Party")] >', SUPERSET, "typing_existence"),
+))
+
+
+_CASCADE_PLAN = SqlPlan()
+_ORDERS = ("orders", f"SELECT n FROM {_CASCADE_PLAN.node(CASCADE.constraints[0].phi)}")
+
+
+@query(_with(_ORDERS, plan=_CASCADE_PLAN) + """
+    SELECT 1 AS round, 'cas.audit' AS cid, n AS src, 'kg:audit' AS label, 'fresh:cas.audit:0' AS dst FROM orders UNION ALL
+    SELECT * FROM (VALUES (2, 'cas.stamp', 'fresh:cas.audit:0', 'kg:stamp', 'fresh:cas.stamp:0'), (3, 'cas.office', 'fresh:cas.stamp:0', 'kg:office', 'fresh:cas.office:0'),
+        (4, 'cas.type', 'fresh:cas.office:0', '""" + TYPE + """', 'cls:Party')) v WHERE EXISTS (SELECT 1 FROM orders)""")
+def superset_cascade(g: Graph) -> DataFrame:
+    """Each round's additions are the next round's witnesses."""
+    log = superset.superset_repair(g.settled(), CASCADE, prune=False).log.where("op = 'add_edge'")
+    return log.select("round", F.col("constraint").alias("cid"), "src", "label", "dst")
+
+
+# -- the order of a change log
+
+_ORDER = (
+    "sorted",
+    "SELECT n AS owner, 1 AS last, CAST(NULL AS VARCHAR) AS other, 0 AS incoming, 'remove_node' AS op, rule AS \"constraint\", n AS node, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS dst FROM gone UNION ALL "
+    "SELECT CASE WHEN o THEN src ELSE dst END, 0, CASE WHEN o THEN dst ELSE src END, CASE WHEN o THEN 0 ELSE 1 END, 'remove_edge', CASE WHEN o THEN by_src ELSE by_dst END, NULL, src, label, dst FROM ("
+    "SELECT e.*, a.rule AS by_src, b.rule AS by_dst, b.n IS NULL OR (a.n IS NOT NULL AND e.src <= e.dst) AS o FROM edges e LEFT JOIN gone a ON a.n = e.src LEFT JOIN gone b ON b.n = e.dst WHERE a.n IS NOT NULL OR b.n IS NOT NULL) x",
+)
+
+
+@query(_witness_sql(DELETIONS, 'SELECT CAST(row_number() OVER (ORDER BY owner, last, label NULLS FIRST, incoming, other NULLS FIRST) AS BIGINT) AS seq, op, "constraint", node, src, label, dst FROM sorted', _GONE, _ORDER))
+def subset_changelog(g: Graph) -> DataFrame:
+    """The whole log of a repair, in order."""
+    return subset.subset_repair(g, DELETIONS).log.select("seq", "op", "constraint", "node", "src", "label", "dst")
+
+
 # -- terms, and operators without SQL
 
 _NAMES = AllowList("tables", "tables", frozenset(), frozenset(), (("ord", "http://g.org/o/"), ("g", "http://g.org/")), "")
@@ -607,7 +721,7 @@ def curie_abbreviate_nodes(g: Graph) -> DataFrame:
     return g.nodes.select(iri.alias("iri")).distinct().select("iri", _NAMES.abbreviate(F.col("iri")).alias("curie"))
 
 
-@query()
+@query(_tables("""SELECT substr(sha256('[' || string_agg('["' || src || '", "' || label || '", "' || dst || '"]', ', ' ORDER BY src, label, dst) || ']'), 1, 16) AS hash FROM edges"""))
 def content_hash(g: Graph) -> DataFrame:
     """The hash of all edges, which the driver streams."""
     return g.spark.createDataFrame([(g.content_hash(),)], "hash string")
@@ -620,7 +734,18 @@ def prune(g: Graph) -> DataFrame:
     return superset.superset_repair(g.settled(), own).added_edges()
 
 
-@query()
+def _cid_sql(names: dict[str, str]) -> str:
+    """The id of a mined rule in SQL: a hash of its two sides, spelled from the atoms' keys."""
+    test = tau_pattern.replace("'", "''")
+    spelled = f"CASE substr(k, 1, 2) WHEN 'c_' THEN replace('{test}', '@', substr(k, 3)) WHEN 'd_' THEN '< down(' || substr(k, 3) || ') >' ELSE '< up(' || substr(k, 3) || ') >' END"
+    side = lambda key: f"array_to_string(list_transform(string_split({key}, chr(1)), lambda k: {spelled}), ' & ')"
+    return f"'{names['domain']}.{names['kg']}.derived.' || substr(sha256('{names['domain']}' || chr(10) || '{names['kg']}' || chr(10) || {side('body')} || chr(10) || {side('head')}), 1, 8)"
+
+
+tau_pattern = search.atom_text("c_@", MINING)
+
+
+@query(_mined("SELECT body, head, " + _cid_sql({"domain": "tables", "kg": "tables"}) + " AS cid FROM admitted"))
 def candidate_cids(g: Graph) -> DataFrame:
     found = search.admitted(_scores(g)[0], MINING).select("body", "head").orderBy("body", "head").collect()  # the mined rules
     text = lambda k: search.atom_text(k, MINING)
