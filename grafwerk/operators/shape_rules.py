@@ -91,15 +91,15 @@ def exceptions(members: DataFrame, chosen: DataFrame, typed: DataFrame, limit: i
 
 
 def reduced_cover(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(rule, by): each rule whose nodes all lie in those of another rule with the same consequent, with the largest
+    """(rule, covered_by): each rule whose nodes all lie in those of another rule with the same consequent, with the largest
     such rule; of equal ones the smaller id stands.  members: (rule, n); groups: (rule, consequent)."""
     sizes = groups.join(members.groupBy("rule").agg(F.count("*").alias("size")), "rule")
     known = members.join(groups, "rule")
-    a, b = (known.select("consequent", "n", F.col("rule").alias(x)) for x in ("by", "rule"))
-    shared = a.join(b, ["consequent", "n"]).where("by <> rule").groupBy("rule", "by").agg(F.count("*").alias("both"))
+    a, b = (known.select("consequent", "n", F.col("rule").alias(x)) for x in ("covered_by", "rule"))
+    shared = a.join(b, ["consequent", "n"]).where("covered_by <> rule").groupBy("rule", "covered_by").agg(F.count("*").alias("both"))
     of = lambda x, size: sizes.select(F.col("rule").alias(x), F.col("size").alias(size))
-    within = shared.join(of("rule", "own"), "rule").join(of("by", "other"), "by").where("both = own AND (other > own OR by < rule)")
-    return within.groupBy("rule").agg(F.min(F.struct((-F.col("other")).alias("size"), "by")).alias("m")).select("rule", "m.by")
+    within = shared.join(of("rule", "own"), "rule").join(of("covered_by", "other"), "covered_by").where("both = own AND (other > own OR covered_by < rule)")
+    return within.groupBy("rule").agg(F.min(F.struct((-F.col("other")).alias("size"), "covered_by")).alias("m")).select("rule", "m.covered_by")
 
 
 @dataclass(frozen=True)
@@ -194,7 +194,7 @@ def _covered(graph: Graph, members: DataFrame, typed: DataFrame, keys: dict[str,
     groups = table.select("rule", "consequent")
     by_body = table.where("consequent LIKE 'class:%'").join(members, F.col("one") == F.col("body")).select("rule", "n")
     by_class = table.where("consequent LIKE 'pred:%'").join(typed, F.col("one") == F.col("cls")).select("rule", "n")
-    return {r["rule"]: r["by"] for r in reduced_cover(by_body.unionByName(by_class), groups).collect()}
+    return {r["rule"]: r["covered_by"] for r in reduced_cover(by_body.unionByName(by_class), groups).collect()}
 
 
 def detected(graph: Graph, cfg: SearchConfig) -> SearchConfig:

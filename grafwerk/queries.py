@@ -623,9 +623,9 @@ def shape_exceptions(g: Graph) -> DataFrame:
 
 
 @query(_with(*_SHAPED, ("known", "SELECT t.body AS rule, t.cls, b.n FROM top t JOIN bodies b ON b.body = t.body"),
-             ("shared", "SELECT b.rule, a.rule AS "by", count(*) AS both FROM known a JOIN known b ON a.cls = b.cls AND a.n = b.n AND a.rule <> b.rule GROUP BY ALL"),
-             ("covering", "SELECT s.rule, s."by", row_number() OVER (PARTITION BY s.rule ORDER BY o.size DESC, s."by") AS rank FROM shared s JOIN top r ON r.body = s.rule JOIN top o ON o.body = s."by" WHERE s.both = r.size AND (o.size > r.size OR s."by" < s.rule)"))
-       + "SELECT rule, "by" FROM covering WHERE rank = 1")
+             ("shared", "SELECT b.rule, a.rule AS covered_by, count(*) AS both FROM known a JOIN known b ON a.cls = b.cls AND a.n = b.n AND a.rule <> b.rule GROUP BY ALL"),
+             ("covering", "SELECT s.rule, s.covered_by, row_number() OVER (PARTITION BY s.rule ORDER BY o.size DESC, s.covered_by) AS rank FROM shared s JOIN top r ON r.body = s.rule JOIN top o ON o.body = s.covered_by WHERE s.both = r.size AND (o.size > r.size OR s.covered_by < s.rule)"))
+       + "SELECT rule, covered_by FROM covering WHERE rank = 1")
 def shape_reduced_cover(g: Graph) -> DataFrame:
     members, best = _bodies(g)
     groups = best.select(F.col("body").alias("rule"), F.col("cls").alias("consequent"))
