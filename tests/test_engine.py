@@ -8,7 +8,7 @@ import pytest
 from grafwerk import api, catalogue, cli
 from grafwerk.candidates import ACCEPTED, Candidate, CandidateFile
 from grafwerk.graph import Graph
-from grafwerk.operators import search
+from grafwerk.operators import search, shape_rules, superset
 from grafwerk.plans.local import LocalGraph
 from grafwerk.rules import Constraint, ConstraintSet, rule_set
 from grafwerk.synth import generate
@@ -167,6 +167,65 @@ def test_prune_beyond_first_hops(spark):
     assert pruned_as_plain(graph, rules, "replayed").pruned_edges == 1
 
 
+def plain_additions(edges, values, rules):
+    """(edges, (round, rule, edge) in order) of an addition repair over plain sets, by the rules' plans."""
+    edges, values, log, number = set(edges), dict(values), [], 0
+    while True:
+        number += 1
+        local = LocalGraph(edges, values)
+        due = sorted((c.cid, n, c) for c in rules for n in local.node(c.phi) - local.node(c.psi))
+        new = False
+        for cid, n, c in due:
+            for step in superset.plan(c).steps:
+                at = lambda x, n=n: n if x == superset.WITNESS else x
+                if step.op == "add_node" and at(step.node) not in values:
+                    values[at(step.node)], new = step.value, True
+                edge = (at(step.src), step.label, at(step.dst))
+                if step.op == "add_edge" and edge not in edges:
+                    edges.add(edge)
+                    log.append((number, cid, edge))
+                    new = True
+        if not new:
+            return edges, log
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_superset_against_plain_rounds(spark, seed):
+    rng = random.Random(seed)
+    triples = sorted({(f"n{rng.randrange(8)}", rng.choice("pqr"), f"n{rng.randrange(8)}") for _ in range(8)})
+    graph = Graph.from_triples(spark, triples, {}).settled()
+    sides = ["< down(p) >", "< up(p) >", "< down(q) >", "< up(q) >", "< down(r) >", "< up(r) >", '< down(s) . [val("S")] >', "< up(s) >", "< down(p) . down(r) >", "< up(q) . [val(\"U\")] >"]
+    rules = rule_set("random", [Constraint(f"c{i}", *rng.sample(sides, 2)) for i in range(5)])
+    values = {n: None for s, _, d in triples for n in (s, d)}
+    edges, log = plain_additions(triples, values, rules)
+    result = api.superset_repair(graph, rules, prune=False)
+    assert {tuple(r) for r in result.graph.edges.collect()} == edges
+    assert [(r.round, r.constraint, (r.src, r.label, r.dst)) for r in api.records(result.log) if r.op == "add_edge"] == log
+
+
+def test_superset_cascade_goes_on_to_the_fixpoint(spark):
+    """A mark is passed along a chain: one addition a round, far more rounds than rules."""
+    triples = [(f"x{i}", "next", f"x{i + 1}") for i in range(12)] + [("x0", "mark", "M")]
+    graph = Graph.from_triples(spark, triples, {"M": "M"}).settled()
+    rules = rule_set("chain", [Constraint("pass", '< up(next) . down(mark) >', '< down(mark) . [val("M")] >')])
+    result = api.superset_repair(graph, rules, prune=False)
+    assert result.consistent_after and result.rounds == 13 and result.added_edges().count() == 12
+    assert result.pool == {"graph_values": 1, "named_constants": 1, "fresh_used": 0, "fresh_bound": 2} and result.pruned_nodes == 0
+    with pytest.raises(RuntimeError, match="no fixpoint after 5 rounds"):
+        api.superset_repair(graph, rules, prune=False, max_rounds=5)
+
+
+def test_log_numbers_of_a_hub(spark):
+    """The log is in order although the hub's edges are dealt over tasks."""
+    triples = [(f"a{i:03}", "p", "hub") for i in range(300)] + [("hub", "q", f"b{i:03}") for i in range(300)] + [("z", "p", "y")]
+    graph = Graph.from_triples(spark, triples, {}).settled()
+    result = api.subset_repair(graph, rule_set("hub", [Constraint("no.hub", "< up(p) > & < down(q) >", "< down(none) >")]))
+    log = api.records(result.log)
+    assert [r.seq for r in result.log.orderBy("seq").select("seq").collect()] == list(range(1, 602))
+    assert [(r.src, r.dst) for r in log[:300]] == [(f"a{i:03}", "hub") for i in range(300)]
+    assert [r.dst for r in log[300:600]] == [f"b{i:03}" for i in range(300)] and log[-1].node == "hub"
+
+
 def test_no_plan(spark):
     graph = Graph.from_triples(spark, [("a", "p", "b")], {}).settled()
     with pytest.raises(api.NoSupersetPlan):
@@ -262,6 +321,78 @@ def test_gate(spark):
     assert len(again.candidates) == 2 and CandidateFile.from_dict(json.loads(again.dumps())).dumps() == again.dumps()
 
 
+def test_merge_keeps_decisions(spark):
+    entry = lambda cid, **k: Candidate(cid, "k", "ptime_core", "superset", f"< down({cid}) >", "< down(q) >", **k)
+    old = CandidateFile(candidates=[entry("a", gloss="old"), entry("b"), entry("c")], refused=["gone"], toolkit_version="1", parameters={"x": 1})
+    for cid, status in (("a", ACCEPTED), ("b", "rejected"), ("c", "weakened")):
+        api.set_status(old, cid, status)
+    assert old.refused == ["b", "gone"]
+    api.seal(old, "someone", "2026-01-01T00:00:00Z")
+    fresh = CandidateFile(candidates=[entry("a", gloss="new"), entry("b"), entry("d"), entry("gone")], parameters={"x": 2})
+    fresh.review["review_order"] = ["d", "gone", "a"]
+    same = api.merge(old, CandidateFile(candidates=[entry("a"), entry("gone")]))
+    assert same.sealed and api.seal_holds(same)  # nothing new, so nothing to decide
+    both = api.merge(old, fresh)
+    assert [(c.cid, c.status) for c in both.candidates] == [("a", ACCEPTED), ("b", "rejected"), ("c", "weakened"), ("d", "pending")]
+    assert both.by_cid("a").gloss == "old" and not both.sealed and both.review["seal"] is None
+    assert both.review["review_order"] == ["d", "a", "b", "c"] and both.refused == ["b", "gone"] and both.parameters == {"x": 2} and both.toolkit_version == "1"
+    api.set_status(both, "b", "pending")
+    assert both.refused == ["gone"]
+    with pytest.raises(ValueError):
+        api.set_status(both, "a", "unknown")
+    with pytest.raises(KeyError):
+        api.set_status(both, "nobody", ACCEPTED)
+
+
+@pytest.fixture(scope="module")
+def places(spark):
+    """Cities with a country and an area; two of twenty lack the type, one lacks the country."""
+    triples = [("City", SUB, "Place"), ("Land", SUB, "Place"), ("land", TYPE, "Land")]
+    for i in range(20):
+        triples += [(f"c{i:02}", "area", "north")] + ([(f"c{i:02}", "country", "land")] if i else []) + ([(f"c{i:02}", TYPE, "City")] if i < 18 else [])
+    return Graph.from_triples(spark, triples, {c: c for c in ("City", "Land", "Place")}).settled()
+
+
+def test_shape_rules(spark, places):
+    cfg = search.SearchConfig(min_support=5, type_predicate=TYPE, subclass_predicate=SUB)
+    result = api.shape_rules(places, "d", "k", cfg, reduce_cover=False)
+    by = {c.cid: (c, f) for c, f in zip(result.rules, result.report)}
+    assert set(by) == {"d.k.dom.area.mined", "d.k.dom.country.mined", "d.k.typ.d_area_d_country.mined", "d.k.req.City.area.mined", "d.k.req.City.country.mined"}
+    rule, facts = by["d.k.dom.area.mined"]
+    assert (facts["class"], facts["support"], facts["body_size"], facts["standard_conf"], facts["pca_conf"], facts["exceptions"]) == ("City", 18, 20, 0.9, 1.0, ["c18", "c19"])
+    assert facts["runner_up_classes"] == ["Place"] and rule.direction == "subset" and rule.provenance == "mined"
+    assert by["d.k.req.City.country.mined"][1]["exceptions"] == ["c00"] and by["d.k.req.City.country.mined"][1]["low_trust"]
+    assert api.validates_clean(result)
+    covered = api.shape_rules(places, "d", "k", cfg)
+    assert covered.covered == {"d.k.dom.country.mined": "d.k.dom.area.mined", "d.k.typ.d_area_d_country.mined": "d.k.dom.area.mined"}
+    deep = {r.key for r in shape_rules.path_extensions(places, search.SearchConfig(max_path=3, min_support=5, type_predicate=SUB, subclass_predicate="")).collect()}
+    assert deep == {"p_country\x02" + TYPE}
+    with pytest.raises(shape_rules.OutOfFragment):
+        shape_rules.in_fragment(Constraint("x", "not T", "T"))
+
+
+def test_impact_and_glosses(spark, places):
+    cfg = search.SearchConfig(min_support=5, type_predicate=TYPE, subclass_predicate=SUB)
+    file = api.derive(places, "d", "k", cfg, generator="shape", labels={"City": "city"})
+    area = next(c for c in file.candidates if c.kind == "existential_domain")
+    assert area.gloss == "anything with an outgoing area edge should be city" and area.witness_sample == ["c18", "c19"]
+    assert area.impact == {"witnesses": 2, "subset_deletions": None, "superset_additions": None, "measured": False}
+    want = {"witnesses": 2, "subset_deletions": 2, "superset_additions": 2, "measured": True}
+    assert api.fill_impact(places, area) == want == area.impact
+    stuck = api.measure_impact(places, Constraint("v", "< down(area) >", 'val("City")', direction="superset"))
+    assert stuck["superset_additions"] is None and stuck["superset_note"].startswith("NoSupersetPlan")
+    with pytest.raises(ValueError):
+        api.derive(places, "d", "k", cfg, generator="other")
+
+
+def test_rule_origins():
+    rules = [c for s in catalogue.registry().values() for c in s]
+    assert sum(c.provenance == "compiled" for c in rules) == 11 and sum(c.provenance == "derived" for c in rules) == 5
+    city = next(c for c in rules if c.cid == "geo.wd.type.city")
+    assert city.params == {"threshold": "0.98", "reference": "clean-wikidata-city-slice"} and all(c.note for c in rules)
+    assert next(c for c in catalogue.get("anatomy", "wikidata", 2) if c.cid == "ana.wd.dom.partof.v2").params["baseline_cid"] == "ana.wd.dom.partof"
+
+
 def test_command_line(spark, tmp_path, rules):
     path = tmp_path / "mini.nt"
     path.write_text(MINI)
@@ -276,6 +407,8 @@ def test_command_line(spark, tmp_path, rules):
     file = tmp_path / "c.json"
     candidate_file().write(file)
     assert cli.main(["repair", "--in", str(path), "--constraints", str(file), "--mode", "superset"], spark) == cli.REFUSED
+    derived = ["derive", "--in", str(path), "--out", str(tmp_path / "shapes.json"), "--generator", "shape", "--min-support", "2", "--type-predicate", "wdt:P31"]
+    assert cli.main(derived, spark) == cli.OK and CandidateFile.read(tmp_path / "shapes.json").parameters["generator"] == "shape"
     answers = iter(["a fine", "r"])
     assert cli.main(["review", str(file), "--reviewer", "someone"], spark, lambda _: next(answers)) == cli.OK
     assert CandidateFile.read(file).sealed
