@@ -12,7 +12,8 @@ documents for each, so the broadcast has a fixed bound.
 
 Defined cases: null or empty texts and items match nothing; items of fewer than ``MIN_CHARS``
 characters must occur unchanged between word boundaries; items with one plain form are all reported;
-further columns pass through; an empty benchmark contaminates nothing.
+further columns pass through; an empty benchmark contaminates nothing; repeated rows have equal results; very
+long texts are searched whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grafwerk.llm.common import small_batches, store, texts_as_str
+from grafwerk.llm.common import fresh, small_batches, store, texts_as_str
 
 ERROR_PERCENT, MIN_CHARS = 6, 32
 SLICE_CHARS = 8_000_000
@@ -130,13 +131,13 @@ class Matcher:
         return out
 
 
-def _marked(schema: pa.Schema, items):
+def _marked(schema: pa.Schema, items, into: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items.value)
         for batch in batches:
             index = {n: i for i, n in enumerate(batch.schema.names)}
-            found = [sorted(matcher.find(plain(t)).items()) for t in texts_as_str(batch.column(index["text"]))]
-            made = {"__items": pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())), "__edits": pa.array([[d for _, d in f] for f in found], pa.list_(pa.int32()))}
+            hits = [sorted(matcher.find(plain(t)).items()) for t in texts_as_str(batch.column(index["text"]))]
+            made = {into[0]: pa.array([[i for i, _ in f] for f in hits], pa.list_(pa.int64())), into[1]: pa.array([[d for _, d in f] for f in hits], pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(index[n]).cast(schema.field(n).type) for n in schema.names], schema=schema)
 
     return run
@@ -151,6 +152,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     small_batches(spark)
     made = ("contaminated", "items", "edits")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    every, least, found, edited, paired = (fresh(n, docs.columns) for n in ("every", "least", "found", "edited", "paired"))
     held = docs.select(*dict.fromkeys([*keep, "text"]))
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     slices = max(1, -(-(known.agg(F.sum(F.length("text"))).first()[0] or 0) // slice_chars))
@@ -158,17 +160,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     for number in range(slices):
         part = known if slices == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == number)
         part = spark.sparkContext.broadcast(sorted(map(tuple, part.collect())))  # about slice_chars characters
-        fields = [T.StructField(f.name, f.dataType) for f in held.schema] + [T.StructField("__items", T.ArrayType(T.LongType())), T.StructField("__edits", T.ArrayType(T.IntegerType()))]
-        schema = T.StructType([f for f in fields if f.name not in ("__all", "__least")] + [f for f in fields if f.name in ("__all", "__least")])
-        held = held.select(*[f.name for f in schema if f.name not in ("__items", "__edits")]).mapInArrow(_marked(to_arrow_schema(schema), part), schema)
+        fields = [T.StructField(f.name, f.dataType) for f in held.schema] + [T.StructField(found, T.ArrayType(T.LongType())), T.StructField(edited, T.ArrayType(T.IntegerType()))]
+        schema = T.StructType([f for f in fields if f.name not in (every, least)] + [f for f in fields if f.name in (every, least)])
+        held = held.select(*[f.name for f in schema if f.name not in (found, edited)]).mapInArrow(_marked(to_arrow_schema(schema), part, (found, edited)), schema)
         if slices > 1:
-            before = ("__all" in held.columns) and (F.col("__all"), F.col("__least")) or (items, edits)
-            held = held.withColumns({"__all": F.concat(before[0], "__items"), "__least": F.concat(before[1], "__edits")}).drop("__items", "__edits")
+            before = (every in held.columns) and (F.col(every), F.col(least)) or (items, edits)
+            held = held.withColumns({every: F.concat(before[0], found), least: F.concat(before[1], edited)}).drop(found, edited)
             held = store(held, "decontaminated") if number % 8 == 7 else held
     if slices > 1:
-        pairs = F.sort_array(F.arrays_zip(F.col("__all").alias("i"), F.col("__least").alias("e")))
-        held = held.withColumn("__pairs", pairs).withColumns({"__items": F.col("__pairs.i"), "__edits": F.col("__pairs.e")})
-    return held.select(*keep, (F.size("__items") > 0).alias("contaminated"), F.col("__items").alias("items"), F.col("__edits").alias("edits"))
+        pairs = F.sort_array(F.arrays_zip(F.col(every).alias("i"), F.col(least).alias("e")))
+        held = held.withColumn(paired, pairs).withColumns({found: F.col(f"{paired}.i"), edited: F.col(f"{paired}.e")})
+    return held.select(*keep, (F.size(found) > 0).alias("contaminated"), F.col(found).alias("items"), F.col(edited).alias("edits"))
 
 
 def brute_force(text: str | None, items: list[tuple[int, str]]) -> dict[int, int]:

@@ -11,8 +11,8 @@ The fit sees at most ``FIT_DOCS`` documents a language, those with the smallest
 among rows with a language that are not held out; their n-gram counts (bounded) go to the driver.
 
 Defined cases: null text or text without a letter is ``und`` with score 0 and rejected; without
-any row to learn from everything is ``und``; ties go to the first language in code point order;
-further columns pass through.
+any row to learn from everything is ``und``; ties go to the first language in code point order; repeated rows have
+equal results; very long texts are read whole; an empty table gives none; further columns pass through.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of tokens.
 
-Documents are dealt by the hash of their id into shards of about ``SHARD_DOCS`` rows, so one
+Documents are dealt by the hash of their id (without one, of their text) into shards of about ``SHARD_DOCS`` rows, so one
 source or one group of copies is spread over all shards and no task grows with the data.  In a
 shard, pieces are taken by falling length.  Open bins are ordered by what is left in them and
 carry two bitmaps: the sources and the duplicate clusters that they hold.  The search starts at
@@ -12,7 +12,8 @@ A document longer than a bin gives full pieces, each alone in a bin, and a rest
 
 Defined cases: a document without tokens has one row with bin null; a null source or an empty
 text conflicts with nothing; ties go to the smaller id and the older bin; rows with one id are
-packed each for itself; only the columns named are read, whatever else there is.
+packed each for itself; very long texts fill bins of their own; an empty table has no bins; only the columns named
+are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
         F.coalesce(word_count(text) if tokens is None else tokens.cast("long"), F.lit(0)).alias("tokens"),
         F.col("source").cast("string").alias("source"),
         (copy_cluster(text) if cluster is None else cluster.cast("long")).alias("cluster"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(shards)).cast("long").alias("shard"),
+        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text)), F.lit(shards)).cast("long").alias("shard"),
     )
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

@@ -8,10 +8,10 @@ O(log ROW).  No ids are shuffled; a source or a group of copies of any size is p
 Each partition writes four files to the shared folder: ``*.ids`` (rows of ROW ids, filled up with
 the separator), ``*.cu`` (for each row the number of its segments and their cumulative lengths),
 ``*.pos`` (for each row the number of segments and the places where positions restart at 0) and
-``*.doc`` (document id, -1 if null, and piece of each segment).  All but the ids are 64-bit.
+``*.doc`` (document id, ``NULL_ID`` if null, and piece of each segment).  All but the ids are 64-bit.
 
 Defined cases: null or empty text is one separator; rows that share an id are packed one by one;
-an empty table writes no rows; further columns are ignored.
+an empty table writes no rows; very long texts are cut into rows like others; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from grafwerk.llm.common import small_batches, texts_as_str
 from grafwerk.llm.tokens import ID_TYPE, TOKENIZER, encoder, publish
 
+#: Stands for a null id in the files.
+NULL_ID = -(2**63)
+
 #: Ids of a row, and of a buffer that is packed at once.
 ROW, BUFFER_IDS = 2048, 4 << 20
 
@@ -90,7 +93,7 @@ def _buffers(batches: Iterator[pa.RecordBatch], tokenizer: str, row: int, buffer
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), texts_as_str(batch.column(1))):
             ids = np.array([*encode.encode(text), encode.separator], ID_TYPE)
-            held += [(-1 if doc is None else doc, p, ids[a : a + row]) for p, a in enumerate(range(0, len(ids), row))]
+            held += [(doc, p, ids[a : a + row]) for p, a in enumerate(range(0, len(ids), row))]
             size += len(ids)
             if size >= buffer_ids:
                 yield held
@@ -122,13 +125,13 @@ def write_packed(docs: DataFrame, uri: str, row: int = ROW, tokenizer: str = TOK
                     matrix[r, : ends[-1]] = np.concatenate([held[i][2] for i in members])
                     side["cu"].append(np.array([len(members), *ends], "<i8").tobytes())
                     side["pos"].append(np.array([len(members), *ends[:-1]], "<i8").tobytes())
-                    side["doc"].append(np.array([x for i in members for x in held[i][:2]], "<i8").tobytes())
+                    side["doc"].append(np.array([NULL_ID if x is None else x for i in members for x in held[i][:2]], "<i8").tobytes())
                     for i, start in zip(members, ends):
                         for column, value in zip(columns, (held[i][0], held[i][1], number + r, int(start), len(held[i][2]))):
                             column.append(value)
                 number += len(rows)
                 docs_, pieces, at, starts, lengths = columns
-                ids = pa.array([None if d == -1 else d for d in docs_], pa.int64())
+                ids = pa.array(docs_, pa.int64())
                 out.append(pa.RecordBatch.from_arrays([ids, pa.array(pieces, pa.int32()), pa.array([name] * len(at)), pa.array(at, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32())], schema=schema))
                 yield matrix.tobytes()
 

@@ -9,7 +9,8 @@ of documents before it (running sum).
 
 Defined cases: null or empty text is a document of 0 tokens; a separator's string inside a text is
 ordinary text; ids after a file's last separator are one unfinished document; an empty file
-holds none; a file whose size is no multiple of an id's is an error.
+holds none; a file whose size is no multiple of an id's is an error; rows with one id are documents of their own;
+an empty table writes no ids; further columns are ignored, whatever their names; a tokenizer with ids beyond 16 bits is an error.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ class Encoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.separator = max(ranks.values()) + 1
+        if self.separator > np.iinfo(ID_TYPE).max:
+            raise ValueError(f"{path}: ids up to {self.separator} don't fit {ID_TYPE}")
         self._encoding = tiktoken.Encoding("ranks", pat_str=WORD_CUTS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:

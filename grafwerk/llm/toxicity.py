@@ -10,8 +10,8 @@ of their id among rows that are not held out.  Their features go to the driver,
 set back to the share of toxic rows among all labels.  Every whole text is scored.
 
 Defined cases: null or empty texts have no features and get the score of the bias; rows with
-several labels count as toxic if one of them says so; without labels every score is 0; further
-columns pass through.
+several labels count as toxic if one of them says so; without labels every score is 0; repeated rows have
+equal scores; very long texts are read whole; an empty table gives none; further columns pass through.
 """
 
 from __future__ import annotations

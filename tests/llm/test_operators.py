@@ -2,7 +2,9 @@
 ties and repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -292,6 +294,66 @@ def test_toxicity(spark, empty, docs, odd_columns):
     assert toxicity.score_toxicity(odd_columns, model).count() == len(rows())
 
 
+def test_ftrl_against_plain_coordinates():
+    rng = np.random.default_rng(1)
+    table = [np.unique(rng.integers(0, 1 << toxicity.BITS, 12) % 97) for _ in range(40)]
+    labels = [int(rng.integers(0, 2)) for _ in table]
+    z, n, last = {}, {}, 1 << toxicity.BITS
+
+    def weight(at):
+        l1 = 0.0 if at == last else toxicity.L1
+        if abs(z.get(at, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[at] > 0 else -1
+        return -(z[at] - sign * l1) / ((toxicity.BETA + math.sqrt(n.get(at, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for i in order.permutation(len(table)):
+            places = [*table[i].tolist(), last]
+            w = {at: weight(at) for at in places}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[i]
+            for at in places:
+                old = n.get(at, 0.0)
+                z[at] = z.get(at, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[at]
+                n[at] = old + g * g
+    model = toxicity.fit(table, labels, epochs=3)
+    dense = model.dense()
+    assert math.isclose(model.bias, weight(last), abs_tol=1e-9)
+    assert all(math.isclose(float(dense[at]), weight(at), abs_tol=1e-5) for at in range(97)) and set(model.places.tolist()) <= set(range(97))
+
+
+def test_centroids_against_plain_cosines():
+    rng = random.Random(5)
+    words = {k: ["".join(rng.choice(a) for _ in range(5)) for _ in range(40)] for k, a in (("x", "abcdef"), ("y", "defghi"), ("z", "éöxyzab"))}
+    text = lambda k: " ".join(rng.choice(words[k]) for _ in range(30)) + "! 12"
+    model = langid.fit({k: np.array([langid.counts(text(k)) for _ in range(12)]) for k in words})
+
+    def plain(text):
+        run = re.sub(r"[^a-zéö]+", " ", f" {text.lower()} ")
+        places = []
+        for size, mark in ((1, 0), (2, 1 << 42), (3, None)):
+            for i in range(len(run) - size + 1):
+                gram = 0
+                for c in run[i : i + size]:
+                    gram = gram * 0x1FFFFF + ord(c)
+                gram = (gram ^ 0x5BD1E995 << 31) if mark is None else gram + mark
+                places.append((gram % 2**64 * 0x9E3779B97F4A7C15 % 2**64) >> 52)
+        v = {at: math.log1p(places.count(at)) * model.idf[at] for at in set(places)}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        best = {}
+        for centre, owner in zip(model.centroids, model.owner):
+            best[owner] = max(best.get(owner, -1.0), sum(x / size * centre[at] for at, x in v.items()))
+        top = max(best, key=lambda k: (best[k], -k))
+        return top, 1 / sum(math.exp(langid.STEEPNESS * (b - best[top])) for b in best.values())
+
+    for k in [*words] * 4:
+        sample = text(k)
+        which, score, _ = (x[0] for x in model.predict(langid.counts(sample)[None, :]))
+        want = plain(sample)
+        assert (which, model.languages[which]) == (want[0], k) and math.isclose(score, want[1], rel_tol=1e-6)
+
+
 # -- near duplicates
 
 
@@ -445,6 +507,8 @@ def test_decontamination(spark, docs, empty, odd_columns):
     for chars in (10**6, 40):
         got = {r.doc_id: r["items"] for r in decontam.find_items(table, bench, slice_chars=chars).collect()}
         assert got == {1: [1, 4], 2: [], 3: [], 4: [], 5: [5]}
+    clash = table.withColumns({c: F.lit("mine") for c in ("every", "least", "found", "edited", "paired")})
+    assert {(r.every, r.found, r.paired, len(r["items"])) for r in decontam.find_items(clash, bench, slice_chars=40).where("doc_id = 1").collect()} == {("mine", "mine", "mine", 2)}
     assert decontam.find_items(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.find_items(empty, bench).count() == 0
     assert decontam.find_items(odd_columns, bench).count() == len(rows())
@@ -480,6 +544,23 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert got == [(0, 0), (1, 0), (0, 6), (1, 7), (0, 9)]
 
 
+def test_best_fit_against_a_plain_search():
+    rng = random.Random(3)
+    for _ in range(60):
+        items = [(n, rng.choice([None, 0, 1, 2]), rng.choice([None, None, 0, 1])) for n in sorted((rng.randint(1, 20) for _ in range(rng.randint(0, 60))), reverse=True)]
+        bins, want = [], []  # (room, sources, clusters)
+        for n, source, cluster in items:
+            fits = [(b[0], i) for i, b in enumerate(bins) if b[0] >= n and (source is None or source not in b[1]) and (cluster is None or cluster not in b[2])]
+            if not fits:
+                bins.append([20, set(), set()])
+            at = min(fits)[1] if fits else len(bins) - 1
+            want.append((at, 20 - bins[at][0]))
+            bins[at][0] -= n
+            bins[at][1].add(source)
+            bins[at][2].add(cluster)
+        assert list(packing.best_fit(items, 20)) == want
+
+
 def test_segment_tree_is_best_fit_decreasing():
     rng = random.Random(6)
     for _ in range(100):
@@ -537,9 +618,11 @@ def test_token_packing_round_trip(docs, empty, encode, tmp_path):
                 back.setdefault(int(doc), []).append((int(piece), ids[a:b].tolist()))
     for doc, text, *_ in rows():
         want = [*encode.encode(text or ""), encode.separator]
-        pieces = sorted(back[-1 if doc is None else doc])
+        pieces = sorted(back[tokenpack.NULL_ID if doc is None else doc])
         copies = sum(r[0] == doc for r in rows())
         assert sorted(x for _, p in pieces for x in p) == sorted(want * copies)
         if copies == 1:
             assert [x for _, p in pieces for x in p] == want
     assert tokenpack.write_packed(empty, f"file://{tmp_path}/none").count() == 0
+    clash = docs.sparkSession.createDataFrame([(-1, "a b", 3, 4), (None, "c", 5, 6)], "doc_id long, text string, piece int, row long")
+    assert {s.doc_id for s in tokenpack.write_packed(clash, f"file://{tmp_path}/ids", row=64).collect()} == {-1, None}

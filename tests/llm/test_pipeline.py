@@ -58,4 +58,40 @@ def test_near_duplicates_by_row(spark):
 
 
 def test_run(spark, folder):
-    assert {r.doc_id for r in corpus_pipeline.run(spark, folder[0]).collect()}
+    """The whole against plain stages: languages by their words, then plain lines, groups and passages."""
+    path, docs, items = folder
+    kept = [(d[0], d[1]) for d in docs if d[1] and any(c.isalpha() for c in d[1])]
+    lines, texts = linededup.brute_force(kept), dict(kept)
+    keepers: dict[str, list[int]] = {}
+    for doc, text in kept:
+        for line in set(text.split("\n")):
+            keepers.setdefault(line.strip().lower(), []).append(doc)
+    gone = {k: max(v) for k, v in keepers.items() if len(k) >= 20 and len(v) >= 3}
+    after = [(d, "\n".join(x for x in t.split("\n") if gone.get(x.strip().lower(), d) == d)) for d, t in kept]
+    assert all(lines[d][1] == len(texts[d].split("\n")) - len(t.split("\n")) for d, t in after if t)
+    groups = jaccard.brute_force(after, 5, (80, 100))
+    first = [(d, t) for d, t in after if groups[d][1] == d]
+    want = {d for d, t in first if not decontam.brute_force(t, items)}
+    packed = corpus_pipeline.run(spark, path).collect()
+    assert {r.doc_id for r in packed} == want
+    assert sum(r.n_tokens for r in packed) == sum(len(t.split()) for d, t in first if d in want)
+
+
+CLASHES = ("row", "rest", "n_lines", "n_dropped", "lang_pred", "score", "rejected", "contaminated", "items", "edits", "component_id")
+
+
+def test_stages_on_odd_tables(spark, folder):
+    """Empty tables, columns with names that operators use, repeated rows and null ids."""
+    path, docs, _ = folder
+    frame = spark.createDataFrame([*docs[:6], docs[0], (None, docs[1][1], "le", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = frame.withColumns({c: F.lit("mine") for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, odd.limit(0), path)
+        assert empty.count() == 0
+        if name != "pack":
+            got = stage(spark, odd, path)
+            assert got.columns == odd.columns == empty.columns
+            assert {tuple(r) for r in got.select(*CLASHES).distinct().collect()} <= {("mine",) * len(CLASHES)}
+            if name == "line_dedup":
+                assert got.count() == 8
+    assert corpus_pipeline.near_duplicates(spark, odd, path).count() == 6
