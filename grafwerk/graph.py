@@ -136,10 +136,13 @@ class Graph:
     # -- changing
 
     def add_edges(self, edges: DataFrame) -> Graph:
-        every = self.edges.unionByName(edges.select("src", "label", "dst")).distinct()
+        """What is known is looked up from the side of the new edges, so a few of them don't move the graph."""
+        keys = ["src", "label", "dst"]
+        new = edges.select(*keys).distinct()
+        new = new.join(self.edges.join(new, keys, "left_semi").select(*keys), keys, "left_anti")
         ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-        fresh = ends.join(self.nodes, "node", "left_anti").withColumn("value", F.lit(None).cast("string"))
-        return Graph(self.nodes.unionByName(fresh), every)
+        fresh = ends.join(self.nodes.join(ends, "node", "left_semi").select("node"), "node", "left_anti").withColumn("value", F.lit(None).cast("string"))
+        return Graph(self.nodes.unionByName(fresh), self.edges.select(*keys).unionByName(new))
 
     def add_nodes(self, nodes: DataFrame) -> Graph:
         """nodes: (node, value); known nodes keep their value unless it is null."""

@@ -21,8 +21,8 @@ from grafwerk.graph import Graph, cut
 from grafwerk.plans import ast
 from grafwerk.plans.parser import parse_node, parse_path
 
-#: Edges of a star, and pairs of its closure, that the driver may hold.
-SPINE_EDGES, SPINE_PAIRS = 200_000, 2_000_000
+#: Edges of a star, and pairs of its closure, that the driver may hold; and pairs that a plan may carry.
+SPINE_EDGES, SPINE_PAIRS, LOCAL_PAIRS = 200_000, 2_000_000, 1000
 
 
 class Compiler:
@@ -98,7 +98,9 @@ class Compiler:
         if key not in memo:
             rows = self.pairs(inner).limit(self.spine_edges + 1).collect()
             closed = close(rows, SPINE_PAIRS) if len(rows) <= self.spine_edges else None
-            memo[key] = None if closed is None else self.graph.spark.createDataFrame(closed, "x string, y string")
+            found = None if closed is None else self.graph.spark.createDataFrame(closed, "x string, y string")
+            # a large local relation would be part of every plan that reads it
+            memo[key] = cut(found, "spine") if found is not None and len(closed) > LOCAL_PAIRS else found
         return memo[key]
 
     # -- paths: whole relations, for intersections

@@ -68,25 +68,27 @@ def queried_subjects(cache: RawCache) -> set[str]:
     return found
 
 
-def extract(spark: SparkSession, fetcher: Fetcher, endpoint: str, cache: RawCache, allowed: AllowList, seeds: Iterable[str], predicates: Iterable[str] | None = None, rounds: int = 2, batch: int = 50, most: int = 2000) -> DataFrame:
-    """Fetch statements about the seeds and, round by round, about what they lead to.
+def extract(spark: SparkSession, fetcher: Fetcher, endpoint: str, cache: RawCache, allowed: AllowList, seeds: Iterable[str], predicates: Iterable[str] | None = None, rounds: int | None = 2, batch: int = 50, most: int | None = None) -> DataFrame:
+    """Fetch statements about the seeds and, round by round, about what they lead to; with the typing
+    predicates and ``rounds`` None, the typing closure.
 
-    Returns all cached triples (line_no, s, p, o, literal), abbreviated and allowed.  With the typing
-    predicates and many rounds this is the typing closure.
+    A round asks for its whole frontier, or for its first ``most`` by name where such a limit is given; what
+    is left comes first in the next round.  Returns all cached triples (line_no, s, p, o, literal), abbreviated and allowed.
     """
     wanted = sorted(predicates if predicates is not None else allowed.predicates)
     prefixes = dict(allowed.prefixes)
-    frontier = sorted(set(seeds))
-    for _ in range(rounds):
-        fresh = [s for s in frontier if s not in queried_subjects(cache)][:most]
-        if not fresh:
-            break
-        for at in range(0, len(fresh), batch):
-            part = fresh[at : at + batch]
+    asked = queried_subjects(cache)
+    waiting = sorted(set(seeds) - asked)
+    turn = 0
+    while waiting and (rounds is None or turn < rounds):
+        turn += 1
+        now, waiting = waiting[:most], waiting[len(waiting) if most is None else most :]
+        for at in range(0, len(now), batch):
+            part = now[at : at + batch]
             query = construct_query(part, wanted, prefixes)
             cache.store(query, fetcher.construct(endpoint, query), subjects=part)
-        known = allowed.filter(cache.triples(spark))
-        ends = known.where("literal IS NULL").select("o").distinct()
-        asked = spark.createDataFrame([(s,) for s in queried_subjects(cache)], "o string")
-        frontier = [r[0] for r in ends.join(asked, "o", "left_anti").orderBy("o").limit(most).collect()]  # at most ``most``
+        asked |= set(now)
+        ends = allowed.filter(cache.triples(spark)).where("literal IS NULL").select("o").distinct()
+        known = spark.createDataFrame([(s,) for s in sorted(asked.union(waiting))], "o string")
+        waiting += [row[0] for row in ends.join(known, "o", "left_anti").orderBy("o").toLocalIterator()]  # what the network is asked for next
     return allowed.filter(cache.triples(spark)).where(F.col("p").isin(*wanted))

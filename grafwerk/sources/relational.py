@@ -35,6 +35,9 @@ EDGE_SQL = "\nUNION ALL ".join([
     _edge(_id("u", "user_id"), "kg:did", _id("ev", "event_type"), "events"),
     _edge(_ORDER, TYPE, "'cls:Order_' || o_orderstatus", "orders WHERE o_orderkey % 50 <> 0"),
     _edge(_CUSTOMER, TYPE, "'cls:' || c_mktsegment", "customer WHERE c_acctbal >= 0"),
+    _edge(_CUSTOMER, TYPE, "'cls:Customer'", "customer WHERE c_custkey % 25 = 0"),
+    _edge(_CUSTOMER, "kg:segment", "'seg:' || c_mktsegment", "customer"),
+    _edge(_id("r", "r_regionkey"), TYPE, "'cls:FirstRegion'", "region WHERE r_regionkey = 0"),
     _edge(_SUPPLIER, TYPE, "'cls:Supplier'", "supplier WHERE s_acctbal >= 0"),
     _edge(_PART, TYPE, "'cls:' || p_type", "part WHERE p_size > 2"),
     _edge(_NATION, TYPE, "'cls:Nation'", "nation"),

@@ -1,13 +1,18 @@
-"""Validation of arriving edges: each micro-batch is added to the saved graph and checked again."""
+"""Validation of arriving edges: each micro-batch is kept beside the graph, and the rules it touches are checked again.
+
+Arrived edges are written by batch number beside the checkpoint, so a batch that is run again replaces itself and a
+restarted stream goes on with all edges that came before.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from grafwerk.graph import Graph
+from grafwerk.graph import EDGES, Graph
 from grafwerk.operators.validate import counts
 from grafwerk.plans import ast
 from grafwerk.rules import ConstraintSet
@@ -21,12 +26,13 @@ def touched_rules(rules: ConstraintSet, labels: set[str]) -> ConstraintSet:
 def watch(edges: DataFrame, graph: Graph, rules: ConstraintSet, report: Callable[[int, DataFrame], None], checkpoint: str) -> StreamingQuery:
     """edges: a stream of (src, label, dst).  Calls ``report`` with the batch's number and the
     counts (ord, cid, tier, witnesses) of the rules that it touches."""
-    state = {"graph": graph}
+    spark, folder = graph.spark, f"{checkpoint.rstrip('/')}-arrived"
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        labels = {r[0] for r in batch.select("label").distinct().collect()}
+        batch.select("src", "label", "dst").distinct().write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        arrived = spark.read.schema(f"{EDGES}, batch long").parquet(folder)
+        labels = {r[0] for r in arrived.where(F.col("batch") == number).select("label").distinct().collect()}
         if labels:
-            state["graph"] = state["graph"].add_edges(batch).settled()
-            report(number, counts(state["graph"], touched_rules(rules, labels)))
+            report(number, counts(graph.add_edges(arrived.where(F.col("batch") <= number)), touched_rules(rules, labels)))
 
     return edges.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -428,6 +428,10 @@ def test_streaming(spark, tmp_path, mini, rules):
     seen = {}
     watch(stream, mini, rules, lambda n, counts: seen.update({r["cid"]: r["witnesses"] for r in counts.collect()}), str(tmp_path / "cp")).awaitTermination()
     assert seen["geo.wd.dom.country"] == 2 and "geo.wd.sym.border" not in seen
+    # a restarted stream knows what came before
+    spark.createDataFrame([("wd:newer", "wdt:P17", "wd:land")], "src string, label string, dst string").write.mode("append").parquet(str(tmp_path / "in"))
+    watch(stream, mini, rules, lambda n, counts: seen.update({"batch": n} | {r["cid"]: r["witnesses"] for r in counts.collect()}), str(tmp_path / "cp")).awaitTermination()
+    assert seen["batch"] == 1 and seen["geo.wd.dom.country"] == 3
 
 
 def test_run_record(spark, mini, rules, tmp_path):
