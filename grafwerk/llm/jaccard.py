@@ -12,7 +12,9 @@ order, rarest first by a sketch of counts over all texts (any order is exact, th
 of a set of n holds its first ``n - ceil(n * num / den) + 1``, and linked sets share a shingle of both
 prefixes.  With k - 1 more shingles in the smaller prefix, and as many or more in the larger, they share k.  So prefixes
 are made longer by n / ``MORE``, and sets that share too few shingles of theirs with others can have no link: they
-leave, which may leave others with too few, in rounds until hardly any go.  The sets that meet in a
+leave, which may leave others with too few, in rounds until hardly any go.  Whether a shingle is shared is counted
+among the sets that meet in it, of which there are few (``HOT``, ``HOT_MEANS``); one that the sketch counts more often is taken
+as shared, so no hot shingle is gathered anywhere.  The sets that meet in a
 shingle elect the one that meets most others.  Where more than ``CROWD`` sets meet in a shingle, shingles are
 counted exactly among these sets, and the common ones go to the end of the order, once.
 
@@ -39,6 +41,7 @@ in blocks; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +49,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafwerk.llm.common import Scratch, small_batches, spread_join, store, texts_as_bytes
@@ -57,6 +60,8 @@ WIDTH, SIMILARITY = 4, (85, 100)
 COUNTERS, BLOCKS = 1 << 22, 256
 #: A prefix is longer by its set's size over this; rounds in which sets leave end when no more than this share goes.
 MORE, ENDS = 32, 0.05
+#: Occurrences, by the sketch, from which on a shingle counts as shared; and at least this many times a counter's mean.
+HOT, HOT_MEANS = 20_000, 16
 #: Sets that meet in a shingle before its sets' shingles are counted exactly.
 CROWD = 1000
 #: Members and elements of a region, or tile, that one task joins; elements of the regions in a task.
@@ -118,6 +123,11 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
     return out.ravel()
 
 
+def hot_level(levels: np.ndarray) -> int:
+    mean = float((2.0 ** (np.arange(256) / 8) - 1) @ np.bincount(levels, minlength=256)) / len(levels)
+    return min(255, round(8 * math.log2(1 + max(HOT, HOT_MEANS * mean))))
+
+
 def prefix(items: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
     """The rarest shingles of a set (sorted, distinct), rarest first; ties by value."""
     length = prefix_length(len(items), num, den) + len(items) // MORE
@@ -128,17 +138,19 @@ def prefix(items: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndar
 # -- sets and where they meet
 
 
-_NAMED_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("d", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_NAMED_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("d", pa.binary()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
 
-def _named(width: int, num: int, den: int, levels):
+def _named(width: int, num: int, den: int, levels, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(texts_as_bytes(batch.column(2)), width))
-            prefixes = [prefix(s, levels.value, num, den).view(np.int64) for s in sets]
+            prefixes = [prefix(s, levels.value, num, den) for s in sets]
+            rare = [int((levels.value[(p >> _SHIFT).view(np.int64)] < hot).sum()) for p in prefixes]
+            prefixes = [p.view(np.int64) for p in prefixes]
             ends = np.cumsum([0] + [len(p) for p in prefixes])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)) if prefixes else pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(map(digest, sets), pa.binary()), lists], schema=_NAMED_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(map(digest, sets), pa.binary()), pa.array(rare, pa.int32()), lists], schema=_NAMED_ARROW)
 
     return run
 
@@ -184,10 +196,11 @@ def _survivors(scratch: Scratch, sets: DataFrame, num: int, den: int) -> DataFra
     """(sid, cell) of longer prefixes: the sets that share enough of it with others, and what they share."""
     overlap = f"((n * {num} + {den - 1}) div {den})"
     sizes = sets.select("sid", F.expr(f"1 + {overlap} div {MORE}").alias("need"))
-    cells = sets.select("sid", F.explode("prefix").alias("cell"))
+    cells = sets.select("sid", F.posexplode("prefix").alias("place", "cell"), "rare").select("sid", "cell", (F.col("place") >= F.col("rare")).alias("hot"))
     while True:
-        held = scratch.store(cells.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1"))
-        shared = scratch.store(spread_join(cells, held.select("cell"), "cell", counts=held))
+        held = F.count("*").over(Window.partitionBy("cell"))  # few rows: not hot
+        shared = cells.where("NOT hot").withColumn("held", held).where("held > 1").drop("held").unionByName(cells.where("hot"))
+        shared = scratch.store(shared)
         enough = scratch.store(shared.groupBy("sid").agg(F.count("*").alias("shares")).join(sizes, "sid"))
         here, left = enough.agg(F.count("*"), F.count_if(F.col("shares") >= F.col("need"))).first()
         cells = scratch.store(shared.join(enough.where("shares >= need").select("sid"), "sid", "left_semi"))
@@ -526,12 +539,13 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int]
     num, den = similarity
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    levels = spark.sparkContext.broadcast(rarity(docs, width))
+    found = rarity(docs, width)
+    hot, levels = hot_level(found), spark.sparkContext.broadcast(found)
     with Scratch(spark, "jaccard") as scratch:
-        named = docs.select("doc_id", "mark", "text").mapInArrow(_named(width, num, den, levels), "doc_id long, mark long, n long, d binary, prefix array<long>")
+        named = docs.select("doc_id", "mark", "text").mapInArrow(_named(width, num, den, levels, hot), "doc_id long, mark long, n long, d binary, rare int, prefix array<long>")
         classes = scratch.store(named)
         first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("first")
-        grouped = classes.where("n > 0").groupBy("d").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        grouped = classes.where("n > 0").groupBy("d").agg(first, F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
         sets = scratch.store(grouped.withColumn("sid", F.monotonically_increasing_id()))
         comps = set_components(scratch, docs, sets, levels, width, num, den)
         owned = scratch.store(sets.select("sid", "d", F.col("first.doc_id").alias("least")).join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))

@@ -439,6 +439,7 @@ def test_jaccard_large_regions(spark, members, shrinks, crowd, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE_MEMBERS", members)
     monkeypatch.setattr(jaccard, "SHRINKS", shrinks)
     monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "HOT", 20_000 if members < 12 else 3)
     rng = random.Random(members)
     vocabulary = [f"w{i}" for i in range(900)]
     base = [rng.choice(vocabulary) for _ in range(120)]
