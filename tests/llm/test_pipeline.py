@@ -57,6 +57,29 @@ def test_near_duplicates_by_row(spark):
     assert corpus_pipeline.near_duplicates(spark, nameless, "").count() == 1
 
 
+@pytest.mark.parametrize("most,join", [(1_000_000, "BroadcastHashJoin"), (2, "SortMergeJoin")])
+def test_near_duplicates_shuffles_no_texts(spark, monkeypatch, most, join):
+    """Removed rows are broadcast whatever Spark's own limit, up to a bound; beyond it the result is the same."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts + [t + " end" for t in texts[:4]] + [None, ""])]
+    plans, write = [], corpus_pipeline.store
+
+    def watched(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(corpus_pipeline, "store", watched)
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_REMOVED", most, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.doc_id for r in kept) == [*range(20), 24, 25]
+    assert len(plans) == 1 and join in plans[0]
+
+
 def test_run(spark, folder):
     """The whole against plain stages: languages by their words, then plain lines, groups and passages."""
     path, docs, items = folder
