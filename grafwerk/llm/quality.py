@@ -2,12 +2,12 @@
 
 Every document gets the statistics of its whole text.  The rules are predicates over these statistics or over
 the text itself that reject a document; those over the text read it again, so they cost work in proportion to
-its length.  On a bounded sample (different texts with the smallest hashes), each rule's work is added up and
-the rejections of all rules are counted together; the next rule is always the one that rejects most of what the
-rules before it leave, per work.  Rules run in this order inside one ``CASE``, so a rule is evaluated only
-for documents that no earlier rule, and no base rule, has rejected.  Work is counted, not timed, so the order
-is the same in every run.  It decides how much work is done, never which documents are kept: a document is
-kept if no rule rejects it.
+its length.  On a bounded sample (different texts with the smallest hashes, each for as many documents as hold it),
+each rule's work is added up and the rejections of all rules are counted together; the next rule is always the
+one that rejects most of what the rules before it leave, per work.  Rules run in this order inside one ``CASE``,
+so a rule is evaluated only for documents that no earlier rule, and no base rule, has rejected.  Work is counted,
+not timed, so the order is the same in every run.  It decides how much work is done, never which documents are
+kept: a document is kept if no rule rejects it.
 
 Defined cases: null text has no words; further columns pass through, whatever their names (those that this adds are
 replaced); repeated rows stay, with equal results; very long texts are read whole; empty tables give no rows.
@@ -122,10 +122,10 @@ def cascade_order(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: i
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashed = docs.select(text.alias("text")).withColumn("hash", F.xxhash64("text"))
     few = F.pmod("hash", F.lit(1 << 30)) < int(min(1.0, 4 * sample_rows / max(1, docs.count())) * (1 << 30))  # about four times as many as are taken
-    some = hashed.where(few).groupBy("hash").agg(F.min("text").alias("text")).orderBy(F.pmod("hash", F.lit(1 << 30)), "hash").limit(sample_rows)
-    sample = with_stats(some.select("text")).where(~any_rejects(BASE_RULES))
+    some = hashed.where(few).groupBy("hash").agg(F.min("text").alias("text"), F.count("*").alias("copies")).orderBy(F.pmod("hash", F.lit(1 << 30)), "hash").limit(sample_rows)
+    sample = with_stats(some.select("text", "copies")).where(~any_rejects(BASE_RULES)).withColumn("copies", F.col("row.copies"))
     hit = F.concat(F.lit(""), *[F.when(F.expr(f"coalesce({r.rejects}, false)"), "1").otherwise("0") for r in rules])
-    rows = sample.groupBy(hit.alias("hit")).agg(F.count("*").alias("n"), *[F.sum(F.expr(f"cast({r.work} AS double)")).alias(f"w{i}") for i, r in enumerate(rules)]).collect()
+    rows = sample.groupBy(hit.alias("hit")).agg(F.sum("copies").alias("n"), *[F.sum(F.expr(f"copies * cast({r.work} AS double)")).alias(f"w{i}") for i, r in enumerate(rules)]).collect()
     work = [sum(row[f"w{i}"] for row in rows) + 1 for i in range(len(rules))]
     left, order = [(row["hit"], row["n"]) for row in rows], []
     todo = list(range(len(rules)))

@@ -116,6 +116,14 @@ def test_quality_order(spark, docs, empty):
     assert [r.name for r, _, _ in order] == ["cheap", "dear", "never", "same"] and [n for _, n, _ in order] == [5, 15, 0, 0]
 
 
+def test_quality_order_counts_copies(spark):
+    """A text counts for all documents that hold it, in rejections and in work."""
+    texts = [" ".join(f"{'w' * 9 if n else 'v'}{n}x{i}" for i in range(60)) for n in (0, 1, 2)]
+    table = spark.createDataFrame([(i, texts[0] if i < 10 else texts[i - 9]) for i in range(12)], "doc_id long, text string")
+    rules = [quality.Rule("long", "word_chars > 400"), quality.Rule("short", "word_chars <= 400")]
+    assert quality.cascade_order(table, rules) == [(rules[1], 10, 13.0), (rules[0], 2, 13.0)]
+
+
 def test_quality_rules(spark):
     plain = " ".join(["some words of a text that nothing speaks against and that all rules keep"] * 1 + [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)])
     bad = {"digits": " ".join(f"{i}{i * 7} ab" for i in range(40)), "capitals": plain.upper(), "bullets": "\n".join(f"- {w}" for w in plain.split()), "symbols": plain + " #" * 40}
