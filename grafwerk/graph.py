@@ -11,12 +11,24 @@ import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: In a graph's memo: its tables are files, which a plan over it reads and doesn't compute again.
+STORED = "stored"
+
+#: In a graph's memo: (graph it was made from, edges lost since or None, edges added since or None).
+MADE_FROM = "made from"
+#: Rows of a few short texts that every executor may hold for a join, so that the other side isn't moved.
+HELD_ROWS = 2_000_000
 
 NODES = "node string, value string"
 EDGES = "src string, label string, dst string"
@@ -42,6 +54,18 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's as part of the plan, which needs no tasks of its own."""
+    columns = to_arrow_schema(StructType.fromDDL(schema))
+    values = list(zip(*rows)) or [()] * len(columns)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(v), f.type) for v, f in zip(values, columns)], schema=columns))
+
+
+def held(stored: DataFrame, bound: int = HELD_ROWS) -> DataFrame:
+    """A stored table, to be held by every executor in joins if it has few rows."""
+    return F.broadcast(stored) if stored.count() <= bound else stored
+
+
 @dataclass(frozen=True, eq=False)
 class Graph:
     nodes: DataFrame
@@ -78,7 +102,7 @@ class Graph:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Graph:
-        return cls(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges").select("src", "label", "dst"))
+        return cls(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges").select("src", "label", "dst"), {STORED: True})
 
     def save(self, path: str, max_files_per_label: int = 64) -> None:
         """Parquet below ``path``; within a label, rows are dealt by a hash of the source, so a hot
@@ -88,7 +112,9 @@ class Graph:
         dealt.write.mode("overwrite").partitionBy("label").parquet(f"{path}/edges")
 
     def settled(self) -> Graph:
-        """The same graph read from tables in the shared folder."""
+        """The same graph read from stored tables; one that is read from such tables already is its own copy."""
+        if self.memo.get(STORED):
+            return self
         path = f"{shared_dir(self.spark)}/graph-{uuid.uuid4().hex}"
         self.save(path)
         return Graph.load(self.spark, path)
@@ -162,23 +188,34 @@ class Graph:
         """gone: (n); takes all their edges along."""
         kept = self.nodes.join(gone, self.nodes["node"] == gone["n"], "left_anti")
         src, dst = gone.select(F.col("n").alias("src")), gone.select(F.col("n").alias("dst"))
-        return Graph(kept, self.edges.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select("src", "label", "dst"))
+        edges = self.edges.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select("src", "label", "dst")
+        return Graph(kept, edges, {MADE_FROM: (self, self.edges_of(gone), None)})
+
+    def edges_of(self, nodes: DataFrame) -> DataFrame:
+        """The edges with an end in nodes (n)."""
+        one = nodes.select("n").distinct()
+        marked = self.edges.join(one.select(F.col("n").alias("src"), F.lit(True).alias("from_one")), "src", "left")
+        marked = marked.join(one.select(F.col("n").alias("dst"), F.lit(True).alias("to_one")), "dst", "left")
+        return marked.where("from_one OR to_one").select("src", "label", "dst")
 
     def only_labels(self, allowed: Iterable[str]) -> Graph:
         """Edges of these labels; all nodes stay."""
         return Graph(self.nodes, self.edges.where(F.col("label").isin(*sorted(allowed))))
 
-    # -- hashes: exact bytes of a sorted listing, streamed through the driver
+    # -- hashes: exact bytes of a sorted listing
 
     def content_hash(self, values: bool = False) -> str:
         """First 16 hex digits of the sha256 of the sorted edges as JSON; with ``values`` of an
-        object of edges and values that is not ASCII-escaped."""
+        object of edges and values that is not ASCII-escaped.  Tasks sort, spell and pack the listing; the driver only
+        unpacks and digests, a piece at a time."""
         digest = hashlib.sha256()
 
         def stream(df: DataFrame, ascii_only: bool) -> None:
             digest.update(b"[")
-            for i, row in enumerate(df.toLocalIterator()):
-                digest.update((", " if i else "").encode() + json.dumps(list(row), ensure_ascii=ascii_only).encode())
+            packed = cut(df.mapInArrow(_listed(ascii_only), "part int, place long, size long, packed binary"), "listing")
+            for i, row in enumerate(packed.orderBy("part", "place").toLocalIterator(prefetchPartitions=True)):
+                digest.update(b", " if i else b"")
+                digest.update(pa.decompress(row["packed"], row["size"], "zstd"))
             digest.update(b"]")
 
         edges = self.edges.select("src", "label", "dst").orderBy("src", "label", "dst")
@@ -193,7 +230,35 @@ class Graph:
         return digest.hexdigest()[:16]
 
 
+def _listed(ascii_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a sorted partition as JSON without the outer brackets, packed by batches: (part, place, size, packed)."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for place, batch in enumerate(b for b in batches if b.num_rows):
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            text = json.dumps(rows, ensure_ascii=ascii_only)[1:-1].encode()
+            one = [pa.array([part], pa.int32()), pa.array([place], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([pa.compress(text, "zstd", asbytes=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(one, ["part", "place", "size", "packed"])
+
+    return listed
+
+
 def difference(before: Graph, after: Graph) -> tuple[DataFrame, DataFrame]:
-    """(removed, added) edges."""
+    """(removed, added) edges.  Where ``after`` was made from ``before`` by removals only or by additions only, these
+    are the changes themselves."""
+    keys, lost, new, now = ["src", "label", "dst"], [], [], after
+    while now is not before and MADE_FROM in now.memo:
+        now, removed, added = now.memo[MADE_FROM]
+        lost += [] if removed is None else [removed]
+        new += [] if added is None else [added]
+    if now is before and not (lost and new) and len(lost) < 2:
+        none = before.edges.where(F.lit(False)).select(*keys)
+        return reduce(DataFrame.unionByName, lost, none), reduce(DataFrame.unionByName, new, none)
+    return compared(before, after)
+
+
+def compared(before: Graph, after: Graph) -> tuple[DataFrame, DataFrame]:
+    """(removed, added) edges, by comparing all."""
     keys = ["src", "label", "dst"]
     return before.edges.join(after.edges, keys, "left_anti"), after.edges.join(before.edges, keys, "left_anti")
