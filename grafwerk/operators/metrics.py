@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.graph import Graph
+from grafwerk.graph import Graph, small_table
 from grafwerk.operators.validate import witnesses
 from grafwerk.plans import ast
 from grafwerk.plans.compile import Compiler
@@ -44,7 +44,7 @@ def ancestors(graph: Graph, subclass_of: Iterable[str] = SUBCLASS_OF) -> DataFra
     for label in subclass_of:
         path = ast.Down(label) if path is None else ast.Alt(path, ast.Down(label))
     if path is None:
-        return graph.spark.createDataFrame([], "cls string, sup string")
+        return small_table(graph.spark, [], "cls string, sup string")
     pairs = Compiler(graph).pairs(ast.Star(path)).where("x <> y")
     return pairs.select(F.col("x").alias("cls"), F.col("y").alias("sup"))
 
@@ -63,10 +63,13 @@ def class_sizes(graph: Graph, instance_of: Iterable[str] = INSTANCE_OF) -> DataF
 
 def property_coverage(graph: Graph, instance_of: Iterable[str] = INSTANCE_OF, subclass_of: Iterable[str] = SUBCLASS_OF, min_instances: int = MIN_INSTANCES) -> DataFrame:
     """(cls, label, carriers, instances) of every label that some instance carries."""
-    sizes = class_sizes(graph, instance_of).where(F.col("instances") >= min_instances)
-    carried = graph.edges.where(~F.col("label").isin(*instance_of, *subclass_of)).select(F.col("src").alias("node"), "label").distinct()
-    members = type_edges(graph, instance_of).join(sizes, "cls")
-    return members.join(carried, "node").groupBy("cls", "label").agg(F.count("*").alias("carriers"), F.first("instances").alias("instances"))
+    from grafwerk.operators.profiles import profiles  # which reads this module
+
+    own = profiles(graph, instance_of, subclass_of)
+    types = own.types()
+    sizes = types.groupBy("cls").agg(F.sum("weight").alias("instances")).where(F.col("instances") >= min_instances)
+    carried = own.endpoints().where("role = 'domain'").select("label", "n")
+    return types.join(sizes, "cls").join(carried, "n").groupBy("cls", "label").agg(F.sum("weight").alias("carriers"), F.first("instances").alias("instances"))
 
 
 def satisfaction(graph: Graph, rules: ConstraintSet) -> DataFrame:
@@ -78,7 +81,7 @@ def satisfaction(graph: Graph, rules: ConstraintSet) -> DataFrame:
         part = compiler.node(r.phi).agg(F.count("*").alias("antecedent")).select(F.lit(r.cid).alias("cid"), "antecedent")
         scope = part if scope is None else scope.unionByName(part)
     if scope is None:
-        return graph.spark.createDataFrame([], "cid string, antecedent long, witnesses long, satisfaction double")
+        return small_table(graph.spark, [], "cid string, antecedent long, witnesses long, satisfaction double")
     joined = scope.join(found, "cid", "left").select("cid", "antecedent", F.coalesce("witnesses", F.lit(0)).alias("witnesses"))
     return joined.withColumn("satisfaction", F.when(F.col("antecedent") > 0, (F.col("antecedent") - F.col("witnesses")) / F.col("antecedent")))
 
@@ -116,38 +119,38 @@ def metric_names() -> tuple[str, ...]:
     return tuple(f for f in GraphMetrics.__dataclass_fields__ if f not in VOCABULARIES)
 
 
-def metrics_row(graph: Graph, rules: ConstraintSet | None = None, instance_of: Iterable[str] = INSTANCE_OF, subclass_of: Iterable[str] = SUBCLASS_OF, min_instances: int = MIN_INSTANCES) -> DataFrame:
-    """All metrics as one row: single-row aggregations side by side."""
+def metrics_row(graph: Graph, rules: ConstraintSet | None = None, instance_of: Iterable[str] = INSTANCE_OF, subclass_of: Iterable[str] = SUBCLASS_OF, min_instances: int = MIN_INSTANCES, names: Iterable[str] | None = None) -> DataFrame:
+    """All metrics, or those of ``names``, as one row: single-row aggregations side by side."""
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    names = metric_names() if names is None else tuple(names)
+    shares = {n: of for n, of in (("typed_fraction", ("typed_nodes", "nodes")), ("singleton_fraction", ("singleton_classes", "classes")), ("redundant_fraction", ("redundant_type_edges", "type_edges")), ("mean_types", ("type_edges", "typed_nodes")), ("witness_fraction", ("witness_nodes", "nodes"))) if n in names}
+    wanted = {*names} | {x for of in shares.values() for x in of}
     types = type_edges(graph, instance_of)
-    parts = [
-        graph.stats().withColumnRenamed("valued_nodes", "data_values"),
-        types.agg(F.count("*").alias("type_edges"), F.countDistinct("node").alias("typed_nodes")),
-        class_sizes(graph, instance_of).agg(F.count("*").alias("classes"), F.coalesce(F.sum((F.col("instances") == 1).cast("long")), F.lit(0)).alias("singleton_classes")),
-        graph.edges.where(F.col("label").isin(*subclass_of) if subclass_of else F.lit(False)).agg(F.count("*").alias("subclass_edges")),
-        redundant_types(graph, instance_of, subclass_of).agg(F.count("*").alias("redundant_type_edges")),
-        property_coverage(graph, instance_of, subclass_of, min_instances).agg(F.count("*").alias("coverage_pairs"), (F.sum("carriers") / F.sum("instances")).alias("property_coverage")),
-    ]
+    parts = {
+        ("nodes", "edges", "labels", "data_values"): lambda: graph.stats().withColumnRenamed("valued_nodes", "data_values"),
+        ("type_edges", "typed_nodes"): lambda: types.agg(F.count("*").alias("type_edges"), F.countDistinct("node").alias("typed_nodes")),
+        ("classes", "singleton_classes"): lambda: class_sizes(graph, instance_of).agg(F.count("*").alias("classes"), F.coalesce(F.sum((F.col("instances") == 1).cast("long")), F.lit(0)).alias("singleton_classes")),
+        ("subclass_edges",): lambda: graph.edges.where(F.col("label").isin(*subclass_of) if subclass_of else F.lit(False)).agg(F.count("*").alias("subclass_edges")),
+        ("redundant_type_edges",): lambda: redundant_types(graph, instance_of, subclass_of).agg(F.count("*").alias("redundant_type_edges")),
+        ("coverage_pairs", "property_coverage"): lambda: property_coverage(graph, instance_of, subclass_of, min_instances).agg(F.count("*").alias("coverage_pairs"), (F.sum("carriers") / F.sum("instances")).alias("property_coverage")),
+    }
     if rules is None:
         none = [F.lit(None).cast(t).alias(n) for n, t in (("witnesses", "long"), ("witness_nodes", "long"), ("satisfaction_mean", "double"))]
-        parts.append(graph.spark.range(1).select(*none))
+        parts[("witnesses", "witness_nodes", "satisfaction_mean")] = lambda: graph.spark.range(1).select(*none)
     else:
-        parts.append(witnesses(graph, rules).agg(F.count("*").alias("witnesses"), F.countDistinct("n").alias("witness_nodes")))
-        parts.append(satisfaction(graph, rules).agg(F.avg("satisfaction").alias("satisfaction_mean")))
-    row = parts[0]
-    for part in parts[1:]:
-        row = row.crossJoin(part)  # single rows
-    row = row.withColumns({
-        "typed_fraction": share("typed_nodes", "nodes"), "singleton_fraction": share("singleton_classes", "classes"),
-        "redundant_fraction": share("redundant_type_edges", "type_edges"), "mean_types": share("type_edges", "typed_nodes"),
-        "witness_fraction": share("witness_nodes", "nodes"),
-    })
-    return row.select(*metric_names())
-
-
-def compute_metrics(graph: Graph, rules: ConstraintSet | None = None, instance_of: Iterable[str] = INSTANCE_OF, subclass_of: Iterable[str] = SUBCLASS_OF, min_instances: int = MIN_INSTANCES) -> GraphMetrics:
-    row = metrics_row(graph, rules, instance_of, subclass_of, min_instances).first()
-    return GraphMetrics(**row.asDict(), instance_of=tuple(instance_of), subclass_of=tuple(subclass_of))
+        parts[("witnesses", "witness_nodes")] = lambda: witnesses(graph, rules).agg(F.count("*").alias("witnesses"), F.countDistinct("n").alias("witness_nodes"))
+        parts[("satisfaction_mean",)] = lambda: satisfaction(graph, rules).agg(F.avg("satisfaction").alias("satisfaction_mean"))
+    row = None
+    for columns, part in parts.items():
+        if wanted & {*columns}:
+            row = part() if row is None else row.crossJoin(part())  # single rows
+    return row.withColumns({n: share(*of) for n, of in shares.items()}).select(*names)
+
+
+def compute_metrics(graph: Graph, rules: ConstraintSet | None = None, instance_of: Iterable[str] = INSTANCE_OF, subclass_of: Iterable[str] = SUBCLASS_OF, min_instances: int = MIN_INSTANCES, names: Iterable[str] | None = None) -> GraphMetrics:
+    """All metrics; with ``names`` those only, and None for the others."""
+    row = metrics_row(graph, rules, instance_of, subclass_of, min_instances, names).first()
+    return GraphMetrics(**(dict.fromkeys(metric_names()) | row.asDict()), instance_of=tuple(instance_of), subclass_of=tuple(subclass_of))
 
 
 def compare_metrics(before: GraphMetrics, after: GraphMetrics) -> list[dict]:

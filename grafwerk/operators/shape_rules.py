@@ -1,8 +1,8 @@
 """The shape generator: typing, requirement, domain and range rules from a graph's profile.
 
-Bodies are one long table (body, n): steps and forward paths with enough nodes, and conjunctions of them.
-All bodies are scored against all classes by one aggregated join, and all exceptions come from one ranked
-anti join; the driver holds the rules only.
+Bodies are one long table (body, n) of profiles of nodes: steps and forward paths with enough nodes, and conjunctions
+of them.  All bodies are scored against all classes by one aggregated join.  Exceptions are named by one ranked join of
+the profiles that lack a class with their nodes; the driver holds the rules only.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafwerk.graph import Graph, cut
+from grafwerk.graph import Graph, cut, small_table
 from grafwerk.operators import shapes
-from grafwerk.operators.metrics import ancestors, type_edges
-from grafwerk.operators.search import AND, SearchConfig, atom_text, lattice, step_extensions, tau_text, typed_nodes
+from grafwerk.operators.metrics import ancestors
+from grafwerk.operators.profiles import BIT_TAGS, Profiles, count, grouped, profiles, tagged, vocabulary
+from grafwerk.operators.search import AND, SearchConfig, atom_text, lattice, tau_text
 from grafwerk.plans import ast
 from grafwerk.plans.parser import parse_node
 from grafwerk.rules import CORE, SUBSET, SUPERSET, Constraint, ConstraintSet
@@ -26,6 +27,9 @@ DIRECTIONS = {"existential_domain": SUBSET, "existential_range": SUBSET, "typing
 ROLES = {"existential_domain": "dom", "existential_range": "rng", "typing_existence": "typ", "requires_statement": "req"}
 EXCEPTIONS = 10
 
+#: Edges that a task joins when paths are made longer.
+TASK_EDGES = 1_000_000
+
 #: Between the labels of a forward path's key.
 THEN = "\x02"
 
@@ -33,19 +37,27 @@ THEN = "\x02"
 def path_extensions(graph: Graph, cfg: SearchConfig) -> DataFrame:
     """(key, n): starts of forward paths of 2 to ``max_path`` steps; a path is only made longer while enough
     nodes start it.  A key is p_ and the labels."""
+    if cfg.max_path < 2:
+        return small_table(graph.spark, [], "key string, n string")
     edges = graph.edges.where(~F.col("label").isin(cfg.type_predicate, cfg.subclass_predicate))
-    steps = edges.groupBy("label").agg(F.countDistinct("src").alias("size")).where(F.col("size") >= cfg.min_support).select("label")
-    edges = edges.join(steps, "label", "left_semi")
+    starts = cut(edges.select(F.col("label").alias("chain"), "src").distinct(), "starts")
+    sizes = starts.groupBy("chain").agg(F.count("src").alias("size")).where(F.col("size") >= cfg.min_support)
+    labels = sorted(r["chain"] for r in sizes.collect())  # the vocabulary
+    edges, tails = edges.where(F.col("label").isin(*labels)), starts.where(F.col("chain").isin(*labels))
+    # so many tasks that each has a bounded number of edges, whatever their bytes; not for the last few
+    tasks = edges.count() // TASK_EDGES
+    dealt = lambda df, *keys: df.repartition(tasks, *keys) if tasks > 1 else df
     # grown at the front; keys are the same as if grown at the back
-    tails = edges.select(F.col("label").alias("chain"), "src").distinct()
     found = []
     for _ in range(2, cfg.max_path + 1):
-        longer = edges.select(F.col("label").alias("head"), F.col("src").alias("start"), F.col("dst").alias("src")).join(tails, "src")
-        longer = longer.select(F.concat("head", F.lit(THEN), "chain").alias("chain"), F.col("start").alias("src")).distinct()
+        ahead = edges.select(F.col("label").alias("head"), F.col("src").alias("start"), F.col("dst").alias("src"))
+        longer = dealt(ahead, "src").join(dealt(tails, "src"), "src")
+        longer = dealt(longer.select(F.concat("head", F.lit(THEN), "chain").alias("chain"), F.col("start").alias("src")), "chain", "src").distinct()
+        longer = cut(longer, "longer")
         enough = longer.groupBy("chain").agg(F.count("*").alias("size")).where(F.col("size") >= cfg.min_support).select("chain")
-        tails = cut(longer.join(enough, "chain", "left_semi"), "paths")
+        tails = longer.join(F.broadcast(enough), "chain", "left_semi")  # a row a chain
         found.append(tails.select(F.concat(F.lit("p_"), "chain").alias("key"), F.col("src").alias("n")))
-    out = graph.spark.createDataFrame([], "key string, n string")
+    out = small_table(graph.spark, [], "key string, n string")
     for part in found:
         out = out.unionByName(part)
     return out
@@ -57,22 +69,37 @@ def text_of(key: str, cfg: SearchConfig) -> str:
     return atom_text(key, cfg)
 
 
-def bodies(graph: Graph, cfg: SearchConfig) -> DataFrame:
-    """(body, atoms, n) of single steps, and of conjunctions of steps and paths."""
-    atoms = step_extensions(graph, cfg).unionByName(path_extensions(graph, cfg))
-    return lattice(atoms, cfg).where(~((F.col("atoms") == 1) & F.col("body").startswith("p_"))).select("body", "atoms", "n")
+#: The kind of tags of paths.
+PATH = "p_"
+
+
+def profiled(graph: Graph, cfg: SearchConfig) -> Profiles:
+    """The profiles of the nodes by classes, steps and forward paths, with the nodes of each."""
+    typing = [cfg.type_predicate], [cfg.subclass_predicate]
+    if cfg.max_path < 2:
+        return profiles(graph, *typing, keep=True)
+    paths = path_extensions(graph, cfg).select("n", F.col("key").alias("tag"))
+    tags, own = vocabulary(graph, *typing), [r[0] for r in paths.select("tag").distinct().limit(BIT_TAGS + 1).collect()]
+    every = sorted({*tags, *own}) if tags is not None and len(tags) + len(own) <= BIT_TAGS else None
+    return grouped(graph, tagged(graph, *typing).unionByName(paths), every, typing[1], keep=True)
+
 
+def bodies(own: Profiles, cfg: SearchConfig) -> DataFrame:
+    """(body, atoms, n, weight) of single steps, and of conjunctions of steps and paths; n are profiles."""
+    paths = own.having(PATH, "key").select(F.concat(F.lit(PATH), "key").alias("key"), "n", "weight")
+    return lattice(own.steps().unionByName(paths), cfg).where(~((F.col("atoms") == 1) & F.col("body").startswith(PATH))).select("body", "atoms", "n", "weight")
 
-def best_classes(graph: Graph, members: DataFrame, cfg: SearchConfig) -> DataFrame:
+
+def best_classes(own: Profiles, members: DataFrame, cfg: SearchConfig) -> DataFrame:
     """(body, cls, support, size, standard, pca, runners_up): for each body the most specific class that clears all
     floors, by depth, support and id, and up to five others in the same order."""
-    typed, has = typed_nodes(graph, cfg), type_edges(graph, [cfg.type_predicate]).select(F.col("node").alias("n")).distinct()
-    sizes = members.groupBy("body").agg(F.count("*").alias("size"))
-    judged = members.join(has, "n", "left_semi").groupBy("body").agg(F.count("*").alias("typed"))
-    support = members.join(typed, "n").groupBy("body", "cls").agg(F.count("*").alias("support"))
+    typed, has = own.typed().select("n", "cls"), own.has_type()
+    sizes = members.groupBy("body").agg(count(members).alias("size"))
+    judged = members.join(has, "n", "left_semi").groupBy("body").agg(count(members).alias("typed"))
+    support = members.join(typed, "n").groupBy("body", "cls").agg(count(members).alias("support"))
     scores = support.join(judged, "body").join(sizes, "body").withColumns({"pca": F.col("support") / F.col("typed"), "standard": F.col("support") / F.col("size")})
     cleared = cut(scores.where((F.col("typed") >= shapes.TYPED_SHARE * F.col("size")) & (F.col("support") >= cfg.min_support) & (F.col("pca") >= cfg.min_confidence)), "cleared")
-    up = ancestors(graph, [cfg.subclass_predicate])
+    up = ancestors(own.graph, own.subclass_of)
     below = cleared.select("body", F.col("cls").alias("low")).join(up.withColumnRenamed("cls", "low"), "low").select("body", F.col("sup").alias("cls"), F.lit(True).alias("above")).distinct()
     depth = up.groupBy("cls").agg(F.count("*").alias("depth"))
     # a class above another that clears is no choice, unless all are (classes in a cycle)
@@ -83,20 +110,33 @@ def best_classes(graph: Graph, members: DataFrame, cfg: SearchConfig) -> DataFra
     return best.select("body", "cls", "support", "size", "standard", "pca", F.coalesce(F.col("others.cls"), F.array().cast("array<string>")).alias("runners_up"))
 
 
-def exceptions(members: DataFrame, chosen: DataFrame, typed: DataFrame, limit: int = EXCEPTIONS) -> DataFrame:
+def first_nodes(own: Profiles, lacking: DataFrame, keys: list[str], limit: int = EXCEPTIONS) -> DataFrame:
+    """(*keys, rank, n): the first nodes of the profiles of each key.  lacking: (*keys, n), n a profile."""
+    few = lacking.select("n").distinct().withColumnRenamed("n", "own")
+    nodes = own.nodes.withColumnRenamed("n", "own")
+    within = nodes.join(F.broadcast(few), nodes["own"].eqNullSafe(few["own"]), "left_semi")
+    order = F.asc_nulls_last("node")
+    first = within.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy(order))).where(F.col("place") <= limit)
+    named = lacking.join(first, F.col("n").eqNullSafe(F.col("own"))).select(*keys, "node")
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("rank") <= limit)
+    return ranked.select(*keys, "rank", F.col("node").alias("n"))
+
+
+def exceptions(own: Profiles, members: DataFrame, chosen: DataFrame, limit: int = EXCEPTIONS) -> DataFrame:
     """(body, cls, rank, n): the first nodes of each body that aren't in its class."""
-    lacking = members.join(chosen.select("body", "cls"), "body").join(typed, ["n", "cls"], "left_anti")
-    order = Window.partitionBy("body", "cls").orderBy("n")
-    return lacking.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("body", "cls", "rank", "n")
+    lacking = members.join(chosen.select("body", "cls"), "body").join(own.typed().select("n", "cls"), ["n", "cls"], "left_anti")
+    return first_nodes(own, cut(lacking.select("body", "cls", "n"), "lacking"), ["body", "cls"], limit)
 
 
 def reduced_cover(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(rule, covered_by): each rule whose nodes all lie in those of another rule with the same consequent, with the largest
-    such rule; of equal ones the smaller id stands.  members: (rule, n); groups: (rule, consequent)."""
-    sizes = groups.join(members.groupBy("rule").agg(F.count("*").alias("size")), "rule")
+    such rule; of equal ones the smaller id stands.  members: (rule, n), with a weight if n are profiles; groups:
+    (rule, consequent)."""
+    sizes = groups.join(members.groupBy("rule").agg(count(members).alias("size")), "rule")
     known = members.join(groups, "rule")
-    a, b = (known.select("consequent", "n", F.col("rule").alias(x)) for x in ("covered_by", "rule"))
-    shared = a.join(b, ["consequent", "n"]).where("covered_by <> rule").groupBy("rule", "covered_by").agg(F.count("*").alias("both"))
+    weight = ["weight"] if "weight" in members.columns else []
+    a, b = known.select("consequent", "n", F.col("rule").alias("covered_by")), known.select("consequent", "n", "rule", *weight)
+    shared = a.join(b, ["consequent", "n"]).where("covered_by <> rule").groupBy("rule", "covered_by").agg(count(b).alias("both"))
     of = lambda x, size: sizes.select(F.col("rule").alias(x), F.col("size").alias(size))
     within = shared.join(of("rule", "own"), "rule").join(of("covered_by", "other"), "covered_by").where("both = own AND (other > own OR covered_by < rule)")
     return within.groupBy("rule").agg(F.min(F.struct((-F.col("other")).alias("size"), "covered_by")).alias("m")).select("rule", "m.covered_by")
@@ -141,18 +181,17 @@ def _key(body: str) -> str:
 def shape_rules(graph: Graph, domain: str, kg: str, cfg: SearchConfig, directions: dict[str, str] | None = None, reduce_cover: bool = True) -> ShapeResult:
     """All rules of the shapes; rules that the reduced cover drops are named in ``covered``."""
     directions = DIRECTIONS | (directions or {})
-    members = cut(bodies(graph, cfg), "bodies")
-    best = cut(best_classes(graph, members, cfg), "best")
-    typed = typed_nodes(graph, cfg)
+    own = profiled(graph, cfg)
+    members = cut(bodies(own, cfg), "bodies")
+    best = cut(best_classes(own, members, cfg), "best")
     required = cut(shapes.requirements(graph, cfg), "required")
     foreign = {(r["role"], r["label"]): r for r in shapes.contamination(graph, cfg).collect()}  # two rows a label
     listed: dict[tuple, list[str]] = {}
-    for r in exceptions(members, best, typed).collect():
+    for r in exceptions(own, members, best).collect():
         listed.setdefault((r["body"], r["cls"]), []).append((r["rank"], r["n"]))
-    carried = shapes.endpoints(graph, cfg).where("role = 'domain'").select("label", "n")
-    needed = required.select("cls", "label").join(typed, "cls").join(carried, ["label", "n"], "left_anti")
-    order = Window.partitionBy("cls", "label").orderBy("n")
-    for r in needed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= EXCEPTIONS).collect():
+    carried = own.endpoints().where("role = 'domain'").select("label", "n")
+    needed = required.select("cls", "label").join(own.typed(), "cls").join(carried, ["label", "n"], "left_anti").select("cls", "label", "n")
+    for r in first_nodes(own, cut(needed, "needed"), ["cls", "label"]).collect():
         listed.setdefault((r["cls"], r["label"]), []).append((r["rank"], r["n"]))
 
     rules, report, keys = [], [], {}
@@ -179,7 +218,7 @@ def shape_rules(graph: Graph, domain: str, kg: str, cfg: SearchConfig, direction
         share = round(r["confidence"], 4)
         add("requires_statement", f"{local(r['cls'])}.{local(r['label'])}", tau_text(cfg, r["cls"]), f"< down({r['label']}) >", f"instances of {r['cls']} have an outgoing {r['label']} edge", f"pred:{r['label']}", (r["cls"], r["label"]),
             predicate=r["label"], support=r["support"], body_size=r["members"], standard_conf=share, pca_conf=share, low_trust=True, low_trust_reason="missing-edge ambiguity; prefer schema declaration", **{"class": r["cls"]})
-    covered = _covered(graph, members, typed, keys) if reduce_cover and rules else {}
+    covered = _covered(graph, members, own.typed(), keys) if reduce_cover and rules else {}
     order = sorted(range(len(rules)), key=lambda i: rules[i].cid)
     kept = [i for i in order if rules[i].cid not in covered]
     stats: dict[str, int] = {}
@@ -190,10 +229,10 @@ def shape_rules(graph: Graph, domain: str, kg: str, cfg: SearchConfig, direction
 
 def _covered(graph: Graph, members: DataFrame, typed: DataFrame, keys: dict[str, tuple]) -> dict[str, str]:
     rows = [(cid, group, of[0], of[1]) for cid, (group, of) in keys.items()]
-    table = graph.spark.createDataFrame(rows, "rule string, consequent string, one string, two string")
+    table = small_table(graph.spark, rows, "rule string, consequent string, one string, two string")
     groups = table.select("rule", "consequent")
-    by_body = table.where("consequent LIKE 'class:%'").join(members, F.col("one") == F.col("body")).select("rule", "n")
-    by_class = table.where("consequent LIKE 'pred:%'").join(typed, F.col("one") == F.col("cls")).select("rule", "n")
+    by_body = table.where("consequent LIKE 'class:%'").join(members, F.col("one") == F.col("body")).select("rule", "n", "weight")
+    by_class = table.where("consequent LIKE 'pred:%'").join(typed, F.col("one") == F.col("cls")).select("rule", "n", "weight")
     return {r["rule"]: r["covered_by"] for r in reduced_cover(by_body.unionByName(by_class), groups).collect()}
 
 

@@ -1,15 +1,15 @@
-"""Rule mining by shapes: domains and ranges, requirements, prevalence; one aggregation a shape."""
+"""Rule mining by shapes: domains and ranges, requirements, prevalence; one aggregation of profiles a shape."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafwerk.graph import Graph
-from grafwerk.operators.metrics import ancestors, type_edges
-from grafwerk.operators.search import SearchConfig, typed_nodes
+from grafwerk.operators.metrics import ancestors
+from grafwerk.operators.search import SearchConfig, profiled
 
 #: The least share of typed endpoints, the share of incomparable types that flags a rule,
 #: and the predicates that the prevalence miner pairs.
@@ -19,20 +19,18 @@ TYPED_SHARE, CONTAMINATION, TOP_PREDICATES = 0.5, 0.2, 10
 KNOWN_VOCABULARIES = (("wdt:P31", "wdt:P279"), ("rdf:type", "rdfs:subClassOf"), ("a", "rdfs:subClassOf"))
 
 
-def endpoints(graph: Graph, cfg: SearchConfig) -> DataFrame:
-    """Distinct (role, label, n) of all labels but the typing pair; role is domain or range."""
-    edges = graph.edges.where(~F.col("label").isin(cfg.type_predicate, cfg.subclass_predicate))
-    src = edges.select(F.lit("domain").alias("role"), "label", F.col("src").alias("n"))
-    return src.unionByName(edges.select(F.lit("range").alias("role"), "label", F.col("dst").alias("n"))).distinct()
+def _nodes() -> Column:
+    """The nodes that rows of profiles stand for."""
+    return F.sum("weight")
 
 
 def class_scores(graph: Graph, cfg: SearchConfig) -> DataFrame:
     """(role, label, cls, support, typed, body, pca) of classes that clear all floors."""
-    ends, typed = endpoints(graph, cfg), typed_nodes(graph, cfg)
-    has = type_edges(graph, [cfg.type_predicate]).select(F.col("node").alias("n")).distinct()
-    sizes = ends.groupBy("role", "label").agg(F.count("*").alias("body"))
-    judged = ends.join(has, "n", "left_semi").groupBy("role", "label").agg(F.count("*").alias("typed"))
-    support = ends.join(typed, "n").groupBy("role", "label", "cls").agg(F.count("*").alias("support"))
+    own = profiled(graph, cfg)
+    ends = own.endpoints()
+    sizes = ends.groupBy("role", "label").agg(_nodes().alias("body"))
+    judged = ends.join(own.has_type(), "n", "left_semi").groupBy("role", "label").agg(_nodes().alias("typed"))
+    support = ends.join(own.typed().select("n", "cls"), "n").groupBy("role", "label", "cls").agg(_nodes().alias("support"))
     found = support.join(judged, ["role", "label"]).join(sizes, ["role", "label"]).withColumn("pca", F.col("support") / F.col("typed"))
     return found.where((F.col("typed") >= TYPED_SHARE * F.col("body")) & (F.col("support") >= cfg.min_support) & (F.col("pca") >= cfg.min_confidence))
 
@@ -56,40 +54,43 @@ def contamination(graph: Graph, cfg: SearchConfig) -> DataFrame:
     best, up = best_classes(graph, cfg), ancestors(graph, [cfg.subclass_predicate])
     same = best.select("cls").distinct().select("cls", F.col("cls").alias("other"))
     near = same.unionByName(up.select("cls", F.col("sup").alias("other"))).unionByName(up.select(F.col("sup").alias("cls"), F.col("cls").alias("other"))).distinct()
-    types = type_edges(graph, [cfg.type_predicate]).select(F.col("node").alias("n"), F.col("cls").alias("other"))
-    ends = endpoints(graph, cfg).join(best.select("role", "label", "cls"), ["role", "label"])
-    foreign = ends.join(types, "n").join(near, ["cls", "other"], "left_anti").groupBy("role", "label").agg(F.countDistinct("n").alias("foreign"))
-    sizes = ends.groupBy("role", "label", "cls").agg(F.count("*").alias("body"))
+    own = profiled(graph, cfg)
+    types = own.types().select("n", F.col("cls").alias("other")).where("other IS NOT NULL")
+    ends = own.endpoints().join(best.select("role", "label", "cls"), ["role", "label"])
+    foreign = ends.join(types, "n").join(near, ["cls", "other"], "left_anti").select("role", "label", "n", "weight").distinct().groupBy("role", "label").agg(_nodes().alias("foreign"))
+    sizes = ends.groupBy("role", "label", "cls").agg(_nodes().alias("body"))
     found = sizes.join(foreign, ["role", "label"], "left").select("role", "label", "cls", F.coalesce("foreign", F.lit(0)).alias("foreign"), "body")
     return found.withColumn("ratio", F.col("foreign") / F.col("body")).withColumn("flagged", F.col("ratio") >= CONTAMINATION)
 
 
 def requirements(graph: Graph, cfg: SearchConfig) -> DataFrame:
     """(cls, label, support, members, confidence): labels that nearly all nodes of a class carry."""
-    direct = type_edges(graph, [cfg.type_predicate]).groupBy("cls").agg(F.count("*").alias("direct")).where(F.col("direct") >= cfg.min_support).select("cls")
-    typed = typed_nodes(graph, cfg).join(direct, "cls", "left_semi")
-    sizes = typed.groupBy("cls").agg(F.count("*").alias("members"))
-    carried = endpoints(graph, cfg).where("role = 'domain'").select("label", "n")
-    found = typed.join(carried, "n").groupBy("cls", "label").agg(F.count("*").alias("support")).join(sizes, "cls")
+    own = profiled(graph, cfg)
+    direct = own.types().groupBy("cls").agg(_nodes().alias("direct")).where(F.col("direct") >= cfg.min_support).select("cls")
+    typed = own.typed().join(direct, "cls", "left_semi")
+    sizes = typed.groupBy("cls").agg(_nodes().alias("members"))
+    carried = own.endpoints().where("role = 'domain'").select("label", "n")
+    found = typed.join(carried, "n").groupBy("cls", "label").agg(_nodes().alias("support")).join(sizes, "cls")
     found = found.withColumn("confidence", F.col("support") / F.col("members"))
     return found.where((F.col("support") >= cfg.min_support) & (F.col("confidence") >= cfg.min_confidence))
 
 
 def prevalence(graph: Graph, cfg: SearchConfig) -> DataFrame:
     """(role, label, cls, population, hits, prevalence): closed world, direct classes only."""
-    ends = endpoints(graph, cfg)
-    types = type_edges(graph, [cfg.type_predicate]).select(F.col("node").alias("n"), "cls")
-    sizes = ends.groupBy("role", "label").agg(F.count("*").alias("population")).where(F.col("population") >= cfg.min_support)
-    found = ends.join(types, "n").groupBy("role", "label", "cls").agg(F.count("*").alias("hits")).join(sizes, ["role", "label"])
+    own = profiled(graph, cfg)
+    ends, types = own.endpoints(), own.types().select("n", "cls")
+    sizes = ends.groupBy("role", "label").agg(_nodes().alias("population")).where(F.col("population") >= cfg.min_support)
+    found = ends.join(types, "n").groupBy("role", "label", "cls").agg(_nodes().alias("hits")).join(sizes, ["role", "label"])
     return found.withColumn("prevalence", F.col("hits") / F.col("population")).where(F.col("prevalence") >= cfg.min_confidence)
 
 
 def pca_horn(graph: Graph, cfg: SearchConfig) -> DataFrame:
     """(role, label, cls, support, judged, confidence): as prevalence, judged on typed nodes."""
-    types = type_edges(graph, [cfg.type_predicate]).select(F.col("node").alias("n"), "cls")
-    ends = endpoints(graph, cfg).join(types.select("n").distinct(), "n", "left_semi")
-    sizes = ends.groupBy("role", "label").agg(F.count("*").alias("judged"))
-    found = ends.join(types, "n").groupBy("role", "label", "cls").agg(F.count("*").alias("support")).join(sizes, ["role", "label"])
+    own = profiled(graph, cfg)
+    types = own.types().select("n", "cls")
+    ends = own.endpoints().join(own.has_type(), "n", "left_semi")
+    sizes = ends.groupBy("role", "label").agg(_nodes().alias("judged"))
+    found = ends.join(types, "n").groupBy("role", "label", "cls").agg(_nodes().alias("support")).join(sizes, ["role", "label"])
     found = found.withColumn("confidence", F.col("support") / F.col("judged"))
     return found.where((F.col("support") >= cfg.min_support) & (F.col("confidence") >= cfg.min_confidence))
 
@@ -97,14 +98,14 @@ def pca_horn(graph: Graph, cfg: SearchConfig) -> DataFrame:
 def negated_exclusions(graph: Graph, cfg: SearchConfig) -> DataFrame:
     """(label, without, cls, support, judged, confidence): domains that clear only among nodes that lack
     another label.  Such rules need negation, so they are reported and never repaired."""
-    types = type_edges(graph, [cfg.type_predicate]).select(F.col("node").alias("n"), "cls")
-    ends = endpoints(graph, cfg).where("role = 'domain'").select("label", "n").join(types.select("n").distinct(), "n", "left_semi")
-    judged = ends.groupBy("label").agg(F.count("*").alias("all"))
-    hits = ends.join(types, "n").groupBy("label", "cls").agg(F.count("*").alias("all_hits"))
-    other = endpoints(graph, cfg).where("role = 'domain'").select(F.col("label").alias("without"), "n")
-    both = ends.join(other, "n").where("label <> without")
-    lost = both.groupBy("label", "without").agg(F.count("*").alias("lost"))
-    lost_hits = both.join(types, "n").groupBy("label", "without", "cls").agg(F.count("*").alias("lost_hits"))
+    own = profiled(graph, cfg)
+    types, carried = own.types().select("n", "cls"), own.endpoints().where("role = 'domain'")
+    ends = carried.select("label", "n", "weight").join(own.has_type(), "n", "left_semi")
+    judged = ends.groupBy("label").agg(_nodes().alias("all"))
+    hits = ends.join(types, "n").groupBy("label", "cls").agg(_nodes().alias("all_hits"))
+    both = ends.join(carried.select(F.col("label").alias("without"), "n"), "n").where("label <> without")
+    lost = both.groupBy("label", "without").agg(_nodes().alias("lost"))
+    lost_hits = both.join(types, "n").groupBy("label", "without", "cls").agg(_nodes().alias("lost_hits"))
     found = hits.join(judged, "label").join(lost, "label").join(lost_hits, ["label", "without", "cls"], "left")
     found = found.withColumns({"support": F.col("all_hits") - F.coalesce("lost_hits", F.lit(0)), "judged": F.col("all") - F.col("lost")}).where("judged > 0")
     found = found.withColumn("confidence", F.col("support") / F.col("judged"))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafwerk.graph import Graph
+from grafwerk.graph import Graph, small_table
 from grafwerk.plans import ast
 from grafwerk.plans.compile import Compiler
 from grafwerk.rules import TIERS, Constraint, ConstraintSet
@@ -32,7 +32,7 @@ def witnesses(graph: Graph, rules: Iterable[Constraint]) -> DataFrame:
         for i, r in enumerate(rules)
         if not isinstance(r.psi, ast.Top)
     ]
-    return reduce(DataFrame.unionByName, parts) if parts else graph.spark.createDataFrame([], WITNESSES)
+    return reduce(DataFrame.unionByName, parts) if parts else small_table(graph.spark, [], WITNESSES)
 
 
 def counts(graph: Graph, rules: ConstraintSet) -> DataFrame:
@@ -44,7 +44,7 @@ def counts(graph: Graph, rules: ConstraintSet) -> DataFrame:
 
 def counts_by_tier(graph: Graph, rules: ConstraintSet) -> DataFrame:
     """(tier, witnesses) of both tiers."""
-    tiers = graph.spark.createDataFrame([(t,) for t in TIERS], "tier string")
+    tiers = small_table(graph.spark, [(t,) for t in TIERS], "tier string")
     found = counts(graph, rules).groupBy("tier").agg(F.sum("witnesses").alias("witnesses"))
     return tiers.join(found, "tier", "left").select("tier", F.coalesce("witnesses", F.lit(0)).alias("witnesses"))
 

@@ -17,7 +17,7 @@ from collections import defaultdict, deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.graph import Graph, cut
+from grafwerk.graph import Graph, cut, small_table
 from grafwerk.plans import ast
 from grafwerk.plans.parser import parse_node, parse_path
 
@@ -98,7 +98,7 @@ class Compiler:
         if key not in memo:
             rows = self.pairs(inner).limit(self.spine_edges + 1).collect()
             closed = close(rows, SPINE_PAIRS) if len(rows) <= self.spine_edges else None
-            found = None if closed is None else self.graph.spark.createDataFrame(closed, "x string, y string")
+            found = None if closed is None else small_table(self.graph.spark, closed, "x string, y string")
             # a large local relation would be part of every plan that reads it
             memo[key] = cut(found, "spine") if found is not None and len(closed) > LOCAL_PAIRS else found
         return memo[key]
