@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.graph import Graph, cut
+from grafwerk.graph import Graph, cut, held, small_table
 from grafwerk.plans import ast
 from grafwerk.plans.compile import Compiler
 from grafwerk.rules import Constraint
@@ -87,6 +87,10 @@ def _facts(after: Graph, candidates: DataFrame, formulas: Formulas) -> DataFrame
     """(n, atom, e) of the nodes that an added edge concerns: the added edge e stands for the atom,
     or (e null) it holds anyway."""
     compiler, hops, sets = Compiler(after), [], []
+    places = {(label, outgoing) for kind, what in formulas.atoms if kind == "hop" for label, outgoing, _ in [what]}
+    # facts of other nodes than those that an added edge can concern aren't needed, whatever their label
+    ends = [candidates.where(F.col("label") == label).select(F.col("src" if outgoing else "dst").alias("n")) for label, outgoing in sorted(places)]
+    near_added = held(cut(reduce(DataFrame.unionByName, ends).distinct(), "near-added")) if ends else None
     marked = after.edges.join(candidates.select("src", "label", "dst", "e"), ["src", "label", "dst"], "left")
     for i, (kind, what) in enumerate(formulas.atoms):
         if kind == "set":
@@ -97,9 +101,9 @@ def _facts(after: Graph, candidates: DataFrame, formulas: Formulas) -> DataFrame
         found = marked.where(F.col("label") == label).select(F.col(near).alias("n"), F.col(far).alias("far"), "e")
         if rest is not None:
             found = found.join(compiler.node(rest).select(F.col("n").alias("far")), "far", "left_semi")
-        hops.append(found.select("n", F.lit(i).alias("atom"), "e"))
+        hops.append(found.join(near_added, "n", "left_semi").select("n", F.lit(i).alias("atom"), "e"))
     if not hops:
-        return after.spark.createDataFrame([], "n string, atom int, e long")
+        return small_table(after.spark, [], "n string, atom int, e long")
     read = cut(reduce(DataFrame.unionByName, hops), "hops")
     concerned = read.where("e IS NOT NULL").select("n").distinct()
     return cut(reduce(DataFrame.unionByName, [read, *sets]).join(concerned, "n", "left_semi").distinct(), "facts")

@@ -7,13 +7,14 @@ node itself, label, outgoing before incoming, other end).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafwerk.graph import Graph, cut, difference
+from grafwerk.graph import Graph, compared, cut, held, small_table
 from grafwerk.operators.changes import LOG, records
 from grafwerk.operators.validate import witnesses
 from grafwerk.plans import ast
@@ -27,18 +28,36 @@ COMPACT_ROUNDS = 8
 
 @dataclass(frozen=True)
 class SubsetRepairResult:
+    """The log, the changes and the attestations are made when they are asked for."""
+
     graph: Graph
-    log: DataFrame
+    #: (graph, gone (n, constraint), number) of each round.
+    steps: tuple[tuple[Graph, DataFrame, int], ...]
     rounds: int
     recheck_count: int
-    attestations: dict[str, bool]
+    attest: Callable[[], dict[str, bool]]
+
+    @cached_property
+    def attestations(self) -> dict[str, bool]:
+        return self.attest()
+
+    @cached_property
+    def log(self) -> DataFrame:
+        none = small_table(self.graph.spark, [], LOG)
+        return reduce(DataFrame.unionByName, [cut(round_log(*step), "log") for step in self.steps], none)
+
+    def changes(self) -> DataFrame:
+        """(round, op, constraint) of each record of the log, in no order."""
+        none = small_table(self.graph.spark, [], "round int, op string, constraint string")
+        return reduce(DataFrame.unionByName, [round_changes(graph, gone).select(F.lit(number).alias("round"), _op(), "constraint") for graph, gone, number in self.steps], none)
 
     @property
     def consistent_after(self) -> bool:
         return self.attestations["consistent_after"]
 
     def deleted(self) -> DataFrame:
-        return self.log.where("op = 'remove_node'").select(F.col("node").alias("n"))
+        none = small_table(self.graph.spark, [], "n string")
+        return reduce(DataFrame.unionByName, [gone.select("n") for _, gone, _ in self.steps], none)
 
     def to_dict(self, limit: int | None = None) -> dict:
         log = [r.to_dict() for r in records(self.log, limit)]
@@ -54,8 +73,12 @@ def flagged(graph: Graph, rules: list[Constraint]) -> DataFrame:
     return witnesses(graph, rules).groupBy("n").agg(F.min_by("cid", "ord").alias("constraint"))
 
 
-def round_log(graph: Graph, gone: DataFrame, number: int) -> DataFrame:
-    """The log of deleting ``gone`` (n, constraint) from ``graph``."""
+def _op() -> Column:
+    return F.when(F.col("last") == 1, "remove_node").otherwise("remove_edge").alias("op")
+
+
+def round_changes(graph: Graph, gone: DataFrame) -> DataFrame:
+    """What deleting ``gone`` (n, constraint) from ``graph`` changes, with the keys of the log's order."""
     src = gone.select(F.col("n").alias("src"), F.col("constraint").alias("by_src"))
     dst = gone.select(F.col("n").alias("dst"), F.col("constraint").alias("by_dst"))
     marked = graph.edges.join(src, "src", "left").join(dst, "dst", "left").where("by_src IS NOT NULL OR by_dst IS NOT NULL")
@@ -69,11 +92,14 @@ def round_log(graph: Graph, gone: DataFrame, number: int) -> DataFrame:
     )
     none = F.lit(None).cast("string")
     nodes = gone.select(F.col("n").alias("owner"), "constraint", F.lit(0).alias("incoming"), none.alias("other"), none.alias("src"), none.alias("label"), none.alias("dst"), F.col("n").alias("node"), F.lit(1).alias("last"))
-    ordered = _numbered(edges.unionByName(nodes), ["owner", "last", "label", "incoming", "other"])
-    return ordered.select(
-        F.lit(number).alias("round"), "seq", F.when(F.col("last") == 1, "remove_node").otherwise("remove_edge").alias("op"),
-        "constraint", "node", "src", "label", "dst", none.alias("witness"), none.alias("provenance"),
-    )
+    return edges.unionByName(nodes)
+
+
+def round_log(graph: Graph, gone: DataFrame, number: int) -> DataFrame:
+    """The log of deleting ``gone`` (n, constraint) from ``graph``."""
+    none = F.lit(None).cast("string")
+    ordered = _numbered(round_changes(graph, gone), ["owner", "last", "label", "incoming", "other"])
+    return ordered.select(F.lit(number).alias("round"), "seq", _op(), "constraint", "node", "src", "label", "dst", none.alias("witness"), none.alias("provenance"))
 
 
 def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,9 +119,9 @@ def subset_repair(graph: Graph, rules: ConstraintSet, strategy: str = "full", ma
     """``incremental`` checks again only rules over labels of edges that the last round removed."""
     if strategy not in ("full", "incremental"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    spark, own = graph.spark, eligible(rules)
+    own = eligible(rules)
     base = now = graph
-    log, lost, rounds, checked, due = spark.createDataFrame([], LOG), None, 0, 0, own
+    steps, lost, rounds, checked, due = [], None, 0, 0, own
     while True:
         rounds += 1
         if rounds > max_rounds:
@@ -104,24 +130,27 @@ def subset_repair(graph: Graph, rules: ConstraintSet, strategy: str = "full", ma
         gone = cut(flagged(now, due), "gone") if due else None
         if gone is None or not gone.limit(1).count():
             break
-        part = cut(round_log(now, gone, rounds), "log")
-        log = log.unionByName(part)
+        gone = held(gone)
+        steps.append((now, gone, rounds))
+        if strategy == "incremental":
+            touched = {r[0] for r in now.edges_of(gone).select("label").distinct().collect()}
+            due = [c for c in own if (ast.labels(c.phi) | ast.labels(c.psi)) & touched or _reads_all_nodes(c)]
         # the graph is the base without the nodes lost since; it is written again only every few rounds
-        lost = gone.select("n") if lost is None else cut(lost.unionByName(gone.select("n")), "lost")
+        lost = gone.select("n") if lost is None else held(cut(lost.unionByName(gone.select("n")), "lost"))
         now = base.remove_nodes(lost)
         if rounds % COMPACT_ROUNDS == 0:
             base = now = now.settled()
             lost = None
-        if strategy == "incremental":
-            touched = {r[0] for r in part.where("op = 'remove_edge'").select("label").distinct().collect()}
-            due = [c for c in own if (ast.labels(c.phi) | ast.labels(c.psi)) & touched or _reads_all_nodes(c)]
-    removed, added = difference(graph, now)
-    attest = {
-        "consistent_after": not witnesses(now, own).limit(1).count(),
-        "subset_only_deleted": not added.limit(1).count() and not now.nodes.join(graph.nodes, "node", "left_anti").limit(1).count(),
-        "data_values_unmodified": not _changed_values(graph, now).limit(1).count(),
-    }
-    return SubsetRepairResult(now, log, rounds, checked, attest)
+
+    def attest() -> dict[str, bool]:
+        removed, added = compared(graph, now)
+        return {
+            "consistent_after": not witnesses(now, own).limit(1).count(),
+            "subset_only_deleted": not added.limit(1).count() and not now.nodes.join(graph.nodes, "node", "left_anti").limit(1).count(),
+            "data_values_unmodified": not _changed_values(graph, now).limit(1).count(),
+        }
+
+    return SubsetRepairResult(now, tuple(steps), rounds, checked, attest)
 
 
 def _reads_all_nodes(rule: Constraint) -> bool:

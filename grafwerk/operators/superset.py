@@ -8,13 +8,14 @@ makes redundant.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafwerk.graph import Graph, cut, difference
+from grafwerk.graph import MADE_FROM, Graph, compared, cut, held, small_table
 from grafwerk.operators import prune as prune_plan
 from grafwerk.operators.changes import LOG, records
 from grafwerk.operators.subset import COMPACT_ROUNDS, _changed_values, _numbered
@@ -118,6 +119,8 @@ def plan(rule: Constraint) -> AdditionPlan:
 
 @dataclass(frozen=True)
 class SupersetRepairResult:
+    """The sizes of the pool and the attestations are made when they are asked for."""
+
     graph: Graph
     log: DataFrame
     rounds: int
@@ -125,9 +128,17 @@ class SupersetRepairResult:
     pruned_nodes: int
     #: "grouped", "replayed", "inconsistent" or "off".
     pruning: str
-    #: Sizes of the pool of values that additions are drawn from.
-    pool: dict[str, int]
-    attestations: dict[str, bool]
+    sizes: Callable[[], dict[str, int]]
+    attest: Callable[[], dict[str, bool]]
+
+    @cached_property
+    def pool(self) -> dict[str, int]:
+        """Sizes of the pool of values that additions are drawn from."""
+        return self.sizes()
+
+    @cached_property
+    def attestations(self) -> dict[str, bool]:
+        return self.attest()
 
     @property
     def consistent_after(self) -> bool:
@@ -157,7 +168,8 @@ def round_plan(graph: Graph, rules: list[Constraint], found: DataFrame) -> DataF
             wrong = found.where(F.col("cid") == cid).join(values, "n").where(" OR ".join(f"NOT (value <=> '{v}')" for v in (x.replace("'", "\\'") for x in p.required_values)))
             if wrong.limit(1).count():
                 raise NoSupersetPlan(f"{cid}: a witness can't be given another value")
-    template = spark.createDataFrame(
+    template = small_table(
+        spark,
         [(cid, i, s.op, s.node, s.value, s.src, s.label, s.dst, s.provenance) for cid, p in plans.items() for i, s in enumerate(p.steps)],
         "cid string, step int, op string, node string, value string, src string, label string, dst string, provenance string",
     )
@@ -166,8 +178,14 @@ def round_plan(graph: Graph, rules: list[Constraint], found: DataFrame) -> DataF
     made = made.select("cid", F.col("n").alias("witness"), "step", "op", put("node"), "value", put("src"), "label", put("dst"), "provenance")
     place = F.struct("cid", "witness", "step")
     first = lambda df, keys, rest: df.groupBy(*keys).agg(F.min(F.struct(place.alias("place"), *rest)).alias("f")).select(*keys, "f.place.*", *[f"f.{r}" for r in rest])
-    nodes = first(made.where("op = 'add_node'"), ["node"], ["value", "provenance"]).join(graph.nodes.select("node"), "node", "left_anti")
-    edges = first(made.where("op = 'add_edge'"), ["src", "label", "dst"], ["provenance"]).join(graph.edges, ["src", "label", "dst"], "left_anti")
+    nodes = cut(first(made.where("op = 'add_node'"), ["node"], ["value", "provenance"]), "new-nodes")
+    edges = cut(first(made.where("op = 'add_edge'"), ["src", "label", "dst"], ["provenance"]), "new-edges")
+    # what is known is looked up from the side of the additions, and only among their labels
+    new_nodes, new_edges, keys = held(nodes.select("node")), held(edges.select("src", "label", "dst")), ["src", "label", "dst"]
+    own = sorted({s.label for p in plans.values() for s in p.steps if s.op == "add_edge"})
+    known = graph.edges.where(F.col("label").isin(*own)).join(new_edges, keys, "left_semi").select(*keys)
+    nodes = nodes.join(graph.nodes.join(new_nodes, "node", "left_semi").select("node"), "node", "left_anti")
+    edges = edges.join(known, keys, "left_anti")
     none = F.lit(None).cast("string")
     columns = ["cid", "witness", "step", "op", "node", "value", "src", "label", "dst", "provenance"]
     nodes = nodes.withColumns({"op": F.lit("add_node"), "src": none, "label": none, "dst": none}).select(*columns)
@@ -177,7 +195,7 @@ def round_plan(graph: Graph, rules: list[Constraint], found: DataFrame) -> DataF
 def apply_plan(graph: Graph, additions: DataFrame) -> Graph:
     """``additions`` are new and distinct, and the ends of new edges are known or new nodes."""
     nodes, edges = additions.where("op = 'add_node'").select("node", "value"), additions.where("op = 'add_edge'").select("src", "label", "dst")
-    return Graph(graph.nodes.unionByName(nodes), graph.edges.select("src", "label", "dst").unionByName(edges))
+    return Graph(graph.nodes.unionByName(nodes), graph.edges.select("src", "label", "dst").unionByName(edges), {MADE_FROM: (graph, None, edges)})
 
 
 def round_bound(graph: Graph, rules: list[Constraint]) -> int:
@@ -196,7 +214,7 @@ def superset_repair(graph: Graph, rules: ConstraintSet, prune: bool = True, max_
     """Rounds go on to the fixpoint.  Raises RuntimeError past ``max_rounds`` (see ``round_bound``) and
     NoSupersetPlan where a failing rule has no plan; ends without consistency where plans add nothing."""
     spark, own = graph.spark, core(rules)
-    now, log, rounds = graph, spark.createDataFrame([], LOG), 0
+    now, log, rounds = graph, small_table(spark, [], LOG), 0
     most, consistent = max_rounds, False
     while True:
         rounds += 1
@@ -223,13 +241,16 @@ def superset_repair(graph: Graph, rules: ConstraintSet, prune: bool = True, max_
         how = "inconsistent"
     elif prune:
         now, log, pruned, bare, how = _prune(now, log, own)
-    removed, _ = difference(graph, now)
-    attest = {
-        "consistent_after": not witnesses(now, own).limit(1).count(),
-        "superset_only_added": not removed.limit(1).count() and not graph.nodes.join(now.nodes, "node", "left_anti").limit(1).count(),
-        "data_values_unmodified": not _changed_values(graph, now).limit(1).count(),
-    }
-    return SupersetRepairResult(now, log, rounds, pruned, bare, how, pool_sizes(graph, own, log), attest)
+
+    def attest() -> dict[str, bool]:
+        removed, _ = compared(graph, now)
+        return {
+            "consistent_after": not witnesses(now, own).limit(1).count(),
+            "superset_only_added": not removed.limit(1).count() and not graph.nodes.join(now.nodes, "node", "left_anti").limit(1).count(),
+            "data_values_unmodified": not _changed_values(graph, now).limit(1).count(),
+        }
+
+    return SupersetRepairResult(now, log, rounds, pruned, bare, how, lambda: pool_sizes(graph, own, log), attest)
 
 
 def _replayed(candidates: list[tuple], edges: list[tuple], after: Graph, rules: list[Constraint]) -> list[tuple[str, str, str]]:
@@ -263,7 +284,7 @@ def _prune(after: Graph, log: DataFrame, rules: list[Constraint]) -> tuple[Graph
         read = after.edges.where(F.col("label").isin(*used)).collect()
         rows = sorted(tuple(r) for r in added.collect())
         gone = _replayed(rows, [tuple(r) for r in read], after, rules)
-        lost, how = after.spark.createDataFrame(gone, "src string, label string, dst string"), "replayed"
+        lost, how = small_table(after.spark, gone, "src string, label string, dst string"), "replayed"
     lost = cut(lost, "lost")
     count = lost.count()
     if not count:
